@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .entropy_mix import op10_mix
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .fingerprint_index import op5_substring_dedup
+from .jaccard_join import op6_jaccard_join
 from .ppm_language import op2_ppm_language
 from .preference_format import OP9_SQL, op9_preference_format
 from .sentencepiece_codec import op1_sentencepiece
@@ -11,7 +13,7 @@ from .telephony_audio import op8_telephony_audio
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ppm_language, op4_exact_dedup, op8_telephony_audio, op9_preference_format, op10_mix)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ppm_language, op4_exact_dedup, op5_substring_dedup, op6_jaccard_join, op8_telephony_audio, op9_preference_format, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
