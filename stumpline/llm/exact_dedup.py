@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .shared import stored, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream runs.  Files are not preallocated: that takes 4 MB for each partition of the state.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def located(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,12 +48,14 @@ class DedupState:
         content.select(F.col(key).cast("long").alias("doc_id"), "file_at", "row_at", sha.alias("sha")).write.mode("append").parquet(f"{self.home}/log")
         log = self.spark.readStream.schema(self.log().schema).parquet(f"{self.home}/log")
         state = log.groupBy(self._digest().alias("digest")).agg(F.max(F.struct("doc_id", "file_at", "row_at")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        before = self.spark.conf.get(PROVIDER)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{self.home}/state").trigger(availableNow=True).start().awaitTermination()
         finally:
-            self.spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def _digest(self):
         return F.substring("sha", 1, self.digest_bytes)
