@@ -89,7 +89,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     n_hits = state.filter("group_size > 1").agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     by_place = F.broadcast(hits) if n_hits <= broadcast_rows else hits
     full = content.select("file_at", "row_at", F.coalesce(F.col(text), F.lit("")).alias("full_text")).join(by_place, ["file_at", "row_at"])
-    groups = full.groupBy("digest", "full_text").agg(F.max(F.struct("doc_id", "file_at", "row_at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written out, so that the join has a shuffle on either side and a text that very many rows share is split.
+    groups = stored(full.groupBy("digest", "full_text").agg(F.max(F.struct("doc_id", "file_at", "row_at")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     checked = full.join(groups, ["digest", "full_text"]).withColumns({
         "keep_id": F.col("keep.doc_id"),
         "kept": (F.col("file_at") == F.col("keep.file_at")) & (F.col("row_at") == F.col("keep.row_at")),

@@ -164,8 +164,9 @@ class FingerprintIndex:
                         yield pa.RecordBatch.from_arrays([pa.array(hashes[at_]), pa.array(ids[row[at_]]), pa.array(firsts[row[at_]]), pa.array((start[at_] - words.at[row[at_]]).astype(np.int32))], ["h", "tid", "first", "place"])
 
         found = arrow_map(held.select("tid", "first", "text", "hit"), windows, "h long, tid long, first long, place int")
-        least = found.groupBy("h").agg(F.min("first").alias("least"))
-        gone = found.join(least, "h").filter("least < first")
+        # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
+        least = found.groupBy("h").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h", "least")
+        gone = found.join(stored(least, "fingerprint-windows"), "h").filter("least < first")
         gone = gone.groupBy("tid").agg(F.collect_list("place").alias("places"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         index.add(batch if high is None else batch.filter(ident <= high), key, text)
     cut = index.removed(docs, key, text)
     index.close()
-    firsts = index.base.groupBy("tid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first"))
+    firsts = stored(index.base.groupBy("tid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")), "fingerprint-firsts")
     out = index.base.join(firsts, "tid").join(cut, "tid", "left")
     copy = (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first")) & (F.col("n_words") >= window)
     return out.select(

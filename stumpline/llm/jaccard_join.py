@@ -6,14 +6,15 @@ to 64-bit hashes of shingles and sets.
 1. Equal sets become one set (`sig`, a hash of the set), so copies never meet each other.
 2. Prefixes: of a set of s shingles in hash order the first s - ceil(3s/4) + k hold at least k of any partner's prefix
    (k = s // 20 + 1).  Prefix tokens travel once, packed by bucket; a bucket keeps the tokens that two sets share.
-   Sets with fewer than k shared tokens cannot link and are done.
-3. Stars: each token's smallest set is tried against the token's other sets; links that verify make components, which
-   settles large groups of near copies with about one link a set.
-4. Signature trees: what shares a token but no component yet goes through a tree for each token: leaves are sets with
-   bitmaps of their shingles and their size, nodes hold the OR of their bitmaps and the range of sizes.  A dual
-   traversal starts at (root, root) and drops a pair of nodes whose largest possible overlap is too small, or that
-   lies in one component.  Tokens of very many sets are split into blocks, and pairs of blocks are traversed apart.
-5. Pairs that are left are verified on the whole sets; all links together give the components.
+   Two sets that link share the smaller k of theirs at least; sets with fewer shared tokens are done.
+3. Stars: every set is tried against one pivot of its tokens, in a few rounds with other pivots; links that verify make
+   components, which settles large groups of near copies with a few pairs a set.
+4. Signature trees: sets that share tokens but no component yet are grouped by the pivot of these tokens, and each group
+   makes a tree: leaves are sets with bitmaps of their shingles and their size, nodes hold the OR of their bitmaps and
+   the range of sizes.  A dual traversal starts at (root, root) and drops a pair of nodes whose largest possible overlap
+   is too small, or that lies in one component.  A group of more than BLOCK sets is split into blocks, and pairs of
+   blocks are traversed apart.
+5. Pairs that come up for enough tokens are verified on the whole sets; all links together give the components.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null or wordless text has an empty set and
 links with nothing; fewer than five words make one shingle; empty table, empty result; rows that repeat a doc_id get a
@@ -22,6 +23,7 @@ row each (they link as their texts do).  Only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds
+from .shared import arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds, work_dir
 
 WORDS = 5
 BITS = 2048
 FANOUT = 8
-BLOCK = 512  # sets of a token that one tree holds; more are split into blocks
+BLOCK = 512  # sets of a group that one tree holds; more are split into blocks
 PART = 2 << 20
 #: Odd multipliers of the words of a shingle.
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -80,6 +82,11 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return np.minimum(size, size - (3 * size + 3) // 4 + least_shared(size))
 
 
+def _partners_share(n: str, size: str):
+    """Whether n shared prefix tokens are enough for a link: the smallest partner has three quarters of the size."""
+    return F.expr(f"{n} >= ((3 * {size} + 3) div 4) div 20 + 1")
+
+
 def bitmaps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(sets, BITS / 64) words: bit h modulo BITS of every shingle."""
     out = np.zeros((len(at) - 1, BITS), bool)
@@ -235,16 +242,11 @@ def _full_sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by three quarters: bitmaps first, then the whole sets."""
+    """The pairs (a, b) whose whole sets overlap by three quarters.
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (3, 5))
-            s, t = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            over = np.minimum(s - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), t - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield batch.filter(pa.array(7 * over >= 3 * (s + t))).select([0, 1])
+    full is bucketed by sig, so it does not move: the sets of b go to the pairs' tasks, those of a are fetched once each
+    and then joined by a shuffle on both sides, where AQE splits an `a` of very many pairs.
+    """
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,51 +259,90 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 ok.append(7 * both >= 3 * (len(x) + len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
-    side = lambda c, *cols: full.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
-    near = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
-    near = stored(arrow_map(near, may, "a long, b long"), "near-pairs")
-    whole = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
+    pairs = stored(pairs, "pairs")
+    own = lambda c: full.select(F.col("sig").alias(c), F.col("hashes").alias(f"hashes_{c}")).hint("merge")
+    first = stored(pairs.select("a").distinct().join(own("a"), "a"), "pair-sets")
+    whole = pairs.join(own("b"), "b").join(first, "a").select("a", "b", "hashes_a", "hashes_b")
     return stored(arrow_map(whole, exact, "a long, b long"), "links")
 
 
 def _tree_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (token, i, j, blk, sig, comp, size, bits): blocks i and j of a token; of one block if i = j."""
+    """Pairs (a, b) of rows (p, i, j, blk, sig, comp, size, bits, tokens): blocks i and j of group p; of one block if i = j.
+
+    n: tokens of the group that both have; least: the smaller of their sizes.
+    """
+
+    def solve(part: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        sig, size, comp, i, j = (part.column(c).to_numpy() for c in ("sig", "size", "comp", "i", "j"))
+        # In a pair of blocks only pairs across count; in a block each with each.
+        across = i != j
+        side = np.where(part.column("blk").to_numpy() == i, 0, 1)
+        found = [np.zeros((2, 0), np.int64)]
+        for which, sides in ((~across, None), (across, side)):
+            at = np.flatnonzero(which)
+            if len(at):
+                x, y = tree_pairs(group[at], size[at], comp[at], bits[at], None if sides is None else sides[at])
+                found.append(np.stack((at[x], at[y])))
+        x, y = np.concatenate(found, axis=1)
+        order = np.argsort(group[x], kind="stable")
+        x, y = x[order], y[order]
+        lists = part.column("tokens").chunk(0) if part.num_rows else None
+        times = np.zeros(len(x), np.int64)
+        heads = np.flatnonzero(np.diff(group[x], prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=False):  # of each group with pairs: which row has which token
+            low, high = np.searchsorted(group, [group[x[a]], group[x[a]] + 1])
+            own = lists.slice(low, high - low)
+            values, which = np.unique(own.flatten().to_numpy(), return_inverse=True)
+            has = np.zeros((high - low, (len(values) + 7) // 8 * 8), bool)
+            has[np.repeat(np.arange(high - low), own.value_lengths().to_numpy()), which] = True
+            packed = np.packbits(has, axis=1)
+            for k in range(a, b, 1 << 14):
+                c = slice(k, min(b, k + (1 << 14)))
+                times[c] = np.bitwise_count(packed[x[c] - low] & packed[y[c] - low]).sum(1, dtype=np.int64)
+        s, t = sig[x], sig[y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(times), pa.array(np.minimum(size[x], size[y]).astype(np.int64))], ["a", "b", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, seen = None, 0
+        rest = None
         for batch in _with_end(batches):
             if batch is not None:
                 rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-                seen += batch.num_rows
-                if seen < 20_000:
+                if rest.num_rows < 4 * BLOCK:
                     continue
             if rest is None or not rest.num_rows:
                 continue
-            token, i, j = (rest.column(c).to_numpy() for c in ("token", "i", "j"))
-            change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            upto = rest.num_rows if batch is None else int(change[-1]) if len(change) else 0
+            p, i, j = (rest.column(c).to_numpy() for c in ("p", "i", "j"))
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            upto = len(p) if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on
             if upto:
-                part = rest.slice(0, upto).combine_chunks()
-                group = np.zeros(upto, np.int64)
-                group[change[change < upto]] = 1
-                group = np.cumsum(group)
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-                sig = part.column("sig").to_numpy()
-                # In a pair of blocks only pairs across count; in a block each with each.
-                across = i[:upto] != j[:upto]
-                side = np.where(part.column("blk").to_numpy() == i[:upto], 0, 1)
-                found = []
-                for which in (~across, across):
-                    at = np.flatnonzero(which)
-                    if len(at):
-                        x, y = tree_pairs(group[at], part.column("size").to_numpy()[at], part.column("comp").to_numpy()[at], bits[at], side[at] if which is across else None)
-                        found.append(np.stack((sig[at[x]], sig[at[y]])))
-                pairs = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
-                pairs = np.unique(pairs, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            rest, seen = rest.slice(upto), 0
-
-    return arrow_map(rows.select("token", "i", "j", "blk", "sig", "comp", "size", "bits"), run, "a long, b long")
+                yield solve(rest.slice(0, upto), np.cumsum(new)[:upto])
+            rest = rest.slice(upto)
+
+    return arrow_map(rows.select("p", "i", "j", "blk", "sig", "comp", "size", "bits", "tokens"), run, "a long, b long, n long, least long")
+
+
+def _open_rows(tokens: DataFrame, comp: DataFrame) -> DataFrame:
+    """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link."""
+    placed = tokens.select("token", "sig", "size").join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    placed = stored(placed, "placed")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+    rows = stored(placed.join(stored(apart, "open-tokens"), "token"), "open")
+    may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("s")).filter(_partners_share("n", "s")).select("sig")
+    return stored(rows.join(stored(may, "open-sets"), "sig", "left_semi"), "open")
+
+
+def _stars(rows: DataFrame, seed: int) -> DataFrame:
+    """For each set the one pair (a, b) with the pivot, in another component, that it shares most tokens with.
+
+    The pivot of a token is its set of smallest hash, another one for each seed.
+    """
+    rank = F.struct(F.xxhash64("sig", F.lit(seed)), F.col("sig"), F.col("comp"))
+    pivots = stored(rows.groupBy("token").agg(F.min(rank).alias("r")).select("token", F.col("r.sig").alias("p"), F.col("r.comp").alias("p_comp")), "pivots")
+    met = rows.join(pivots, "token").filter("comp <> p_comp").groupBy("sig", "p").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("sig").alias("b"))
 
 
 def _with_end(items):
@@ -309,42 +350,59 @@ def _with_end(items):
     yield None
 
 
-def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, block: int = BLOCK) -> DataFrame:
+def _links(tokens: DataFrame, full: DataFrame, rounds: int, block: int) -> DataFrame:
+    """All links that components need: rounds of stars, then signature trees over what is still apart."""
+    spark = tokens.sparkSession
+    links, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")
+    rows = _open_rows(tokens, comp)
+    for seed in range(rounds):
+        if rows.isEmpty():
+            return links
+        new = _verified(_stars(rows, seed), full)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        comp = components(links)
+        rows = _open_rows(tokens, comp)
+    pivots = stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
+    groups = rows.join(pivots, "token").groupBy("p", "sig").agg(F.collect_list("token").alias("tokens"), F.max("size").alias("size"), F.max("comp").alias("comp"))  # a set's own tokens
+    groups = stored(groups, "groups")
+    count = stored(groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
+    rows = groups.join(count, "p").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    rows = rows.join(full.select("sig", "bits"), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
+    pairs = _tree_candidates(rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    return links.union(_verified(pairs.filter("n >= least div 20 + 1").select("a", "b"), full))
+
+
+def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, rounds: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
 
     broadcast_rows: most ids of candidate sets that are broadcast to fetch their texts; more go through a shuffled join.
+    rounds: of stars, at most.  block: sets of a tree; a larger group is split into pairs of blocks.
     """
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(_sets(docs, key, text), "sets")
     shared = stored(_shared_tokens(docs, text, buckets), "shared-tokens")
-    enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.expr("size div 20 + 1")).select("sig")
+    enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(_partners_share("n", "size")).select("sig")
     tokens = stored(shared.join(enough, "sig"), "tokens")
 
     chosen = sets.join(enough, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id"))
     chosen = stored(chosen, "chosen")
     ids = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
     texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, "__id")
-    full = stored(_full_sets(texts, "__text").dropDuplicates(["sig"]), "full-sets")
-
-    pivot = tokens.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("top")).filter("a <> top").select("token", "a")
-    stars = tokens.join(pivot, "token").filter("sig <> a").select("a", F.col("sig").alias("b")).distinct()
-    links = _verified(stars, full)
-    comp = components(links)
-
-    placed = tokens.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    placed = stored(placed, "placed")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
-    open_ = open_.select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = placed.join(open_, "token").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("token", "sig", "comp", "blk", other).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
-    rows = rows.join(full.select("sig", "size", "bits"), "sig").repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
-    more = _verified(_tree_candidates(rows).distinct(), full)
-    comp = components(links.union(more))
+    full = f"sets_{uuid.uuid4().hex}"
+    _full_sets(texts, "__text").dropDuplicates(["sig"]).write.option("path", work_dir(spark, "full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
+    try:
+        links = _links(tokens, spark.table(full), rounds, block)
+        comp = components(links)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {full}")
 
     known = sets.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    least = known.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    known = stored(known, "known")
+    least = stored(known.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     out = known.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

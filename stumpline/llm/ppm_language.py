@@ -56,6 +56,9 @@ class PPMModel:
         for k in range(1, ORDER + 1):
             for n, s in coded.items():
                 contexts[k][n] = contexts[k - 1][n] + s[ORDER - k : len(s) - k].astype(np.int64) * width ** (k - 1)
+        # The symbols 0 between texts are context, never counted themselves.
+        told = {n: s[ORDER:] != 0 for n, s in coded.items()}
+        contexts = [{n: x[told[n]] for n, x in of.items()} for of in contexts]
         counted = [np.unique(np.concatenate([contexts[k][n] for n in names] or [np.zeros(0, np.int64)]), return_counts=True) for k in range(ORDER + 1)]
         pairs = np.sort(counted[2][0][np.argsort(-counted[2][1], kind="stable")[:PAIRS]])
         self.pair = np.zeros(width * width, np.int16)
@@ -83,7 +86,7 @@ class PPMModel:
         total = int(first[-1])
         cost = np.empty((total, width, len(names)), np.float32)
         for j, n in enumerate(names):
-            symbols = coded[n][ORDER:].astype(np.int64)
+            symbols = coded[n][ORDER:][told[n]].astype(np.int64)
             p = np.empty((total, width))
             for k in range(ORDER + 1):
                 rows = slice(first[k], first[k + 1])
@@ -110,20 +113,16 @@ class PPMModel:
         if not len(data):
             return out
         symbols = self.kind[data].astype(np.int32)
-        first = at[:-1][np.diff(at) > 0]
-        last = np.zeros(len(data), np.int32)
-        last[1:] = symbols[:-1]
-        last[first] = 0
-        pair = self.pair[last * self.width + symbols].astype(np.int32)
-        before = [np.zeros(len(data), np.int32) for _ in range(2)]
-        before[0][1:], before[1][3:] = pair[:-1], pair[:-3]
-        start = np.repeat(at[:-1], np.diff(at))
-        inside = np.arange(len(data)) - start
-        before[0][inside < 2] = 0
-        before[1][inside < 4] = 0
-        node = self.node[before[1] * self.n_pairs + before[0]]
-        rare = np.flatnonzero(before[0] == 0)
-        node[rare] = self.single[last[rare]]
+        # Every text follows ORDER symbols 0, as in training.
+        place = np.arange(len(data)) + ORDER * (1 + np.repeat(np.arange(len(at) - 1), np.diff(at)))
+        padded = np.zeros(len(data) + ORDER * len(at), np.int32)
+        padded[place] = symbols
+        pair = np.zeros(len(padded), np.int32)
+        pair[1:] = self.pair[padded[:-1] * self.width + padded[1:]]
+        newer = pair[place - 1]
+        node = self.node[pair[place - 3] * self.n_pairs + newer]
+        rare = np.flatnonzero(newer == 0)
+        node[rare] = self.single[padded[place[rare] - 1]]
         rows = self.cost[node * self.width + symbols]
         some = np.flatnonzero(np.diff(at) > 0)
         out[some] = np.add.reduceat(rows, at[some], axis=0, dtype=np.float64)

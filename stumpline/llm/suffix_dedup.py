@@ -301,7 +301,8 @@ def _hot_found(held: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[part]), pa.array(ids[part]), pa.array(local[part])], ["h", "tid", "low"])
 
     windows = arrow_map(held, run, "h long, tid long, low long")
-    again = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Written out, so that the join has a shuffle on either side and a window that very many texts share is split.
+    again = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-windows")
     return windows.join(again, "h").select("tid", "low", (F.col("low") + window).alias("high"))
 
 
