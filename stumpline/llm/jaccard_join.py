@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds, work_dir
+from .shared import Scratch, arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds
 
 WORDS = 5
 BITS = 2048
 FANOUT = 8
-BLOCK = 512  # sets of a group that one tree holds; more are split into blocks
+BLOCK = 4096  # sets of a group that one tree holds; more are split into blocks
 PART = 2 << 20
 #: Odd multipliers of the words of a shingle.
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -94,10 +94,45 @@ def bitmaps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def scaled_bitmap(hashes: np.ndarray) -> bytes:
+    """Bit h modulo n of every shingle of one set; n is a power of two, the set's size and BITS at least.
+
+    OR over rows of BITS bits gives the set's row of bitmaps().
+    """
+    n = max(BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    out = np.zeros(n, bool)
+    out[(hashes % np.uint64(n)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A scaled bitmap as words of `size` bytes in all."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def overlap_enough(scaled: list[bytes], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the pairs (x, y) of large sets may overlap enough, by the larger bitmaps that these have; True for small ones."""
+    keep = np.ones(len(x), bool)
+    length = np.array([len(b) for b in scaled], np.int64)
+    level = np.minimum(length[x], length[y])
+    for n in np.unique(level[level > BITS // 8]).tolist():
+        at = np.flatnonzero(level == n)
+        rows, inverse = np.unique(np.concatenate((x[at], y[at])), return_inverse=True)
+        maps = np.stack([folded(scaled[r], n) for r in rows.tolist()])
+        i, j = inverse[: len(at)], inverse[len(at) :]
+        step = max(1, (1 << 23) // n)
+        for k in range(0, len(at), step):
+            c = slice(k, k + step)
+            a, b, s, t = maps[i[c]], maps[j[c]], size[x[at[c]]], size[y[at[c]]]
+            over = np.minimum(s - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), t - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+            keep[at[c]] = 7 * over >= 3 * (s + t)
+    return keep
+
+
 # -- signature trees ------------------------------------------------------------------------------------------------
 
 
-def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of one group and different components that may overlap enough, by dual traversal.
 
     side: where given, only pairs of sides 0 and 1 count.  most: node pairs that are expanded at once.
@@ -228,15 +263,14 @@ def _shared_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, text: str) -> DataFrame:
-    """sig, size, bits (bitmap), hashes (sorted shingles) of docs that have a column sig."""
+    """sig, size, bits (scaled bitmap), hashes (sorted shingles) of docs that have a column sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1, PART):
                 hashes, at = shingle_sets(batch.column(1))
-                bits = bitmaps(hashes, at)
-                rows = np.arange(len(at)) * (BITS // 8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), strings(bits.reshape(-1).view(np.uint8), rows), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
+                bits = [scaled_bitmap(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(bits, pa.binary()), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
 
     return arrow_map(docs.select("sig", text), run, "sig long, size long, bits binary, hashes binary")
 
@@ -259,23 +293,26 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 ok.append(7 * both >= 3 * (len(x) + len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
-    pairs = stored(pairs, "pairs")
     own = lambda c: full.select(F.col("sig").alias(c), F.col("hashes").alias(f"hashes_{c}")).hint("merge")
-    first = stored(pairs.select("a").distinct().join(own("a"), "a"), "pair-sets")
-    whole = pairs.join(own("b"), "b").join(first, "a").select("a", "b", "hashes_a", "hashes_b")
-    return stored(arrow_map(whole, exact, "a long, b long"), "links")
+    with Scratch(pairs.sparkSession) as scratch:
+        pairs = scratch.stored(pairs, "pairs")
+        first = scratch.stored(pairs.select("a").distinct().join(own("a"), "a"), "pair-sets")
+        whole = pairs.join(own("b"), "b").join(first, "a").select("a", "b", "hashes_a", "hashes_b")
+        return stored(arrow_map(whole, exact, "a long, b long"), "links")
 
 
 def _tree_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (p, i, j, blk, sig, comp, size, bits, tokens): blocks i and j of group p; of one block if i = j.
+    """Pairs (a, b) of rows (p, i, j, blk, sig, comp, size, open, bits, tokens): blocks i and j of group p; of one block if i = j.
 
-    n: tokens of the group that both have; least: the smaller of their sizes.
+    n: tokens of the group that both have; least: the smaller of their sizes.  open: all open tokens of a set; what lies
+    outside the group bounds what a pair may share elsewhere, and pairs that cannot come to enough tokens are dropped.
     """
 
     def solve(part: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         part = part.combine_chunks()
-        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        sig, size, comp, i, j = (part.column(c).to_numpy() for c in ("sig", "size", "comp", "i", "j"))
+        scaled = part.column("bits").to_pylist()
+        bits = np.stack([folded(b, BITS // 8) for b in scaled])
+        sig, size, comp, i, j, open_ = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "size", "comp", "i", "j", "open"))
         # In a pair of blocks only pairs across count; in a block each with each.
         across = i != j
         side = np.where(part.column("blk").to_numpy() == i, 0, 1)
@@ -286,9 +323,11 @@ def _tree_candidates(rows: DataFrame) -> DataFrame:
                 x, y = tree_pairs(group[at], size[at], comp[at], bits[at], None if sides is None else sides[at])
                 found.append(np.stack((at[x], at[y])))
         x, y = np.concatenate(found, axis=1)
+        enough = overlap_enough(scaled, size, x, y)
+        x, y = x[enough], y[enough]
         order = np.argsort(group[x], kind="stable")
         x, y = x[order], y[order]
-        lists = part.column("tokens").chunk(0) if part.num_rows else None
+        lists = part.column("tokens").chunk(0)
         times = np.zeros(len(x), np.int64)
         heads = np.flatnonzero(np.diff(group[x], prepend=-1))
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=False):  # of each group with pairs: which row has which token
@@ -301,8 +340,11 @@ def _tree_candidates(rows: DataFrame) -> DataFrame:
             for k in range(a, b, 1 << 14):
                 c = slice(k, min(b, k + (1 << 14)))
                 times[c] = np.bitwise_count(packed[x[c] - low] & packed[y[c] - low]).sum(1, dtype=np.int64)
-        s, t = sig[x], sig[y]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(times), pa.array(np.minimum(size[x], size[y]).astype(np.int64))], ["a", "b", "n", "least"])
+        elsewhere = open_ - lists.value_lengths().to_numpy()
+        least = np.minimum(size[x], size[y])
+        may = times + np.minimum(elsewhere[x], elsewhere[y]) >= least_shared(least)
+        s, t, times, least = sig[x[may]], sig[y[may]], times[may], least[may]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(times), pa.array(least)], ["a", "b", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -321,26 +363,35 @@ def _tree_candidates(rows: DataFrame) -> DataFrame:
                 yield solve(rest.slice(0, upto), np.cumsum(new)[:upto])
             rest = rest.slice(upto)
 
-    return arrow_map(rows.select("p", "i", "j", "blk", "sig", "comp", "size", "bits", "tokens"), run, "a long, b long, n long, least long")
+    return arrow_map(rows.select("p", "i", "j", "blk", "sig", "comp", "size", "open", "bits", "tokens"), run, "a long, b long, n long, least long")
 
 
-def _open_rows(tokens: DataFrame, comp: DataFrame) -> DataFrame:
-    """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link."""
-    placed = tokens.select("token", "sig", "size").join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    placed = stored(placed, "placed")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    rows = stored(placed.join(stored(apart, "open-tokens"), "token"), "open")
-    may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("s")).filter(_partners_share("n", "s")).select("sig")
-    return stored(rows.join(stored(may, "open-sets"), "sig", "left_semi"), "open")
+def _open_rows(tokens: DataFrame, comp: DataFrame | None, into: Scratch) -> DataFrame:
+    """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link.
 
+    open: how many such tokens the set has.  Components only grow together, so what is left out stays out: the rows of
+    one round are the tokens of the next.  comp: None where every set is a component of its own.
+    """
+    tokens = tokens.select("token", "sig", "size")
+    with Scratch(tokens.sparkSession) as scratch:
+        if comp is None:
+            placed = tokens.withColumn("comp", F.col("sig"))
+        else:
+            placed = tokens.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+            placed = scratch.stored(placed, "placed")
+        apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+        rows = scratch.stored(placed.join(scratch.stored(apart, "open-tokens"), "token"), "open")
+        may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("open"), F.max("size").alias("s")).filter(_partners_share("open", "s")).select("sig", "open")
+        return into.stored(rows.join(scratch.stored(may, "open-sets"), "sig"), "open")
 
-def _stars(rows: DataFrame, seed: int) -> DataFrame:
+
+def _stars(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """For each set the one pair (a, b) with the pivot, in another component, that it shares most tokens with.
 
     The pivot of a token is its set of smallest hash, another one for each seed.
     """
     rank = F.struct(F.xxhash64("sig", F.lit(seed)), F.col("sig"), F.col("comp"))
-    pivots = stored(rows.groupBy("token").agg(F.min(rank).alias("r")).select("token", F.col("r.sig").alias("p"), F.col("r.comp").alias("p_comp")), "pivots")
+    pivots = scratch.stored(rows.groupBy("token").agg(F.min(rank).alias("r")).select("token", F.col("r.sig").alias("p"), F.col("r.comp").alias("p_comp")), "pivots")
     met = rows.join(pivots, "token").filter("comp <> p_comp").groupBy("sig", "p").agg(F.count(F.lit(1)).alias("n"))
     return met.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("sig").alias("b"))
 
@@ -350,29 +401,32 @@ def _with_end(items):
     yield None
 
 
-def _links(tokens: DataFrame, full: DataFrame, rounds: int, block: int) -> DataFrame:
-    """All links that components need: rounds of stars, then signature trees over what is still apart."""
-    spark = tokens.sparkSession
-    links, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")
-    rows = _open_rows(tokens, comp)
+def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block: int) -> DataFrame:
+    """All links that components need: rounds of stars, then signature trees over what is still apart.  held: has the rows."""
+    spark = full.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
     for seed in range(rounds):
         if rows.isEmpty():
             return links
-        new = _verified(_stars(rows, seed), full)
+        with Scratch(spark) as scratch:
+            new = _verified(_stars(rows, seed, scratch), full)
         if new.isEmpty():
             break
         links = links.union(new)
-        comp = components(links)
-        rows = _open_rows(tokens, comp)
-    pivots = stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
-    groups = rows.join(pivots, "token").groupBy("p", "sig").agg(F.collect_list("token").alias("tokens"), F.max("size").alias("size"), F.max("comp").alias("comp"))  # a set's own tokens
-    groups = stored(groups, "groups")
-    count = stored(groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
-    rows = groups.join(count, "p").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
-    rows = rows.join(full.select("sig", "bits"), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
-    pairs = _tree_candidates(rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
-    return links.union(_verified(pairs.filter("n >= least div 20 + 1").select("a", "b"), full))
+        later = Scratch(spark)
+        rows = _open_rows(rows, components(links), later)
+        held.clear()
+        held = later
+    with held, Scratch(spark) as scratch:
+        pivots = scratch.stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
+        groups = rows.join(pivots, "token").groupBy("p", "sig").agg(F.collect_list("token").alias("tokens"), *(F.max(c).alias(c) for c in ("size", "comp", "open")))  # a set's own tokens
+        groups = scratch.stored(groups, "groups")
+        count = scratch.stored(groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
+        placed = groups.join(count, "p").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+        placed = placed.join(full.select("sig", "bits"), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
+        pairs = _tree_candidates(placed).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+        return links.union(_verified(pairs.filter("n >= least div 20 + 1").select("a", "b"), full))
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, rounds: int = 4, block: int = BLOCK) -> DataFrame:
@@ -384,21 +438,23 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broad
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(_sets(docs, key, text), "sets")
-    shared = stored(_shared_tokens(docs, text, buckets), "shared-tokens")
-    enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(_partners_share("n", "size")).select("sig")
-    tokens = stored(shared.join(enough, "sig"), "tokens")
-
-    chosen = sets.join(enough, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id"))
-    chosen = stored(chosen, "chosen")
-    ids = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-    texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, "__id")
+    held = Scratch(spark)
+    with Scratch(spark) as scratch:
+        shared = scratch.stored(_shared_tokens(docs, text, buckets), "shared-tokens")
+        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(_partners_share("n", "size")).select("sig")
+        rows = _open_rows(scratch.stored(shared.join(enough, "sig"), "tokens"), None, held)
+
     full = f"sets_{uuid.uuid4().hex}"
-    _full_sets(texts, "__text").dropDuplicates(["sig"]).write.option("path", work_dir(spark, "full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
-    try:
-        links = _links(tokens, spark.table(full), rounds, block)
-        comp = components(links)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {full}")
+    with Scratch(spark) as scratch:
+        chosen = sets.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id"))
+        chosen = scratch.stored(chosen, "chosen")
+        ids = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
+        texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, "__id")
+        _full_sets(texts, "__text").dropDuplicates(["sig"]).write.option("path", scratch.folder("full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
+        try:
+            comp = components(_links(rows, held, spark.table(full), rounds, block))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {full}")
 
     known = sets.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     known = stored(known, "known")

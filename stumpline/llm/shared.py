@@ -33,6 +33,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Folders of intermediate results that are deleted together once what was made of them is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def folder(self, name: str) -> str:
+        self.paths.append(work_dir(self.spark, name))
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """stored(), in a folder of this scratch."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        sc = self.spark.sparkContext
+        for p in self.paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
 _shipped: set[str] = set()
 
 

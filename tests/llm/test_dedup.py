@@ -161,6 +161,17 @@ def test_tree_prunes_nothing_that_links():
         assert len(found) < len(sets) ** 2 / 3
 
 
+def test_scaled_bitmaps_drop_only_what_cannot_link():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 63, 9000, dtype=np.uint64)
+    other = rng.integers(1, 1 << 63, 9000, dtype=np.uint64)
+    sets = [base, np.concatenate((base[:8000], other[:1000])), np.concatenate((base[:2000], other[:7000])), base[:100], base[:90]]
+    scaled, size = [jaccard_join.scaled_bitmap(x) for x in sets], np.array([len(x) for x in sets])
+    assert np.array_equal(np.stack([jaccard_join.folded(b, jaccard_join.BITS // 8) for b in scaled]), jaccard_join.bitmaps(np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))))
+    x, y = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4])
+    assert jaccard_join.overlap_enough(scaled, size, x, y).tolist() == [True, False, False, True]
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 105), (105, 103), (7, 7)]
     out = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
