@@ -51,14 +51,16 @@ class PPMModel:
 
     def _grow(self, coded: dict[str, np.ndarray]) -> None:
         width, names = self.width, self.names
-        #: contexts[k][n]: for each byte from ORDER on, its last k symbols as a number.
-        contexts = [{n: np.zeros(max(0, len(s) - ORDER), np.int64) for n, s in coded.items()} for _ in range(ORDER + 1)]
-        for k in range(1, ORDER + 1):
-            for n, s in coded.items():
-                contexts[k][n] = contexts[k - 1][n] + s[ORDER - k : len(s) - k].astype(np.int64) * width ** (k - 1)
         # The symbols 0 between texts are context, never counted themselves.
         told = {n: s[ORDER:] != 0 for n, s in coded.items()}
-        contexts = [{n: x[told[n]] for n, x in of.items()} for of in contexts]
+        #: contexts[k][n]: for each counted byte, its last k symbols as a number (below 256 ** ORDER, so four bytes hold it).
+        whole = {n: np.zeros(max(0, len(s) - ORDER), np.uint32) for n, s in coded.items()}
+        contexts = [{n: x[told[n]] for n, x in whole.items()}]
+        for k in range(1, ORDER + 1):
+            for n, s in coded.items():
+                whole[n] += s[ORDER - k : len(s) - k].astype(np.uint32) * np.uint32(width ** (k - 1))
+            contexts.append({n: x[told[n]] for n, x in whole.items()})
+        del whole
         counted = [np.unique(np.concatenate([contexts[k][n] for n in names] or [np.zeros(0, np.int64)]), return_counts=True) for k in range(ORDER + 1)]
         pairs = np.sort(counted[2][0][np.argsort(-counted[2][1], kind="stable")[:PAIRS]])
         self.pair = np.zeros(width * width, np.int16)
