@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, file_at, row_at.
 
     Of equal texts the row with the largest doc_id stays.  broadcast_rows: most locators of hits that are broadcast to
-    fetch their texts (16 bytes each); more of them go through a shuffled join.
+    fetch their texts (about 100 bytes each, two digests among them); more of them go through a shuffled join.
     """
     spark = docs.sparkSession
     content = located(docs, [key, text])
