@@ -73,14 +73,17 @@ def by_occurrence(left: DataFrame, right: DataFrame, group: list[str], label: st
 def nearest_day(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, right_id: str, days: int = 1) -> DataFrame:
     """left with the right row of equal keys whose day is nearest, within `days`: the exact day first, then the earlier, then the smaller id.
 
-    The range condition is turned into equality on day buckets, so both sides shuffle by key and bucket.
+    The range condition is turned into equality on days: right comes to one row for each key and day, these rows are dealt
+    to the days around them, and left meets at most one of them.  So the work grows with the rows, not with their pairs.
     """
-    own = left.withColumn("__row", F.monotonically_increasing_id())
-    spread = own.withColumn("__day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add(c(left_day).cast("date"), k))))
-    other = right.select(*keys, c(right_day).cast("date").alias("__day"), c(right_id).alias("matched_id"), c(right_day).alias("matched_day"))
-    gap = F.abs(F.datediff("matched_day", left_day))
-    found = spread.join(other, [*keys, "__day"]).groupBy("__row").agg(F.min(F.struct(gap.alias("gap"), c("matched_day"), c("matched_id"))).alias("best"))
-    return own.join(found, "__row", "left").select("*", "best.matched_id", "best.matched_day", c("best.gap").alias("gap")).drop("__row", "best")
+    day = c(right_day).cast("date").alias("__day")
+    own = right.groupBy(*keys, day).agg(F.min(F.struct(c(right_day).alias("matched_day"), c(right_id).alias("matched_id"))).alias("r"))
+    around = F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.struct(F.date_add("__day", k).alias("day"), F.abs(k).alias("gap"))))
+    spread = own.select(*keys, "r", around.alias("at"))
+    best = F.min(F.struct(c("at.gap").alias("gap"), c("r.matched_day"), c("r.matched_id"))).alias("best")
+    found = spread.groupBy(*keys, c("at.day").alias("__day")).agg(best)
+    out = left.withColumn("__day", c(left_day).cast("date")).join(found, [*keys, "__day"], "left")
+    return out.select(*left.columns, "best.matched_id", "best.matched_day", c("best.gap").alias("gap"))
 
 
 def running_score(x: DataFrame, group: list[str], order: str, runs: Column, wicket: Column) -> DataFrame:

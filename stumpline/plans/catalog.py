@@ -84,6 +84,13 @@ def _nearest(orders: DataFrame) -> DataFrame:
     return out.select("o_orderkey", "matched_id", c("gap").cast("long").alias("gap"))
 
 
+def _nearest_whole(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Every order with the line of its priority, among all lines, that is shipped nearest to its day."""
+    shipped = lineitem.join(orders.select(c("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    out = reconcile.nearest_day(orders, shipped, ["o_orderpriority"], "o_orderdate", "l_shipdate", "l_orderkey")
+    return out.select("o_orderkey", "matched_id", c("gap").cast("long").alias("gap"))
+
+
 def _gaps(customer: DataFrame) -> DataFrame:
     tag = lambda df, t: df.select("c_custkey", "c_nationkey", F.lit(t).cast("long").alias("t"))
     both = relational.fill_gaps(tag(customer.filter("c_custkey % 2 = 0"), 0), tag(customer.filter("c_custkey % 3 = 0"), 1), ["c_custkey"])
@@ -233,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "null_safe_reconcile": on_table("lineitem", _reconcile_lines),
     "occurrence_merge": on_table("conversations", _occurrences),
     "asof_day_pair": on_table("orders", _nearest),
+    "asof_day_pair_whole": on_tables("orders lineitem", _nearest_whole),
     "filtered_aggs": on_table("lineitem", lambda t: t.groupBy("l_returnflag").agg(count_where(c("l_linestatus") == "O").alias("open_lines"), F.sum(F.when(c("l_quantity") > 25, c("l_linenumber"))).alias("big_lines"), F.round(F.var_pop(F.when(c("l_quantity") > 25, c("l_linenumber"))), 6).alias("spread"))),
     "distinct_tuple": on_table("lineitem", lambda t: t.groupBy("l_returnflag").agg(F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("pairs"))),
     "list_distinct_sorted": on_table("orders", lambda t: t.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("priorities"))),

@@ -229,6 +229,7 @@ ORACLES: dict[str, str] = {
     "null_safe_reconcile": "SELECT l_orderkey, CASE WHEN r IS NULL THEN 'extra' WHEN o IS NULL THEN 'missing' ELSE 'differs' END AS status FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 7 <> 0 THEN count(*) END AS o FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) a FULL OUTER JOIN (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN count(*) + 1 ELSE count(*) END AS r FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_orderkey % 7 <> 0 GROUP BY 1) b USING (l_orderkey) WHERE o IS DISTINCT FROM r",
     "occurrence_merge": "WITH a AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), z AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)), s AS (SELECT DISTINCT conv_id, n AS m FROM z) SELECT a.conv_id, a.turn, a.role, z.turn AS right_turn FROM a LEFT JOIN s USING (conv_id) LEFT JOIN z ON z.conv_id = a.conv_id AND CASE WHEN a.n = s.m THEN a.p = z.p ELSE a.role = z.role AND a.k = z.k END",
     "asof_day_pair": "SELECT o_orderkey, matched_id, gap FROM (SELECT o.o_orderkey, s.o_orderkey AS matched_id, abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) AS gap, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) NULLS LAST, s.o_orderdate, s.o_orderkey) AS k FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) o LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 1) s ON s.o_orderpriority = o.o_orderpriority AND abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) <= 1) WHERE k = 1",
+    "asof_day_pair_whole": "SELECT o_orderkey, matched_id, gap FROM (SELECT o.o_orderkey, s.l_orderkey AS matched_id, abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) AS gap, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) NULLS LAST, s.l_shipdate, s.l_orderkey) AS k FROM orders o LEFT JOIN (SELECT l_orderkey, l_shipdate, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey) s ON s.o_orderpriority = o.o_orderpriority AND abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) <= 1) WHERE k = 1",
     "filtered_aggs": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS open_lines, CAST(sum(l_linenumber) FILTER (l_quantity > 25) AS BIGINT) AS big_lines, round(var_pop(l_linenumber) FILTER (l_quantity > 25), 6) AS spread FROM lineitem GROUP BY l_returnflag",
     "distinct_tuple": "SELECT l_returnflag, count(DISTINCT (l_partkey, l_suppkey)) AS pairs FROM lineitem GROUP BY l_returnflag",
     "list_distinct_sorted": "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS priorities FROM orders GROUP BY o_custkey",

@@ -1,5 +1,6 @@
 """Second source, sinks, reconciliation, small operators, streams."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from stumpline.functions import columns as col
 from stumpline.operators import innings, match_flow, reconcile, relational
 from stumpline.plans import events_archive
+from stumpline.plans.catalog import QUERIES
 from stumpline.sources import play_by_play, sinks
 from stumpline.streaming import live
 
@@ -111,6 +113,46 @@ def test_by_occurrence_uses_labels_where_counts_differ(spark):
     assert got == {(1, 1): "R2", (1, 2): "R1", (1, 3): None, (2, 1): "S1", (2, 2): "S2"}
 
 
+def days_apart(spark):
+    """Two hundred rows of one key and day on either side, and rows at its edges; without a key or a day there is no match."""
+    day = lambda n, hour=0: dt.datetime(2024, 1, n, hour)
+    left = [("a", day(10, k % 24), k) for k in range(200)] + [("a", day(9), 300), ("a", day(11), 301), ("a", day(13), 302), ("b", day(10), 303), (None, day(10), 304), ("a", None, 305), ("c", day(20), 306), ("c", day(20), 307)]
+    right = [("a", day(10, 5), 1000 + k) for k in range(200)] + [("a", day(10, 4), 1500), ("c", day(21), 5), ("c", day(19, 3), 9), ("c", day(19, 3), 8), (None, day(10), 1), ("c", None, 2)]
+    return left, right, spark.createDataFrame(left, "k string, at timestamp_ntz, id long"), spark.createDataFrame(right, "k string, day timestamp_ntz, other long")
+
+
+def test_nearest_day_as_brute_force(spark):
+    left, right, a, b = days_apart(spark)
+    want = {}
+    for k, at, i in left:
+        near = [(abs((day.date() - at.date()).days), day, other) for key, day, other in right if at and day and k and key == k and abs((day.date() - at.date()).days) <= 1]
+        want[i] = min(near, default=(None, None, None))
+    got = reconcile.nearest_day(a, b, ["k"], "at", "day", "other")
+    assert got.columns == ["k", "at", "id", "matched_id", "matched_day", "gap"]
+    assert {r.id: (r.gap, r.matched_day, r.matched_id) for r in got.collect()} == want and got.count() == len(left)
+
+
+def test_nearest_day_joins_no_pairs_of_a_day(spark):
+    _, _, a, b = days_apart(spark)
+    got = reconcile.nearest_day(a, b, ["k"], "at", "day", "other")
+    got.collect()
+    nodes, made = [got._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        n = nodes.pop()
+        if n.nodeName() == "AdaptiveSparkPlan" or n.nodeName().endswith("QueryStage"):
+            nodes.append(n.executedPlan() if n.nodeName() == "AdaptiveSparkPlan" else n.plan())
+        elif "Join" in n.nodeName():
+            made.append(n.metrics().apply("numOutputRows").value())
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    assert made and max(made) <= a.count()
+
+
+def test_whole_pairs_have_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = QUERIES["asof_day_pair_whole"](spark, SF)
+    assert got.join(orders, "o_orderkey").count() == got.count() == orders.count()
+
+
 def test_page_and_samples(spark):
     df = spark.range(10)
     rows, more = relational.page(df, [F.col("id")], 3, 4)
