@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, buffers, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
-from .winnow import anchors, fetched, text_id
+from .winnow import LEAST, anchors, fetched, text_id
 
 WINDOW, GRAM = 50, 10
 MAX_RUNS = 2
 PART = 2 << 20
-LEAST = -(2**63)
 #: Odd base of the hashes of word sequences, and its inverse modulo 2^64.
 STEP = 0xC2B2AE3D27D4EB4F
 STEP_INV = pow(STEP, -1, 1 << 64)

@@ -18,7 +18,8 @@ to 64-bit hashes of shingles and sets.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null or wordless text has an empty set and
 links with nothing; fewer than five words make one shingle; empty table, empty result; rows that repeat a doc_id get a
-row each (they link as their texts do).  Only the named columns are read.
+row each (they link as their texts do); a row without doc_id links as its text does and gets the smallest doc_id that its
+component has, null if it has none, and keep_one_of_each keeps it.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,14 +265,19 @@ def _shared_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, text: str) -> DataFrame:
-    """sig, size, bits (scaled bitmap), hashes (sorted shingles) of docs that have a column sig."""
+    """sig, size, bits (scaled bitmap), hashes (sorted shingles) of docs that have a column sig: null, or the set wanted of a text.
+
+    A text whose set is not the one wanted is left out, as rows that repeat a doc_id bring each other's texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1, PART):
                 hashes, at = shingle_sets(batch.column(1))
                 bits = [scaled_bitmap(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(bits, pa.binary()), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
+                sig = pa.array(signatures(hashes, at))
+                found = pa.RecordBatch.from_arrays([sig, pa.array(np.diff(at)), pa.array(bits, pa.binary()), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
+                yield found.filter(pc.fill_null(pc.equal(batch.column(0), sig), True))
 
     return arrow_map(docs.select("sig", text), run, "sig long, size long, bits binary, hashes binary")
 
@@ -450,7 +457,12 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broad
         chosen = scratch.stored(chosen, "chosen")
         ids = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
         texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, "__id")
-        _full_sets(texts, "__text").dropDuplicates(["sig"]).write.option("path", scratch.folder("full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
+        whole = _full_sets(texts, "__text")
+        lost = chosen.filter("__id is null").select("sig")
+        if not lost.isEmpty():  # no row of these sets has an id: their texts are found by their sets
+            texts = docs.filter(F.col(key).cast("long").isNull()).select(F.lit(None).cast("long").alias("sig"), F.col(text).alias("__text"))
+            whole = whole.unionByName(_full_sets(texts, "__text").join(F.broadcast(lost) if chosen.count() <= broadcast_rows else lost, "sig", "left_semi"))
+        whole.dropDuplicates(["sig"]).write.option("path", scratch.folder("full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
         try:
             comp = components(_links(rows, held, spark.table(full), rounds, block))
         finally:

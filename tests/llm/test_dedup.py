@@ -70,6 +70,20 @@ def test_substrings_of_none(spark, empty):
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in rows) == [(-1, 80, 0), (3, 0, 0), (5, 80, 80), (5, 80, 80)]
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_substrings_shared_with_texts_without_id(spark, broadcast):
+    words = lambda a, b: [f"w{k}" for k in range(a, b)]
+    texts = [(None, words(0, 80)), (None, words(1000, 1070)), (3, words(200, 230) + words(10, 75)), (4, words(1000, 1060) + words(300, 310)), (5, words(400, 470))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(3)
+    index = fingerprint_index.FingerprintIndex(spark)
+    index.add(df, "doc_id", "text")
+    cut = {r.n_removed for r in index.removed(df, "doc_id", "text", broadcast).collect()}
+    index.close()
+    assert cut == {65, 60}
+    want = sorted(words_brute([(i if i is not None else -1, " ".join(w)) for i, w in texts], 50), key=repr)
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in fingerprint_index.substring_dedup(df).collect()), key=repr) == want
+
+
 def bytes_brute(corpus, window):
     seen, out = {}, []
     raw = [(i, (t or "").encode()) for i, t in corpus]
@@ -143,6 +157,16 @@ def test_near_copies_of_none(spark, empty, docs, corpus):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in sorted(sets_brute(corpus)) if i == c]
 
 
+@pytest.mark.parametrize(("rounds", "broadcast"), [(4, 10**6), (0, 0)])
+def test_near_copies_of_texts_without_id(spark, rounds, broadcast):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    # 1 and 2 link through a text without id only; two texts without id link with each other only; 7 is two texts.
+    rows = [(1, words(0, 100)), (None, words(10, 110)), (2, words(20, 120)), (None, words(500, 600)), (None, words(505, 605)), (3, words(900, 980)), (7, words(2000, 2100)), (7, words(3000, 3100)), (8, words(2003, 2103)), (9, words(3003, 3103))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.similar_sets(df, rounds=rounds, broadcast_rows=broadcast).collect()), key=repr)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (3, 3), (7, 7), (7, 7), (8, 7), (9, 7)], key=repr)
+
+
 def test_tree_prunes_nothing_that_links():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64)) for _ in range(12)]
