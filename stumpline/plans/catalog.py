@@ -50,6 +50,18 @@ def _reconcile_lines(lineitem: DataFrame) -> DataFrame:
     return out.filter(~c("n_ours").eqNullSafe(c("n_ref"))).select("l_orderkey", status.alias("status"))
 
 
+def _reconcile_whole(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Sums of all lines against the totals of all orders, order by order, by customer and by year."""
+    heads = orders.select("o_orderkey", c("o_custkey").alias("customer"), F.year("o_orderdate").cast("long").alias("year"), "o_totalprice")
+    lines = lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("price")).join(heads.drop("o_totalprice"), "o_orderkey", "left")
+
+    def level(name: str, key: str) -> DataFrame:
+        total = lambda df, price: df.groupBy(c(key).alias("key")).agg(F.round(F.sum(price), 2).alias("total"))
+        return reconcile.differences(total(lines, "price"), total(heads, "o_totalprice"), ["key"], ["total"]).select(F.lit(name).alias("level"), "key", "status")
+
+    return relational.union_all([level("order", "o_orderkey"), level("customer", "customer"), level("year", "year")])
+
+
 def _occurrences(conversations: DataFrame) -> DataFrame:
     right = conversations.filter(~((c("conv_id") % 3 == 0) & (c("turn") == 1)))
     return reconcile.by_occurrence(conversations.select("conv_id", "turn", "role"), right, ["conv_id"], "role", "turn", ["turn"])
@@ -97,6 +109,12 @@ def _gaps(customer: DataFrame) -> DataFrame:
     return both.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("new_rows"))
 
 
+def _gaps_whole(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Number of lines of every order: those that lines name, and those of orders that no line names."""
+    named = lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return relational.fill_gaps(named, orders.select("o_orderkey", F.lit(0).cast("long").alias("n")), ["o_orderkey"])
+
+
 def _cues(documents: DataFrame) -> DataFrame:
     return grounds.cue_counts(documents, "text", {"and then": r"\b(and|und) th", "not been": r"(^| )be( |$)", "never": r"\bqqqq\b"})
 
@@ -238,6 +256,7 @@ QUERIES: dict[str, Query] = {
     "anti_source_union": on_table("events", _two_sources),
     "semi_years": on_tables("orders customer", _years),
     "null_safe_reconcile": on_table("lineitem", _reconcile_lines),
+    "null_safe_reconcile_whole": on_tables("lineitem orders", _reconcile_whole),
     "occurrence_merge": on_table("conversations", _occurrences),
     "asof_day_pair": on_table("orders", _nearest),
     "asof_day_pair_whole": on_tables("orders lineitem", _nearest_whole),
@@ -252,6 +271,7 @@ QUERIES: dict[str, Query] = {
     "evenly_spaced": on_table("events", lambda t: relational.evenly_spaced(t, ["user_id"], "event_id", 5).select("user_id", "event_id")),
     "keyword_search": on_table("part", lambda t: relational.search(t, ["p_name", "p_brand", "p_type"], "ring economy").select("p_partkey", "p_name", "p_type")),
     "fill_gaps": on_table("customer", _gaps),
+    "fill_gaps_whole": on_tables("lineitem orders", _gaps_whole),
     "page_of_orders": on_table("orders", lambda t: t.orderBy(c("o_orderdate").desc(), "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_orderdate")),
     "tumbling_batch": on_table("events", lambda t: t.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(c("w.start").alias("hour_start"), "event_type", "n")),
     "session_batch": on_table("events", _sessions),

@@ -227,6 +227,7 @@ ORACLES: dict[str, str] = {
     "anti_source_union": "SELECT user_id, count(*) AS n, max(source) AS source FROM (SELECT user_id, 'canonical' AS source FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, 'fallback' FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')) GROUP BY user_id",
     "semi_years": "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (SELECT year(o_orderdate) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 AND o_totalprice > 300000) GROUP BY 1",
     "null_safe_reconcile": "SELECT l_orderkey, CASE WHEN r IS NULL THEN 'extra' WHEN o IS NULL THEN 'missing' ELSE 'differs' END AS status FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 7 <> 0 THEN count(*) END AS o FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) a FULL OUTER JOIN (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN count(*) + 1 ELSE count(*) END AS r FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_orderkey % 7 <> 0 GROUP BY 1) b USING (l_orderkey) WHERE o IS DISTINCT FROM r",
+    "null_safe_reconcile_whole": "WITH h AS (SELECT o_orderkey, o_custkey AS customer, year(o_orderdate) AS year, o_totalprice FROM orders), l AS (SELECT x.o_orderkey, customer, year, price FROM (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1) x LEFT JOIN h USING (o_orderkey)) SELECT 'order' AS level, key, CASE WHEN r.key IS NULL THEN 'extra' WHEN a.key IS NULL THEN 'missing' ELSE 'differs' END AS status FROM (SELECT o_orderkey AS key, round(sum(price), 2) AS total FROM l GROUP BY 1) a FULL OUTER JOIN (SELECT o_orderkey AS key, round(sum(o_totalprice), 2) AS total FROM h GROUP BY 1) r USING (key) WHERE r.key IS NULL OR a.key IS NULL OR a.total IS DISTINCT FROM r.total UNION ALL SELECT 'customer' AS level, key, CASE WHEN r.key IS NULL THEN 'extra' WHEN a.key IS NULL THEN 'missing' ELSE 'differs' END AS status FROM (SELECT customer AS key, round(sum(price), 2) AS total FROM l GROUP BY 1) a FULL OUTER JOIN (SELECT customer AS key, round(sum(o_totalprice), 2) AS total FROM h GROUP BY 1) r USING (key) WHERE r.key IS NULL OR a.key IS NULL OR a.total IS DISTINCT FROM r.total UNION ALL SELECT 'year' AS level, key, CASE WHEN r.key IS NULL THEN 'extra' WHEN a.key IS NULL THEN 'missing' ELSE 'differs' END AS status FROM (SELECT year AS key, round(sum(price), 2) AS total FROM l GROUP BY 1) a FULL OUTER JOIN (SELECT year AS key, round(sum(o_totalprice), 2) AS total FROM h GROUP BY 1) r USING (key) WHERE r.key IS NULL OR a.key IS NULL OR a.total IS DISTINCT FROM r.total",
     "occurrence_merge": "WITH a AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), z AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)), s AS (SELECT DISTINCT conv_id, n AS m FROM z) SELECT a.conv_id, a.turn, a.role, z.turn AS right_turn FROM a LEFT JOIN s USING (conv_id) LEFT JOIN z ON z.conv_id = a.conv_id AND CASE WHEN a.n = s.m THEN a.p = z.p ELSE a.role = z.role AND a.k = z.k END",
     "asof_day_pair": "SELECT o_orderkey, matched_id, gap FROM (SELECT o.o_orderkey, s.o_orderkey AS matched_id, abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) AS gap, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) NULLS LAST, s.o_orderdate, s.o_orderkey) AS k FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) o LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 1) s ON s.o_orderpriority = o.o_orderpriority AND abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.o_orderdate AS DATE))) <= 1) WHERE k = 1",
     "asof_day_pair_whole": "SELECT o_orderkey, matched_id, gap FROM (SELECT o.o_orderkey, s.l_orderkey AS matched_id, abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) AS gap, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) NULLS LAST, s.l_shipdate, s.l_orderkey) AS k FROM orders o LEFT JOIN (SELECT l_orderkey, l_shipdate, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey) s ON s.o_orderpriority = o.o_orderpriority AND abs(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.l_shipdate AS DATE))) <= 1) WHERE k = 1",
@@ -241,6 +242,7 @@ ORACLES: dict[str, str] = {
     "evenly_spaced": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n <= 5 OR i = 0 OR (i * 4) // greatest(n - 1, 1) > ((i - 1) * 4) // greatest(n - 1, 1)",
     "keyword_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'ring') AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'economy')",
     "fill_gaps": "SELECT c_nationkey, count(*) AS n, CAST(sum(t) AS BIGINT) AS new_rows FROM (SELECT c_custkey, c_nationkey, 0 AS t FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_nationkey, 1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0) GROUP BY c_nationkey",
+    "fill_gaps_whole": "SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "page_of_orders": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50",
     "tumbling_batch": "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "session_batch": "SELECT user_id, session_start, n FROM (SELECT user_id, s, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s)",

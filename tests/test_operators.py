@@ -153,6 +153,15 @@ def test_whole_pairs_have_every_order(spark):
     assert got.join(orders, "o_orderkey").count() == got.count() == orders.count()
 
 
+def test_whole_tables_are_reconciled_and_filled(spark, tmp_path):
+    spark.createDataFrame([(1, 10.0), (1, 5.5), (2, 4.0), (9, 1.0), (5, None)], "l_orderkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    day = dt.datetime(2000, 5, 1)
+    spark.createDataFrame([(1, 7, day, 15.5), (2, 7, day, 5.0), (3, 8, day, 2.0), (5, 6, day, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["null_safe_reconcile_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("order", 2, "differs"), ("order", 3, "missing"), ("order", 9, "extra"), ("customer", 7, "differs"), ("customer", 8, "missing"), ("customer", None, "extra"), ("year", 2000, "differs"), ("year", None, "extra")}
+    assert {tuple(r) for r in QUERIES["fill_gaps_whole"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 1), (3, 0), (5, 1), (9, 1)}
+
+
 def test_page_and_samples(spark):
     df = spark.range(10)
     rows, more = relational.page(df, [F.col("id")], 3, 4)
