@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from .shared import stored, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Session settings while the stream runs.  Files are not preallocated: that takes 4 MB for each partition of the state.
-SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+STORE = "spark.sql.streaming.stateStore"
+#: Session settings while the stream runs.  All stores of an executor share one bounded native memory.  A commit writes
+#: one changelog file for each partition, not a snapshot of several files; snapshots are left to the maintenance thread,
+#: which comes often, so that the stores of ended streams are unloaded.  Files are not preallocated (4 MB a partition).
+SETTINGS = {
+    f"{STORE}.providerClass": ROCKSDB, f"{STORE}.maintenanceInterval": "15s", f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{STORE}.rocksdb.writeBufferSizeMB": "8", f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true", f"{STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def located(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,9 +44,14 @@ def located(docs: DataFrame, columns: list[str]) -> DataFrame:
 class DedupState:
     """Digest state below one folder.  add() may be called again and again: later rows meet the state of earlier ones."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None, digest_bytes: int = 32):
-        """digest_bytes: of SHA-256 that make the state's key; a small number makes clashes, for tests."""
-        self.spark, self.home, self.digest_bytes = spark, home or work_dir(spark, "dedup-state"), digest_bytes
+    def __init__(self, spark: SparkSession, home: str | None = None, digest_bytes: int = 32, partition_rows: int = 100_000):
+        """digest_bytes: of SHA-256 that make the state's key; a small number makes clashes, for tests.
+
+        partition_rows: rows of the first add() for each partition of the state (some 10 MB), whose number then stays:
+        at least the default parallelism and at most spark.sql.shuffle.partitions.  Every partition costs a database
+        and several files, so there are no more than the rows need.
+        """
+        self.spark, self.home, self.digest_bytes, self.partition_rows = spark, home or work_dir(spark, "dedup-state"), digest_bytes, partition_rows
 
     def add(self, content: DataFrame, key: str, text: str) -> None:
         """Logs the rows of located() content and runs the stream over what is new in the log."""
@@ -48,8 +59,10 @@ class DedupState:
         content.select(F.col(key).cast("long").alias("doc_id"), "file_at", "row_at", sha.alias("sha")).write.mode("append").parquet(f"{self.home}/log")
         log = self.spark.readStream.schema(self.log().schema).parquet(f"{self.home}/log")
         state = log.groupBy(self._digest().alias("digest")).agg(F.max(F.struct("doc_id", "file_at", "row_at")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
-        for k, v in SETTINGS.items():
+        most, cores = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism
+        settings = SETTINGS | {"spark.sql.shuffle.partitions": str(min(most, max(cores, -(-self.log().count() // self.partition_rows))))}
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:
             state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{self.home}/state").trigger(availableNow=True).start().awaitTermination()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -79,9 +81,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with the package shipped."""
+    """df.mapInArrow, with the package shipped.  A worker, which other tasks use again, gives back what a task has freed."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def run_and_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run_and_release, schema)
+
+
+def release() -> None:
+    """Returns freed memory of this process to the system, where its allocators can do so."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc_mod(column: str, n: int):
