@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,16 +13,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round every id takes the smallest label among its neighbours and itself, then the label of its label.  Partial
     minima combine before the shuffle, so an id with very many links costs a task one row.  Rounds end when no label
-    changes; every round is written to the shared folder, which cuts its lineage.
+    changes; every round is written to the shared folder, which cuts its lineage, and the one before it is deleted.
     """
-    both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both.y == labels.id).groupBy("x").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.id == near.x).select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        up = labels.select(F.col("id").alias("up_id"), F.col("comp").alias("up"))
-        jumped = step.join(up, step.next == up.up_id).select("id", F.least("next", "up").alias("comp"), "was")
-        jumped = stored(jumped, "labels")
-        labels = jumped.select("id", "comp")
-        if jumped.filter("comp <> was").isEmpty():
-            return labels
+    with Scratch(links.sparkSession) as scratch:
+        both = scratch.stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct(), "links")
+        held = Scratch(links.sparkSession)
+        labels = held.stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("comp")), "labels")
+        while True:
+            near = both.join(labels, both.y == labels.id).groupBy("x").agg(F.min("comp").alias("near"))
+            step = labels.join(near, labels.id == near.x).select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
+            up = labels.select(F.col("id").alias("up_id"), F.col("comp").alias("up"))
+            jumped = step.join(up, step.next == up.up_id).select("id", F.least("next", "up").alias("comp"), "was")
+            later = Scratch(links.sparkSession)
+            jumped = later.stored(jumped, "labels")
+            held.clear()
+            held, labels = later, jumped.select("id", "comp")
+            if jumped.filter("comp <> was").isEmpty():
+                return labels

@@ -81,7 +81,7 @@ class DedupState:
         return self.spark.read.format("statestore").load(f"{self.home}/state").select("key.*", "value.*").toDF("digest", "keep", "group_size")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_bytes: int = 32, broadcast_rows: int = 400_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_bytes: int = 32, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, file_at, row_at.
 
     Of equal texts the row with the largest doc_id stays.  broadcast_rows: most locators of hits that are broadcast to

@@ -135,7 +135,7 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
         self.runs = []
 
-    def removed(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    def removed(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 200_000) -> DataFrame:
         """tid, n_removed, sha of what is left, for texts that lose words; docs: all documents that were added."""
         window = self.window
         met = self.texts.select("tid", "first", F.explode("fps").alias("fp")).join(self.hits.distinct(), "fp")

@@ -19,7 +19,7 @@ to 64-bit hashes of shingles and sets.
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null or wordless text has an empty set and
 links with nothing; fewer than five words make one shingle; empty table, empty result; rows that repeat a doc_id get a
 row each (they link as their texts do); a row without doc_id links as its text does and gets the smallest doc_id that its
-component has, null if it has none, and keep_one_of_each keeps it.  Only the named columns are read.
+component has, null if it has none.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Scratch, arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds
+from .winnow import LEAST, fetched, text_id
 
 WORDS = 5
 BITS = 2048
 FANOUT = 8
 BLOCK = 4096  # sets of a group that one tree holds; more are split into blocks
 PART = 2 << 20
+TOKENS = 2 << 20  # prefix tokens of a bucket, about
 #: Odd multipliers of the words of a shingle.
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -198,15 +199,18 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.n
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 1, PART):
-                hashes, at = shingle_sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(signatures(hashes, at))], ["doc_id", "n_shingles", "sig"])
+            for batch in pieces(whole, 2, PART):
+                hashes, at = shingle_sets(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(signatures(hashes, at))], ["doc_id", "tid", "n_shingles", "sig"])
 
-    return arrow_map(docs.select(F.col(key).cast("long"), text), run, "doc_id long, n_shingles long, sig long")
+    return arrow_map(docs.select(F.col(key).cast("long"), text_id(F.col(text)), text), run, "doc_id long, tid long, n_shingles long, sig long")
 
 
-def _shared_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """token, sig, size of prefix tokens that at least two sets have."""
+def _shared_tokens(docs: DataFrame, text: str, partitions: int, buckets: int) -> DataFrame:
+    """token, sig, size of prefix tokens that at least two sets have.
+
+    Packed tokens lie sorted by bucket, so a task holds those of one bucket; copies of a set collapse as they come.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -234,52 +238,58 @@ def _shared_tokens(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                     ["bucket", "tokens", "sigs", "sizes", "counts"],
                 )
 
+    def distinct(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Rows (token, sig, size), each once, sorted by token."""
+        tokens, sig, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((sig, tokens))
+        tokens, sig, size = tokens[order], sig[order], size[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (sig[1:] != sig[:-1])
+        return tokens[new], sig[new], size[new]
+
+    def shared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tokens, sig, size = distinct(held)
+        same = tokens[1:] == tokens[:-1]
+        keep = np.zeros(len(tokens), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        at = np.flatnonzero(keep)
+        for k in range(0, len(at), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at[k : k + (1 << 18)]]) for x in (tokens, sig, size)], ["token", "sig", "size"])
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
+        bucket, held, n, most = None, [], 0, TOKENS
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for b, *blobs in zip(*columns, strict=True):
-                kept.setdefault(b, []).append(blobs)
-        for b in sorted(kept):
-            parts = kept.pop(b)
-            tokens, sigs, sizes, counts = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate((np.int64, np.int64, np.int32, np.int32)))
-            owner = np.repeat(np.arange(len(sigs)), counts)
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            head = np.flatnonzero(np.diff(tokens, prepend=tokens[0] - 1 if tokens[0] > -(2**63) else tokens[0] + 1))
-            head = head if len(head) and head[0] == 0 else np.append(0, head)
-            sig = sigs[owner]
-            shared = np.minimum.reduceat(sig, head) != np.maximum.reduceat(sig, head)
-            keep = np.repeat(shared, np.diff(np.append(head, len(tokens))))
-            tokens, sig, size = tokens[keep], sig[keep], sizes[owner[keep]]
-            order = np.lexsort((sig, tokens))
-            tokens, sig, size = tokens[order], sig[order], size[order]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (sig[1:] != sig[:-1])
-            for k in range(0, int(new.sum()), 1 << 18):
-                at = np.flatnonzero(new)[k : k + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(sig[at]), pa.array(size[at])], ["token", "sig", "size"])
+            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket and held:
+                    yield from shared(held)
+                    held, n, most = [], 0, TOKENS
+                bucket = b
+                tokens, sigs, sizes, counts = (np.frombuffer(x, kind) for x, kind in zip(blobs, (np.int64, np.int64, np.int32, np.int32), strict=True))
+                held.append((tokens, np.repeat(sigs, counts), np.repeat(sizes, counts)))
+                n += len(tokens)
+                if n > most:
+                    held = [distinct(held)]
+                    n = len(held[0][0])
+                    most = max(TOKENS, 2 * n)
+        if held:
+            yield from shared(held)
 
     packed = arrow_map(docs.select(text), pack, "bucket int, tokens binary, sigs binary, sizes binary, counts binary")
-    return arrow_map(packed.repartition(buckets, "bucket"), unpack, "token long, sig long, size int")
+    return arrow_map(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), unpack, "token long, sig long, size int")
 
 
-def _full_sets(docs: DataFrame, text: str) -> DataFrame:
-    """sig, size, bits (scaled bitmap), hashes (sorted shingles) of docs that have a column sig: null, or the set wanted of a text.
-
-    A text whose set is not the one wanted is left out, as rows that repeat a doc_id bring each other's texts.
-    """
+def _full_sets(texts: DataFrame) -> DataFrame:
+    """sig, size, bits (scaled bitmap), hashes (sorted shingles) of the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 1, PART):
-                hashes, at = shingle_sets(batch.column(1))
+            for batch in pieces(whole, 0, PART):
+                hashes, at = shingle_sets(batch.column(0))
                 bits = [scaled_bitmap(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                sig = pa.array(signatures(hashes, at))
-                found = pa.RecordBatch.from_arrays([sig, pa.array(np.diff(at)), pa.array(bits, pa.binary()), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
-                yield found.filter(pc.fill_null(pc.equal(batch.column(0), sig), True))
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(hashes, at)), pa.array(np.diff(at)), pa.array(bits, pa.binary()), strings(hashes.view(np.uint8), at * 8)], ["sig", "size", "bits", "hashes"])
 
-    return arrow_map(docs.select("sig", text), run, "sig long, size long, bits binary, hashes binary")
+    return arrow_map(texts.select("text"), run, "sig long, size long, bits binary, hashes binary")
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -436,33 +446,25 @@ def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block:
         return links.union(_verified(pairs.filter("n >= least div 20 + 1").select("a", "b"), full))
 
 
-def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, rounds: int = 4, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
-
-    broadcast_rows: most ids of candidate sets that are broadcast to fetch their texts; more go through a shuffled join.
-    rounds: of stars, at most.  block: sets of a tree; a larger group is split into pairs of blocks.
-    """
+def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: int, block: int) -> DataFrame:
+    """doc_id, tid, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = stored(_sets(docs, key, text), "sets")
     held = Scratch(spark)
     with Scratch(spark) as scratch:
-        shared = scratch.stored(_shared_tokens(docs, text, buckets), "shared-tokens")
+        prefix = "least(n_shingles, n_shingles - (3 * n_shingles + 3) div 4 + n_shingles div 20 + 1)"
+        tokens = sets.agg(F.coalesce(F.sum(F.expr(prefix)), F.lit(0))).first()[0]
+        shared = scratch.stored(_shared_tokens(docs, text, partitions, max(partitions, -(-tokens // TOKENS))), "shared-tokens")
         enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(_partners_share("n", "size")).select("sig")
         rows = _open_rows(scratch.stored(shared.join(enough, "sig"), "tokens"), None, held)
 
     full = f"sets_{uuid.uuid4().hex}"
     with Scratch(spark) as scratch:
-        chosen = sets.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id"))
-        chosen = scratch.stored(chosen, "chosen")
-        ids = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-        texts = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(ids, "__id")
-        whole = _full_sets(texts, "__text")
-        lost = chosen.filter("__id is null").select("sig")
-        if not lost.isEmpty():  # no row of these sets has an id: their texts are found by their sets
-            texts = docs.filter(F.col(key).cast("long").isNull()).select(F.lit(None).cast("long").alias("sig"), F.col(text).alias("__text"))
-            whole = whole.unionByName(_full_sets(texts, "__text").join(F.broadcast(lost) if chosen.count() <= broadcast_rows else lost, "sig", "left_semi"))
-        whole.dropDuplicates(["sig"]).write.option("path", scratch.folder("full-sets")).bucketBy(buckets, "sig").sortBy("sig").saveAsTable(full)
+        row = F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), "tid")
+        chosen = sets.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(row).alias("row"))
+        whole = _full_sets(fetched(docs, key, text, scratch.stored(chosen.select("row.*"), "chosen"), broadcast_rows))
+        whole.write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
         try:
             comp = components(_links(rows, held, spark.table(full), rounds, block))
         finally:
@@ -470,15 +472,33 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broad
 
     known = sets.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     known = stored(known, "known")
-    least = stored(known.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "tid"))
+    least = stored(known.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), keeper.alias("keeper")), "least")
     out = known.join(least, "comp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return out.select(
+        "doc_id", "tid", "n_shingles", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~some | (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.tid") == F.col("tid")))).alias("kept"),
+    )
+
+
+def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000, rounds: int = 4, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
+
+    broadcast_rows: most ids of candidate sets that are broadcast to fetch their texts; more go through a shuffled join.
+    rounds: of stars, at most.  block: sets of a tree; a larger group is split into pairs of blocks.
+    """
+    return _linked(docs, key, text, broadcast_rows, rounds, block).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the smallest doc_id of each component only; rows that share it stay together.  All columns as they were."""
-    kept = similar_sets(docs, key, text).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with one text of each component only, that of the smallest doc_id (null ids last).  All columns as they were.
+
+    Rows that share both doc_id and text with the one that stays, stay with it; texts without words all stay.
+    """
+    kept = _linked(docs, key, text, broadcast_rows, 4, BLOCK).filter("kept").select(F.col("doc_id").alias("__kept"), F.col("tid").alias("__tid")).distinct()
+    same = F.col(key).cast("long").eqNullSafe(F.col("__kept")) & (text_id(F.col(text)) == F.col("__tid"))
+    return docs.join(kept, same, "left_semi")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,9 +21,14 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a session of one process; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stumpline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -306,7 +306,7 @@ def _hot_found(held: DataFrame, window: int) -> DataFrame:
     return windows.join(again, "h").select("tid", "low", (F.col("low") + window).alias("high"))
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: int = CHUNK, hot: int = 50_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: int = CHUNK, hot: int = 50_000, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     window: a multiple of 8 between GRAM and DEPTH.  hot: occurrences of an anchor beyond which its windows are counted

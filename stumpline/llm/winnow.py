@@ -55,13 +55,11 @@ def text_id(column):
 def fetched(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
     """tid, text of the wanted (tid, first): first is the smallest doc_id with that text.  One row for each tid.
 
-    A null doc_id or first counts as LEAST.  Rows of that id may be very many, so these meet by their texts too.
-    Up to broadcast_rows wanted rows (24 bytes each) are broadcast; more go through a shuffled join.
+    A null doc_id or first counts as LEAST.  Rows meet by id and text, as very many may share an id (or have none) or
+    a text.  Up to broadcast_rows wanted rows (24 bytes each) are broadcast; more go through a shuffled join.
     """
     least = F.lit(LEAST)
-    among = lambda ident, tid: F.when(ident == least, tid).otherwise(F.lit(0).cast("long"))
-    ids = wanted.select("tid", F.coalesce("first", least).alias("__id")).withColumn("__of", among(F.col("__id"), F.col("tid")))
+    ids = wanted.select("tid", F.coalesce("first", least).alias("__id"))
     ids = F.broadcast(ids) if wanted.count() <= broadcast_rows else ids
     texts = docs.select(F.coalesce(F.col(key).cast("long"), least).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = texts.withColumn("__of", among(F.col("__id"), text_id(F.col("text")))).join(ids, ["__id", "__of"])
-    return found.filter(text_id(F.col("text")) == F.col("tid")).select("tid", "text").dropDuplicates(["tid"])
+    return texts.withColumn("tid", text_id(F.col("text"))).join(ids, ["__id", "tid"]).select("tid", "text").dropDuplicates(["tid"])
