@@ -6,9 +6,15 @@ shorter context; below order 0 all symbols are alike.  The statistics are frozen
 a table of exact code lengths, and a text's code length under a language is a sum over its bytes; the shortest wins.
 The score is the posterior of that language under equal priors.
 
-Training takes a bounded sample of labelled texts, about max_docs whole texts of each language, chosen by a hash of
-the key.  Scoring is one pass over whole texts, without a shuffle: all languages share the contexts, so a byte costs
-one context lookup and one row of code lengths.
+Training takes a bounded sample of labelled texts, about max_docs whole texts and max_bytes bytes of each language,
+chosen by a hash of the key.  The trees are pruned: all orders below two are kept, of order 2 the `pairs` commonest
+contexts, of orders 3 and 4 the commonest whose pairs of symbols are kept and that were seen LEAST times or more, up to
+`nodes` contexts in all.  What is common is judged by language (the largest share that a context has in any of them),
+so a small language keeps its own.  A context that is not kept is coded by its longest kept suffix, in training and
+scoring alike.  Byte values beyond the 254th that a corpus has share the last symbol.
+
+Scoring is one pass over whole texts, without a shuffle: all languages share the set of contexts, so a byte costs one
+context lookup and one row of code lengths.
 
 Defined results: null text or a text without a letter gives `und` with score 0; no usable training row gives `und` for
 all; repeated rows are scored one by one; only the named columns are read.
@@ -26,17 +32,19 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, buffers, crc_mod, pieces
 
 ORDER = 4
-PAIRS = 1023  # pairs of symbols that get longer contexts
+PAIRS = 1023  # contexts of order 2, which get longer ones
 NODES = 8192  # contexts of the tree
+LEAST = 3  # times that a context of order 3 or 4 is seen
 BATCH = 1 << 20
 
 
 class PPMModel:
-    """names: languages; kind: byte -> symbol; pair: two symbols -> pair id (0: none); node: two pair ids -> context;
-    single: symbol -> context of order 1; cost: context, symbol -> bits by language."""
+    """names: languages; kind: byte -> symbol; kept: contexts by order; pair: two symbols -> pair id (0: none);
+    node: two pair ids -> context; triple: symbol, pair id -> context; single: symbol -> context of order 1;
+    cost: context, symbol -> bits by language."""
 
-    def __init__(self, texts: dict[str, list[bytes]]):
-        self.names = sorted(texts)
+    def __init__(self, texts: dict[str, list[bytes]], pairs: int = PAIRS, nodes: int = NODES):
+        self.names, self.most_pairs, self.most_nodes = sorted(texts), pairs, nodes
         streams = {n: np.frombuffer(b"".join(b"\0" * ORDER + t for t in texts[n]), np.uint8) for n in self.names}
         seen = np.zeros(256, np.int64)
         for s in streams.values():
@@ -61,17 +69,33 @@ class PPMModel:
                 whole[n] += s[ORDER - k : len(s) - k].astype(np.uint32) * np.uint32(width ** (k - 1))
             contexts.append({n: x[told[n]] for n, x in whole.items()})
         del whole
-        counted = [np.unique(np.concatenate([contexts[k][n] for n in names] or [np.zeros(0, np.int64)]), return_counts=True) for k in range(ORDER + 1)]
-        pairs = np.sort(counted[2][0][np.argsort(-counted[2][1], kind="stable")[:PAIRS]])
+
+        def counted(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Contexts of order k, how often each was seen, and its largest share in a language."""
+            own = [np.unique(contexts[k][n], return_counts=True) for n in names]
+            values, at = np.unique(np.concatenate([v for v, _ in own] or [np.zeros(0, np.int64)]), return_inverse=True)
+            times, share = np.zeros(len(values), np.int64), np.zeros(len(values))
+            np.add.at(times, at, np.concatenate([c for _, c in own] or [np.zeros(0, np.int64)]))
+            np.maximum.at(share, at, np.concatenate([c / max(c.sum(), 1) for _, c in own] or [np.zeros(0)]))
+            return values.astype(np.int64), times, share
+
+        two = counted(2)
+        pairs = np.sort(two[0][np.argsort(-two[2], kind="stable")[: self.most_pairs]])
         self.pair = np.zeros(width * width, np.int16)
         self.pair[pairs] = np.arange(1, len(pairs) + 1)
         kept = [np.zeros(1, np.int64), np.arange(width), pairs]
-        deep = [(k, v[self.pair[v % width**2] > 0], c[self.pair[v % width**2] > 0]) for k, (v, c) in ((3, counted[3]), (4, counted[4]))]
-        deep[1] = tuple([4, *(x[self.pair[deep[1][1] // width**2] > 0] for x in deep[1][1:])])
-        counts = np.concatenate([c for _, _, c in deep])
-        room = NODES - 1 - width - len(pairs)
-        least = max(3, int(np.partition(counts, -room)[-room]) + 1 if len(counts) > room > 0 else 3)
-        kept += [v[c >= least] for _, v, c in deep]
+        deep = []
+        for k in (3, 4):
+            v, c, s = counted(k)
+            may = (self.pair[v % width**2] > 0) & (c >= LEAST)
+            if k == 4:
+                may &= self.pair[v // width**2] > 0
+            deep.append((v[may], s[may]))
+        shares = np.concatenate([s for _, s in deep])
+        room = max(0, self.most_nodes - 1 - width - len(pairs))
+        least = np.partition(shares, -room)[-room] if len(shares) > room > 0 else 0.0 if room else 2.0
+        kept += [v[s >= least] for v, s in deep]  # ties at the bound are all kept
+        self.kept = kept
         first = np.cumsum([0, *map(len, kept)])
 
         def find(k: int, values: np.ndarray) -> np.ndarray:
@@ -108,6 +132,7 @@ class PPMModel:
         for older in range(size):  # the pair before the last: unknown ones leave order 2
             row = find(4, values[older] * width**2 + values) if older else find(2, values.copy())
             self.node[older * size : (older + 1) * size] = row
+        self.triple = np.concatenate([find(3, s * width**2 + values) for s in range(width)]).astype(np.int32)
 
     def bits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code lengths (texts, languages) of texts at[i]:at[i + 1] of data."""
@@ -122,7 +147,10 @@ class PPMModel:
         pair = np.zeros(len(padded), np.int32)
         pair[1:] = self.pair[padded[:-1] * self.width + padded[1:]]
         newer = pair[place - 1]
-        node = self.node[pair[place - 3] * self.n_pairs + newer]
+        older = pair[place - 3]
+        node = self.node[older * self.n_pairs + newer]
+        rare = np.flatnonzero(older == 0)
+        node[rare] = self.triple[padded[place[rare] - 3] * self.n_pairs + newer[rare]]
         rare = np.flatnonzero(newer == 0)
         node[rare] = self.single[padded[place[rare] - 1]]
         rows = self.cost[node * self.width + symbols]
@@ -144,15 +172,20 @@ class PPMModel:
         return [self.names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
-def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = 500, max_langs: int = 64) -> PPMModel:
-    """A model from a hash sample of about max_docs labelled texts of each language (whole texts; more than max_langs is an error)."""
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().limit(max_langs + 1).collect()}
+def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = 500, max_bytes: int = 8 << 20, max_langs: int = 64) -> PPMModel:
+    """A model from a hash sample of labelled texts: of each language about max_docs whole texts and max_bytes at most.
+
+    Texts above an eighth of max_bytes are not trained on, so that the sample keeps near its bounds.  More than max_langs
+    languages are an error.
+    """
+    size = F.octet_length(text)
+    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (size <= max_bytes // 8))
+    counts = {r[0]: r[1:] for r in usable.groupBy(lang).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     chance = F.lit(0.0)
-    for name, n in counts.items():
-        chance = F.when(F.col(lang) == name, F.lit(min(1.0, max_docs / n))).otherwise(chance)
+    for name, (n, total) in counts.items():
+        chance = F.when(F.col(lang) == name, F.lit(min(1.0, max_docs / n, max_bytes / max(total, 1)))).otherwise(chance)
     sample = usable.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_000)) < chance * 1_000_000).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     texts: dict[str, list[bytes]] = {}
     for name, words in sorted(sample.collect()):

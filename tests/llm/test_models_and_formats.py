@@ -56,6 +56,67 @@ def test_language_code_lengths_are_ppm():
     assert abs(model.bits(data, np.array([0, len(word)]))[0, 0] - want) < 1e-3
 
 
+def ppm_plain(model, texts, word):
+    """Bits of `word` by counting in plain Python: a context that the model does not keep counts as its longest kept suffix."""
+    kind = model.kind
+    number = lambda c: sum(int(x) * model.width**i for i, x in enumerate(reversed(c)))
+    kept = [set(k.tolist()) for k in model.kept]
+    coded = lambda t: [0] * 4 + [int(kind[b]) for b in t]
+    seen = {}
+    for t in texts:
+        s = coded(t)
+        for i in range(4, len(s)):
+            for k in range(5):
+                seen.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+
+    def p(context, symbol):
+        while number(context) not in kept[len(context)]:
+            context = context[1:]
+        here = seen.get(context, Counter())
+        n, d = sum(here.values()), len(here)
+        if here[symbol]:
+            return here[symbol] / (n + d)
+        below = p(context[1:], symbol) if context else 1 / model.width
+        return d / (n + d) * below if n else below
+
+    s = coded(word)
+    return -sum(np.log2(p(tuple(s[i - 4 : i]), s[i])) for i in range(4, len(s)))
+
+
+@pytest.mark.parametrize(("pairs", "nodes"), [(30, 150), (300, 1200), (2000, 40_000)])  # pruned hard, pruned, whole
+def test_language_code_lengths_on_real_texts(spark, pairs, nodes):
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and r.lang]
+    texts = {}
+    for r in rows[:80]:
+        texts.setdefault(r.lang, []).append(r.text.encode()[:1500])
+    model = ppm_language.PPMModel(texts, pairs, nodes)
+    words = [r.text.encode()[:300] for r in rows[80:90]] + ["Ünïcödé ☃ 123".encode()]
+    data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    got = model.bits(data, at)
+    for i, w in enumerate(words):
+        for j, n in enumerate(model.names):
+            assert abs(got[i, j] - ppm_plain(model, texts[n], w)) < 1e-3 * max(1, got[i, j])
+
+
+def test_small_languages_keep_their_contexts():
+    rng = np.random.default_rng(2)
+    large = [bytes(rng.choice(list(b"abcdefgh "), 20_000).tolist()) for _ in range(5)]
+    model = ppm_language.PPMModel({"large": large, "small": [b"xyzzy zyx " * 40]}, pairs=20, nodes=60)
+    assert model.predict(pa.array(["xyzzy xyzzy zyx", "abba hegde"]))[0] == ["small", "large"]
+    assert len(set(model.kept[2].tolist()) & {int(model.kind[a]) * model.width + int(model.kind[b]) for a, b in (b"xy", b"yz", b"zz", b"zy")}) == 4
+
+
+def test_language_sample_is_bounded(spark, docs):
+    df = spark.createDataFrame([(i, "word " * (10 if i else 10_000), "en") for i in range(50)], "doc_id long, text string, lang string")
+    taken = []
+    kept, ppm_language.PPMModel = ppm_language.PPMModel, lambda texts: taken.append(texts)
+    try:
+        ppm_language.train(df, "doc_id", "text", "lang", max_bytes=2000)
+    finally:
+        ppm_language.PPMModel = kept
+    assert 0 < sum(map(len, taken[0]["en"])) < 2600
+
+
 def test_language_odd_rows(docs, empty, corpus):
     model = ppm_language.train(docs, "doc_id", "text", "lang")
     rows = {r.doc_id: r for r in ppm_language.identify(docs, model).collect()}
@@ -238,6 +299,23 @@ def test_mix(spark, docs, empty):
     check_mix(entropy_mix.mix_rates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
 
 
+def test_mix_of_one_size_and_repeated_rows(spark):
+    """Very many rows of one size are salted; repeated and null keys are rounded one by one."""
+    rows = [(i % 97 if i % 5 else None, "a b c" if i % 3 else None, "s") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cell_rows in (7, 50_000):
+        sized = df.selectExpr("doc_id", "source", "if(text is null, 0L, 3L) as size", "1.5D as rate")
+        out = entropy_mix.rounded(sized, "source", "size", "rate", "doc_id", cell_rows).collect()
+        assert len(out) == 600 and abs(sum(r.copies * r.size for r in out) - 1.5 * sum(r.size for r in out)) <= 3 and {r.copies for r in out} == {1, 2}
+    check_mix(entropy_mix.mix_rates(df).collect())
+
+
+def test_targets_that_contradict(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "x", 40)], "s string, l string, t long")
+    with pytest.raises(ValueError, match="no balance"):
+        entropy_mix.balance(cells, ["s", "l"], "t", {"s": {"a": 60.0, "b": 40.0}, "l": {"x": 45.0}}, iterations=5)
+
+
 def test_overlapping_constraints(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 40), ("b", "y", 20)], "s string, l string, t long")
     lam = entropy_mix.balance(cells, ["s", "l"], "t", {"s": {"a": 60.0, "b": 40.0}, "l": {"x": 45.0, "y": 55.0}})
