@@ -9,7 +9,7 @@ the number of constraints (bounded by max_constraints, an error beyond it).
 Rates become whole copies by systematic rounding along the documents of a group ordered by size: copies of the first
 k documents number floor(rate * k + 1/2).  As sizes ascend, a group's taken tokens then differ from rate * tokens by at
 most one document's size (Abel summation).  Ranks come from counts of (group, size, salt) cells plus a row number
-within a cell, so no task ever holds a whole group.
+within a cell; a cell of very many rows has as many salts as its count needs, so no task ever holds a whole group.
 
 Defined results: null text has size 0; a null group is a group of its own, last in order; a group without words has
 target 0 and takes 0; empty table, empty result; rows that repeat a doc_id are rounded one by one.  Columns besides
@@ -74,15 +74,22 @@ def balance(cells: DataFrame, groups: list[str], tokens: str, targets: dict[str,
             if np.abs(gradient).max() <= tolerance * goal.max():
                 break
             lam -= np.clip(np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0], -2.0, 2.0)
+        else:
+            if keys:
+                raise ValueError(f"no balance after {iterations} Newton steps: the targets contradict each other or the tokens")
     finally:
         cells.unpersist()
     return {g: {v: float(lam[at[g, v]]) if t > 0 else float("-inf") for v, t in targets[g].items()} for g in groups}
 
 
-def rounded(docs: DataFrame, group: str, size: str, rate: str, key: str, salts: int = 16) -> DataFrame:
-    """docs with `copies`: whole numbers whose tokens add up to rate * tokens in each group, to one document's size."""
-    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).alias("__salt")
-    docs = docs.select("*", salt)
+def rounded(docs: DataFrame, group: str, size: str, rate: str, key: str, cell_rows: int = 50_000) -> DataFrame:
+    """docs with `copies`: whole numbers whose tokens add up to rate * tokens in each group, to one document's size.
+
+    cell_rows: rows of one group and size that are numbered together, about; more of them are salted by their keys.
+    """
+    many = docs.groupBy(F.col(group).alias("__g"), F.col(size).alias("__s")).agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("__salts")).filter("__salts > 1")
+    docs = docs.join(many, F.col(group).eqNullSafe(F.col("__g")) & F.col(size).eqNullSafe(F.col("__s")), "left")
+    docs = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.coalesce("__salts", F.lit(1)))).drop("__g", "__s", "__salts")
     cell = [group, size, "__salt"]
     before = Window.partitionBy(group).orderBy(size, "__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = docs.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
