@@ -3,7 +3,8 @@
 `encode_audio` stores payload bytes as the coded samples of a WAVE file (lossless: the file holds them as they are).
 `decode_audio` reads the files back: mu-law and A-law expand by 256-entry tables, IMA ADPCM blocks are decoded with
 numpy across all blocks of a record batch at once (one step for each sample of a block), and the 16-bit PCM is
-resampled to another rate.  All of it works on record batches of a bounded number of bytes; no row meets another.
+resampled to another rate.  `audio_digests` reads stored files the same way and gives digests and features of payload
+and PCM instead of the PCM itself.  All of it works on record batches of a bounded number of bytes; no row meets another.
 
 Defined results: null payload counts as empty; empty payload gives a file without samples and empty PCM; repeated rows
 give equal values.  Only the named columns are read.
@@ -19,15 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import arrow_map, buffers, pieces, strings
+from .shared import arrow_map, buffers, pieces, stored, strings
 
 #: WAVE format tags.
 MULAW, ALAW, ADPCM = 7, 6, 0x11
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "ima_adpcm"}
 BLOCK = 64  # bytes of an ADPCM block: 4 of header, then two samples a byte
-HEADER = 60
-#: Fixed values of IMA ADPCM: step index changes by code.  The 89 step sizes follow the rule in steps().
+#: Fixed values of IMA ADPCM: step index changes by code.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 BATCH = 4 << 20
 
@@ -48,7 +49,7 @@ def alaw_table() -> np.ndarray:
 
 
 def steps() -> np.ndarray:
-    """The 89 step sizes: from 7, each 1.1 times the one before it, rounded as the standard's table is."""
+    """Fixed values of IMA ADPCM: the standard's table of 89 step sizes."""
     fixed = "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73 80 88 97 107 118 130 143 157 173 190 209 230 253 279 307 337 371 408 449 494 544 598 658 724 796 876 963 1060 1166 1282 1411 1552 1707 1878 2066 2272 2499 2749 3024 3327 3660 4026 4428 4871 5358 5894 6484 7132 7845 8630 9493 10442 11487 12635 13899 15289 16818 18500 20350 22385 24623 27086 29794 32767"
     return np.array(fixed.split(), np.int32)
 
@@ -138,18 +139,23 @@ def expand(tags: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return out, out_at
 
 
-def encode_audio(df: DataFrame, key: str, payload: str, tag: int = MULAW, rate: int = 8000) -> DataFrame:
-    """key, media: a WAVE file that holds the payload (binary or string) as its coded samples."""
+def encode_audio(df: DataFrame, keys: str | list[str], payload: str, tag: int | str = MULAW, rate: int = 8000) -> DataFrame:
+    """keys, media: a WAVE file that holds the payload (binary or string) as its coded samples.
+
+    tag: a format for all rows, or the name of a column of formats.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1, BATCH):
                 data, at = buffers(batch.column(1))
-                files = [wave(tag, rate, data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["key", "media"])
+                files = [wave(t, rate, data[a:b].tobytes()) for t, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(files, pa.binary())], [*whole.schema.names[2:], "media"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return arrow_map(df.select(key, payload), run, f"key {kind}, media binary").withColumnRenamed("key", key)
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    code = F.col(tag) if isinstance(tag, str) else F.lit(tag)
+    return arrow_map(df.select(code.cast("int").alias("__tag"), F.col(payload).alias("__payload"), *keys), run, f"{own}, media binary")
 
 
 def decode_audio(df: DataFrame, key: str, media: str, to: int = 16000) -> DataFrame:
@@ -200,32 +206,45 @@ def features(pcm: np.ndarray, at: np.ndarray) -> list[str]:
     return [f"n={n};peak={p};rms={(w / n) ** 0.5 if n else 0:.3f};zc={z}" for n, p, w, z in zip(counts.tolist(), peak.tolist(), power.tolist(), cross.tolist(), strict=True)]
 
 
-def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts, padded to a multiple of 64 bytes, as mu-law, A-law or ADPCM (by the payload's crc32) files of 8 kHz, read back at 16 kHz."""
+def payloads(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n_bytes, payload (the text as UTF-8, padded with bytes 0 to a positive multiple of BLOCK) and its format tag.
+
+    The tag (mu-law, A-law or ADPCM) follows from the payload's crc32, so equal texts are coded alike.
+    """
+    raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.length(raw) / BLOCK).cast("int") * BLOCK)
+    payload = F.rpad(raw, size, F.unhex(F.lit("00")))
+    tag = F.element_at(F.array(*(F.lit(t) for t in (MULAW, ALAW, ADPCM))), (F.crc32(payload) % 3 + 1).cast("int"))
+    return docs.select(F.col(key).alias(key), F.length(raw).cast("long").alias("n_bytes"), payload.alias("payload"), tag.alias("tag"))
+
+
+def audio_digests(media: DataFrame, to: int = 16000) -> DataFrame:
+    """Of stored files (key columns first, `media` last): those columns without it, sizes and digests of payload, file and PCM, and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 1, BATCH):
-                data, at = buffers(batch.column(1))
-                sizes = np.diff(at)
-                files = []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    text = data[a:b].tobytes()
-                    payload = text + bytes(max(64, (b - a + 63) // 64 * 64) - (b - a))
-                    files.append(wave((MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3], 8000, payload))
-                file_at = np.concatenate(([0], np.cumsum([len(f) for f in files], dtype=np.int64)))
-                stored = np.frombuffer(b"".join(files), np.uint8)
-                tags, pcm, pcm_at = _read(stored, file_at, 16000)
+            at_ = whole.num_columns - 1
+            for batch in pieces(whole, at_, BATCH):
+                data, at = buffers(batch.column(at_))
+                tags, pcm, pcm_at = _read(data, at, to)
+                files = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 back = [f[h[2] : h[3]] for f in files for h in (parse_wave(f),)]
-                text_of = [f"{NAMES[t]};8000>16000;{x}" for t, x in zip(tags.tolist(), features(pcm, pcm_at), strict=True)]
+                sha = lambda x: hashlib.sha256(x).hexdigest()
+                said = [f"{NAMES[t]};8000>{to};{x}" for t, x in zip(tags.tolist(), features(pcm, pcm_at), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array(sizes), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
-                        pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()), pa.array(text_of, pa.string()),
+                        *batch.columns[:at_], pa.array([len(p) for p in back], pa.int64()), pa.array([sha(p) for p in back], pa.string()), pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), pa.array([len(f) for f in files], pa.int64()),
+                        pa.array([sha(f) for f in files], pa.string()), pa.array(said, pa.string()), pa.array(np.diff(pcm_at) * 2), pa.array([sha(pcm[a:b]) for a, b in zip(pcm_at[:-1].tolist(), pcm_at[1:].tolist(), strict=True)], pa.string()),
                     ],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    [*whole.schema.names[:at_], "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"],
                 )
 
-    return arrow_map(
-        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields[:-1])
+    return arrow_map(media, run, f"{own}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")
+
+
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as mu-law, A-law or ADPCM files of 8 kHz in a written table, read back and decoded to PCM of 16 kHz."""
+    rows = payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    media = stored(encode_audio(rows, ["doc_id", "n_bytes"], "payload", "tag"), "audio-media")
+    return audio_digests(media)
