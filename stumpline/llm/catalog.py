@@ -7,7 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .fingerprint_index import op5_substring_dedup
 from .jaccard_join import op6_jaccard_join
 from .ppm_language import op2_ppm_language
-from .preference_format import OP9_SQL, op9_preference_format
+from .preference_format import COMPLETIONS_SQL, OP9_SQL, op9_preference_format, preference_completions
 from .pu_quality import op7_pu_quality
 from .sentencepiece_codec import op1_sentencepiece
 from .suffix_dedup import op3_suffix_dedup
@@ -15,8 +15,8 @@ from .telephony_audio import op8_telephony_audio
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ppm_language, op3_suffix_dedup, op4_exact_dedup, op5_substring_dedup, op6_jaccard_join, op7_pu_quality, op8_telephony_audio, op9_preference_format, op10_mix)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ppm_language, op3_suffix_dedup, op4_exact_dedup, op5_substring_dedup, op6_jaccard_join, op7_pu_quality, op8_telephony_audio, op9_preference_format, op10_mix, preference_completions)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_preference_format": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_preference_format": OP9_SQL, "preference_completions": COMPLETIONS_SQL}

@@ -40,24 +40,36 @@ def preference_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     )
 
 
-def assembled(parts: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask: a mask has (length, loss) for each turn in order.
+def assembled(parts: DataFrame, max_chars: int = 1 << 26) -> DataFrame:
+    """pair_id, n_turns, n_chars, prompt, chosen, rejected, chosen_mask, rejected_mask: the paired masked completions.
 
-    Gathers a pair into one row: for conversations that are known to fit one.
+    A mask has (length, loss) for each turn in order.  A pair of more than max_chars rendered characters, or of as many
+    turns as a quarter of that, does not go into one value: its texts and masks are null and it stays in `parts` alone.
     """
+    size = parts.groupBy(F.col("pair_id").alias("of_pair")).agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n_chars").alias("n_chars"))
+    small = size.filter((F.col("n_chars") <= max_chars) & (F.col("n_turns") <= max_chars // 4)).select(F.col("of_pair").alias("small"))
     rows = F.array_sort(F.collect_list(F.struct("part", "turn", "copy", "rendered", "n_chars", "loss")))
-    out = parts.groupBy("pair_id").agg(rows.alias("rows"))
+    out = parts.join(small, F.col("pair_id").eqNullSafe(F.col("small")), "left_semi").groupBy("pair_id").agg(rows.alias("rows"))
     own = lambda name: F.filter("rows", lambda r: r["part"] == name)
     text = lambda name: F.array_join(F.transform(own(name), lambda r: r["rendered"]), "").alias(name)
     mask = lambda name: F.transform(own(name), lambda r: F.struct(r["n_chars"].alias("length"), r["loss"].alias("loss"))).alias(f"{name}_mask")
-    return out.select("pair_id", text("prompt"), text("chosen"), text("rejected"), mask("chosen"), mask("rejected"))
+    out = out.select("pair_id", text("prompt"), text("chosen"), text("rejected"), mask("chosen"), mask("rejected"))
+    whole = size.join(out, F.col("of_pair").eqNullSafe(F.col("pair_id")), "left")
+    return whole.select(F.col("of_pair").alias("pair_id"), "n_turns", "n_chars", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+
+
+def preference_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the whole table: prompt and completions with their masks as text (`length:loss` by turn)."""
+    pairs = assembled(preference_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    said = lambda name: F.array_join(F.transform(name, lambda m: F.concat_ws(":", m["length"].cast("string"), m["loss"].cast("string"))), " ").alias(name)
+    return pairs.select("pair_id", "n_turns", "n_chars", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"))
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP9_SQL = """
+TURNS_SQL = """
 WITH r AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 <> 0 AS rejected, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS copy
@@ -73,3 +85,17 @@ SELECT pair_id, CASE WHEN common THEN 'prompt' WHEN rejected THEN 'rejected' ELS
        CASE WHEN NOT common AND role = 'assistant' THEN 1 ELSE 0 END AS loss
 FROM p WHERE NOT (common AND rejected)
 """
+
+OP9_SQL = TURNS_SQL
+
+COMPLETIONS_SQL = f"""
+WITH t AS ({TURNS_SQL}),
+x AS (SELECT *, coalesce(turn, -9223372036854775808) AS o, n_chars || ':' || loss AS m FROM t)
+SELECT pair_id, count(*) AS n_turns, sum(n_chars)::BIGINT AS n_chars,
+       coalesce(string_agg(rendered, '' ORDER BY o, copy) FILTER (WHERE part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY o, copy) FILTER (WHERE part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY o, copy) FILTER (WHERE part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(m, ' ' ORDER BY o, copy) FILTER (WHERE part = 'chosen'), '') AS chosen_mask,
+       coalesce(string_agg(m, ' ' ORDER BY o, copy) FILTER (WHERE part = 'rejected'), '') AS rejected_mask
+FROM x GROUP BY pair_id
+"""
