@@ -3,13 +3,16 @@
 Trusted positives (label 1) and unlabelled documents train a small network on features of the text.  With class prior
 pi the risk is pi * E+[loss(g)] + max(0, E?[loss(-g)] - pi * E+[loss(-g)]): the second term estimates the risk on
 negatives without any of them and is kept from going below zero (the non-negative unbiased estimator); while it is
-below, a step is taken against it.  The prior is estimated as the share of label 1 among labelled training rows.
+below, a step is taken against it.  The prior is estimated from positives and unlabelled rows alone (rows with label 0
+are never read): a separator of the two ranks held-out halves, and the smallest ratio of the unlabelled share to the
+positive share above a threshold, with its sampling error, tells how much of the unlabelled looks like positives.
 
 Training takes bounded samples (max_positive, max_unlabelled rows, chosen by a hash of the key) whose features, some
 thirty numbers a row, go to the driver.  Scoring is one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts are scored by their (zero) features; without positives the prior is the score;
-rows that repeat a doc_id are scored one by one; several labels of one doc_id count once as positive if any is 1.
+rows that repeat a doc_id are scored one by one; several labels of one doc_id count once as positive if any is 1; with
+fewer than four rows of either kind the prior is one half.
 """
 
 from __future__ import annotations
@@ -34,6 +37,39 @@ for _i, _bytes in enumerate(CLASSES.values()):
     CLASS_OF[list(_bytes)] = _i
 
 
+class Separator:
+    """Ridge least squares between two samples on standardised features and their squares, to rank rows."""
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, ridge: float = 1.0):
+        pool = np.concatenate((positive, unlabelled))
+        self.centre, self.scale = pool.mean(0), pool.std(0) + 1e-3
+        x = self._terms(pool)
+        y = np.concatenate((np.full(len(positive), 1 / len(positive)), np.full(len(unlabelled), -1 / len(unlabelled)))) * len(pool)
+        self.weights = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
+
+    def _terms(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.centre) / self.scale, -5, 5).astype(np.float64)
+        return np.concatenate((z, z**2, np.ones((len(z), 1))), 1)
+
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return self._terms(x) @ self.weights
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3, least: float = 0.02, most: float = 0.98) -> float:
+    """Share of positives in the unlabelled sample, by the best threshold on held-out halves; between least and most."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    by = Separator(p[::2], u[::2])
+    p, u = np.sort(by.rank(p[1::2])), np.sort(by.rank(u[1::2]))
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    error = 1.01 * (np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u)))
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], least, most))
+
+
 def _repeats(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct items and the count of the most frequent one, for each text."""
     distinct, most = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
@@ -98,18 +134,7 @@ class PUModel:
         p, u = self._scaled(positive), self._scaled(unlabelled)
         first, second = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
         for t in range(1, steps + 1):
-            x = np.concatenate((p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)]))
-            h = np.tanh(x @ self.weights[0] + self.weights[1])
-            s = 1 / (1 + np.exp(-(h @ self.weights[2] + self.weights[3])))
-            # loss(g) = log(1 + exp(-g)): the slope of loss(g) is s - 1, that of loss(-g) is s.
-            negative = -np.log1p(-s[batch:] + 1e-12).mean() + prior * np.log1p(-s[:batch] + 1e-12).mean()
-            slope = np.concatenate((-prior * s[:batch], s[batch:])) / batch
-            if negative >= 0:
-                slope[:batch] += prior * (s[:batch] - 1) / batch
-            else:
-                slope = -slope
-            back = np.outer(slope, self.weights[2]) * (1 - h**2)
-            grads = [x.T @ back, back.sum(0), h.T @ slope, slope.sum()]
+            grads = self.gradient(p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)])
             step = rate * (1 - t / (steps + 1))
             for i, g in enumerate(grads):
                 g = g + decay * self.weights[i]
@@ -117,6 +142,21 @@ class PUModel:
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 self.weights[i] = self.weights[i] - step * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
 
+    def gradient(self, p: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
+        """Of the risk by the weights, on scaled rows; of minus the negatives' risk where that is below zero."""
+        n, x = len(p), np.concatenate((p, u))
+        h = np.tanh(x @ self.weights[0] + self.weights[1])
+        s = 1 / (1 + np.exp(-(h @ self.weights[2] + self.weights[3])))
+        # loss(g) = log(1 + exp(-g)): the slope of loss(g) is s - 1, that of loss(-g) is s.
+        negative = -np.log1p(-s[n:] + 1e-12).mean() + self.prior * np.log1p(-s[:n] + 1e-12).mean()
+        slope = np.concatenate((-self.prior * s[:n] / n, s[n:] / len(u)))
+        if negative >= 0:
+            slope[:n] += self.prior * (s[:n] - 1) / n
+        else:
+            slope = -slope
+        back = np.outer(slope, self.weights[2]) * (1 - h**2)
+        return [x.T @ back, back.sum(0), h.T @ slope, slope.sum()]
+
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.scale, -8, 8)
 
@@ -142,12 +182,11 @@ def _collected(docs: DataFrame, text: str) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = 6000, max_unlabelled: int = 12000) -> PUModel:
     """A model from hash samples of about max_positive rows with label 1 and max_unlabelled documents."""
     chosen = lambda seed, most, n: F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, most / max(n, 1)) * (1 << 30)))
-    n, good = labels.filter(F.col(label).isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col(label) == 1).cast("long")), F.lit(0))).first()
-    prior = min(max(good / n, 0.02), 0.98) if n else 0.5
-    ids = labels.filter((F.col(label) == 1) & chosen(1, max_positive, good)).select(key).distinct()
-    positive = docs.join(F.broadcast(ids), key)  # about max_positive ids
-    unlabelled = docs.filter(chosen(2, max_unlabelled, docs.select(key).count()))
-    return PUModel(_collected(positive, text), _collected(unlabelled, text), prior)
+    trusted = labels.filter(F.col(label) == 1)
+    ids = trusted.filter(chosen(1, max_positive, trusted.count())).select(key).distinct()
+    positive = _collected(docs.join(F.broadcast(ids), key), text)  # about max_positive ids
+    unlabelled = _collected(docs.filter(chosen(2, max_unlabelled, docs.select(key).count())), text)
+    return PUModel(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def quality(docs: DataFrame, model: PUModel, key: str = "doc_id", text: str = "text") -> DataFrame:
