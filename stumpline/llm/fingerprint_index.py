@@ -6,8 +6,9 @@ The index takes documents in batches.  Of each new text the anchors of its windo
 each window) are its fingerprints.  A batch's fingerprints form a run: a Parquet table bucketed and sorted by
 fingerprint, one row for each with its count, never changed afterwards.  A new run is merge-joined with the runs before
 it (no shuffle of history: the buckets agree); what is met again is a hit.  When there are more than MAX_RUNS runs they
-are compacted into one.  Hits are then verified: texts that hold a hit give hashes of the windows it represents, the
-smallest doc_id of each window hash is an aggregation with partial minima, and windows with a smaller one are removed.
+are compacted into one, which later batches meet.  After the last batch the hits of all are verified together: texts that
+hold a hit give the windows it represents, each by two independent 64-bit hashes of its whole word sequence, the
+smallest doc_id of such a pair is an aggregation with partial minima, and windows with a smaller one are removed.
 
 Equal texts are indexed once: a later copy of a text goes as a whole if it has a window's length.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, buffers, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
+from .shared import arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
 from .winnow import LEAST, anchors, fetched, text_id
 
 WINDOW, GRAM = 50, 10
@@ -35,6 +36,9 @@ PART = 2 << 20
 #: Odd base of the hashes of word sequences, and its inverse modulo 2^64.
 STEP = 0xC2B2AE3D27D4EB4F
 STEP_INV = pow(STEP, -1, 1 << 64)
+#: Another such base and its inverse, for the second hash of a window.
+CHECK = 0x9FB21C651E98DF25
+CHECK_INV = pow(CHECK, -1, 1 << 64)
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -45,6 +49,7 @@ class Words:
         self.data, at = buffers(column)
         self.start, self.end, self.at = word_bounds(self.data, at)
         words = range_hash(prefix_hash(self.data), self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        self.words = words
         self.sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * powers(STEP, len(words)), out=self.sums[1:])
 
@@ -53,6 +58,12 @@ class Words:
         end = np.minimum(start + count, len(self.sums) - 1)
         return mixed((self.sums[end] - self.sums[start]) * powers(STEP_INV, len(self.sums))[start])
 
+    def checks(self, start: np.ndarray, count: int) -> np.ndarray:
+        """A second, independent hash of the `count` words from each start on."""
+        sums = np.zeros(len(self.words) + 1, np.uint64)
+        np.cumsum(mixed(self.words ^ np.uint64(CHECK)) * powers(CHECK, len(self.words)), out=sums[1:])
+        return mixed((sums[start + count] - sums[start]) * powers(CHECK_INV, len(sums))[start])
+
     def joined(self, words: np.ndarray) -> bytes:
         """These words with one space between them."""
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.start[words].tolist(), self.end[words].tolist(), strict=True)])
@@ -121,7 +132,7 @@ class FingerprintIndex:
             self.compact()
 
     def compact(self) -> None:
-        """Merges all runs into one."""
+        """Merges all runs into one; the runs it is made of and their files go."""
         whole = self.spark.table(self.runs[0])
         for r in self.runs[1:]:
             whole = whole.unionByName(self.spark.table(r))
@@ -130,9 +141,10 @@ class FingerprintIndex:
         self.runs = [merged]
 
     def close(self) -> None:
-        """Forgets the runs' names (their files stay in the shared folder)."""
+        """Drops the runs and their files."""
         for r in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            delete(self.spark, f"{self.home}/{r}")
         self.runs = []
 
     def removed(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 200_000) -> DataFrame:
@@ -156,16 +168,16 @@ class FingerprintIndex:
                         hit[at[i] : at[i + 1]] = np.isin(fps[at[i] : at[i + 1]], values[ends[i] : ends[i + 1]])
                     row = np.repeat(np.arange(batch.num_rows), np.diff(at))[hit]
                     start = start[hit]
-                    hashes = words.hashes(start, window).view(np.int64)
+                    hashes, checks = words.hashes(start, window).view(np.int64), words.checks(start, window).view(np.int64)
                     ids, firsts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                     for k in range(0, len(start), 1 << 17):
                         at_ = slice(k, k + (1 << 17))
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes[at_]), pa.array(ids[row[at_]]), pa.array(firsts[row[at_]]), pa.array((start[at_] - words.at[row[at_]]).astype(np.int32))], ["h", "tid", "first", "place"])
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[at_]), pa.array(checks[at_]), pa.array(ids[row[at_]]), pa.array(firsts[row[at_]]), pa.array((start[at_] - words.at[row[at_]]).astype(np.int32))], ["h", "check", "tid", "first", "place"])
 
-        found = arrow_map(held.select("tid", "first", "text", "hit"), windows, "h long, tid long, first long, place int")
+        found = arrow_map(held.select("tid", "first", "text", "hit"), windows, "h long, check long, tid long, first long, place int")
         # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
-        least = found.groupBy("h").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h", "least")
-        gone = found.join(stored(least, "fingerprint-windows"), "h").filter("least < first")
+        least = found.groupBy("h", "check").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h", "check", "least")
+        gone = found.join(stored(least, "fingerprint-windows"), ["h", "check"]).filter("least < first")
         gone = gone.groupBy("tid").agg(F.collect_list("place").alias("places"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,17 +198,19 @@ class FingerprintIndex:
         return stored(arrow_map(held.select("tid", "text").join(gone, "tid"), cut, "tid long, n_removed long, cut_sha string"), "fingerprint-cut")
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 3, max_runs: int = MAX_RUNS) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, max_runs: int = MAX_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs, which enters the index in batches by doc_id."""
     index = FingerprintIndex(docs.sparkSession, window, max_runs)
     ident = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
     cuts = docs.agg(F.percentile_approx(ident, [k / batches for k in range(1, batches)] or [1.0])).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = docs if low is None else docs.filter(ident > low)
-        index.add(batch if high is None else batch.filter(ident <= high), key, text)
-    cut = index.removed(docs, key, text)
-    index.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = docs if low is None else docs.filter(ident > low)
+            index.add(batch if high is None else batch.filter(ident <= high), key, text)
+        cut = index.removed(docs, key, text)
+    finally:
+        index.close()
     firsts = stored(index.base.groupBy("tid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")), "fingerprint-firsts")
     out = index.base.join(firsts, "tid").join(cut, "tid", "left")
     copy = (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first")) & (F.col("n_words") >= window)

@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results in whatever store it lies."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Folders of intermediate results that are deleted together once what was made of them is stored elsewhere."""
 
@@ -58,10 +65,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        sc = self.spark.sparkContext
         for p in self.paths:
-            path = sc._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, p)
         self.paths = []
 
     def __enter__(self) -> Scratch:
