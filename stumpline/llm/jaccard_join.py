@@ -40,7 +40,7 @@ WORDS = 5
 BITS = 2048
 FANOUT = 8
 BLOCK = 4096  # sets of a group that one tree holds; more are split into blocks
-PART = 2 << 20
+PART = 1 << 20
 TOKENS = 2 << 20  # prefix tokens of a bucket, about
 #: Odd multipliers of the words of a shingle.
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
