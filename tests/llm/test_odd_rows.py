@@ -51,7 +51,7 @@ def test_passages_longer_and_shorter_than_the_window(spark):
         planted.append((ids, len(passage)))
     out = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     long = [(ids, n) for ids, n in planted if n >= 400]
-    assert 10 < len(long) < 30
+    assert 5 <= len(long) <= 35  # both kinds are there
     for ids, n in planted:
         for i in ids:
             assert out[i].n_removed >= n if n >= 400 else out[i].n_removed in (0, *range(400, n + 12))
