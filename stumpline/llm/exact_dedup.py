@@ -27,8 +27,8 @@ STORE = "spark.sql.streaming.stateStore"
 #: one changelog file for each partition, not a snapshot of several files; snapshots are left to the maintenance thread,
 #: which comes often, so that the stores of ended streams are unloaded.  Files are not preallocated (4 MB a partition).
 SETTINGS = {
-    f"{STORE}.providerClass": ROCKSDB, f"{STORE}.maintenanceInterval": "15s", f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "256",
-    f"{STORE}.rocksdb.writeBufferSizeMB": "8", f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true", f"{STORE}.rocksdb.allowFAllocate": "false",
+    f"{STORE}.providerClass": ROCKSDB, f"{STORE}.maintenanceInterval": "15s", f"{STORE}.rocksdb.boundedMemoryUsage": "true", f"{STORE}.rocksdb.maxMemoryUsageMB": "64",
+    f"{STORE}.rocksdb.writeBufferSizeMB": "4", f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true", f"{STORE}.rocksdb.allowFAllocate": "false",
 }
 
 

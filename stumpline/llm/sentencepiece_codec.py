@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import arrow_map, buffers, pieces, prefix_hash, range_hash, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PART = 1 << 20
+PART = 1 << 19
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 

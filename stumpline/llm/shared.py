@@ -91,9 +91,18 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with the package shipped.  A worker, which other tasks use again, gives back what a task has freed."""
+    """df.mapInArrow, with the package shipped.  A worker, which other tasks use again, gives back what a task has freed.
+
+    Where the session has Spark's default of 10000 rows for an Arrow batch, it gets ROWS: whole texts make large rows,
+    and executor and worker each hold a batch.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_ROWS) == "10000":
+        df.sparkSession.conf.set(BATCH_ROWS, ROWS)
 
     def run_and_release(batches):
         try:
