@@ -464,7 +464,7 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
         row = F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), "tid")
         chosen = sets.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(row).alias("row"))
         whole = _full_sets(fetched(docs, key, text, scratch.stored(chosen.select("row.*"), "chosen"), broadcast_rows))
-        whole.write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
+        whole.repartition(partitions, "sig").write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
         try:
             comp = components(_links(rows, held, spark.table(full), rounds, block))
         finally:
