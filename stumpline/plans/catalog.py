@@ -144,7 +144,20 @@ def _deduped(lineitem: DataFrame) -> DataFrame:
 
 
 def _shifts(a: Archive) -> DataFrame:
-    return match_flow.shifts(a.d, events_archive.BALLS_IN_INNINGS)
+    return match_flow.match_shifts(a.d, events_archive.BALLS_IN_INNINGS)
+
+
+def _said(a: Archive) -> DataFrame:
+    """Balls with a sentence of commentary for every seventh, as the archive's own is no prose."""
+    texts = F.array(*map(F.lit, ("Dropped at long-on", "missed the stumping", "a fine stroke", "grassed by the keeper", "review, overturned", "turns away sharply")))
+    said = F.when(c("sequence") % 7 == 0, F.element_at(texts, (c("sequence") % 6 + 1).cast("int"))).otherwise("")
+    return match_flow.balls_so_far(a.d.withColumn("said", said), "said")
+
+
+def _surface_cues(a: Archive) -> DataFrame:
+    """Cues of the built-in list in sentences picked by the balls' numbers."""
+    texts = ("pitches on leg and turns away", "turned away for one to deep fine leg", "it has been swung away over long on", "swings away late", "some dew about", "kept low", "climbs at the batter", "slow pitch, held up", "flat track, batting paradise", "no cue here")
+    return grounds.cue_counts(a.d.select(F.element_at(F.array(*map(F.lit, texts)), (c("sequence") % 10 + 1).cast("int")).alias("t")), "t")
 
 
 def _reconciled(a: Archive) -> DataFrame:
@@ -211,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "pitch_kinds": on_archive(lambda a: grounds.pitch_kinds(a, MATCH)),
     "pitch_wickets": on_archive(lambda a: grounds.pitch_wickets(a, MATCH)),
     "pitch_cues": on_table("documents", _cues),
+    "surface_cues": on_archive(_surface_cues),
     "match_state": on_archive(_state),
     "partnerships": on_archive(lambda a: innings.partnerships(a.d).select("match_id", "inning", "wicket", "runs", "balls", "pair", "ended")),
     "partnership_top": on_archive(families.top_partnerships),
@@ -226,10 +240,11 @@ QUERIES: dict[str, Query] = {
     "worm": on_archive(lambda a: match_flow.worm(a.d)),
     "fall_of_wickets": on_archive(lambda a: match_flow.fall_of_wickets(a.d)),
     "ewma_momentum": on_archive(lambda a: match_flow.momentum(a.d)),
-    "shift_wicket_cluster": on_archive(lambda a: match_flow.wicket_clusters(a.d)),
-    "shift_burst": on_archive(lambda a: match_flow.bursts(a.d, rate=1.1)),
-    "shift_squeeze": on_archive(lambda a: match_flow.squeezes(a.d, rate=1.0)),
-    "shift_chase": on_archive(lambda a: match_flow.chase_swings(a.d, events_archive.BALLS_IN_INNINGS, swing=3)),
+    "shift_wicket_cluster": on_archive(lambda a: match_flow.wicket_clusters(match_flow.balls_so_far(a.d))),
+    "shift_burst": on_archive(lambda a: match_flow.bursts(match_flow.balls_so_far(a.d), rate=1.1)),
+    "shift_squeeze": on_archive(lambda a: match_flow.squeezes(match_flow.balls_so_far(a.d), rate=1.0)),
+    "shift_chase": on_archive(lambda a: match_flow.chase_swings(match_flow.balls_so_far(a.d), a.d, events_archive.BALLS_IN_INNINGS, swing=3)),
+    "shift_chance": on_archive(lambda a: match_flow.missed_chances(_said(a))),
     "shifts_greedy": on_archive(_shifts),
     "impact_board": on_archive(lambda a: match_flow.impact_board(a.d)),
     "key_moments": on_archive(lambda a: match_flow.key_moments(a.d)),

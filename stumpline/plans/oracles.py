@@ -91,7 +91,9 @@ _HERE = "hs AS (SELECT b.*, ground = 'Eden Gardens' AS here FROM b WHERE year IN
 _STYLE = "stl AS (SELECT player_id, CASE WHEN player_id % 3 = 0 THEN 'left' ELSE 'right' END AS bat_hand, CASE WHEN player_id % 7 = 0 THEN '' WHEN player_id % 2 = 0 THEN 'spin' ELSE 'pace' END AS bowl_kind FROM (SELECT user_id AS player_id FROM events UNION SELECT event_id % 20 FROM events))"
 _KNOWN = "count(*) FILTER (w.bowl_kind <> '')"
 _OV = """ov AS (SELECT match_id, inning, over_number, CAST(sum(runs_total) AS BIGINT) AS runs, count(*) FILTER (is_wicket) AS wickets, count(*) FILTER (is_legal) AS balls, count(*) FILTER (is_four OR is_six) AS boundaries FROM b GROUP BY ALL),
-rate AS (SELECT match_id, inning, sum(runs)::DOUBLE / sum(balls) AS rate FROM ov GROUP BY ALL HAVING sum(balls) >= 12)"""
+rate AS (SELECT match_id, inning, sum(runs_total)::DOUBLE / greatest(count(*) FILTER (is_legal), 1) AS rate FROM b GROUP BY match_id, inning HAVING count(*) >= 12),
+bl AS (SELECT st.*, row_number() OVER (PARTITION BY match_id, inning ORDER BY sequence) AS ball, legal_before + CASE WHEN is_legal THEN 1 ELSE 0 END AS l, score_before + runs_total AS t, wkts_before + CASE WHEN is_wicket THEN 1 ELSE 0 END AS w, rate FROM st JOIN rate USING (match_id, inning)),
+ob AS (SELECT match_id, inning, over_number, min(ball) AS fb, max(ball) AS lb, any_value(batting_team) AS bat, any_value(bowling_team) AS bowl FROM bl GROUP BY ALL)"""
 
 
 def _rollup(figures: str, source: str) -> str:
@@ -170,7 +172,7 @@ ORACLES: dict[str, str] = {
     # -- grounds
     "venue_table": sql(f"SELECT ground, count(*) AS matches, {rt('sum(first)', 'count(*)', 1, 1)} AS avg_1st_inns, count(*) FILTER (ww = bat_first) AS bat_first_won, count(*) FILTER (ww = chaser) AS chasing_won, max(greatest(first, coalesce(second, 0))) AS highest_total, {rt('sum(first + coalesce(second, 0))', 'sum(b1 + coalesce(b2, 0))', 6)} AS run_rate, min(year) AS first_year, max(year) AS last_year FROM gm GROUP BY ground", _GAMES),
     "ground_seasons": sql(f"""SELECT year, matches, avg_1st_inns, league_1st, vs_league, run_rate, league_rr, chase_win_pct FROM y
-      UNION ALL SELECT 'Total', matches, a, l, {rd('a - l', 1)}, rr, lr, cw FROM (SELECT count(*) AS matches, {rt('sum(first)', 'count(*)', 1, 1)} AS a, {rt('sum(first + coalesce(second, 0))', 'sum(b1 + coalesce(b2, 0))', 6)} AS rr, {rt('count(*) FILTER (ww = chaser)', 'count(second)', 100, 0)} AS cw FROM gm WHERE ground = 'Eden Gardens' HAVING count(*) > 0), (SELECT {rt('sum(league_1st * matches)', 'sum(matches)', 1, 1)} AS l, {rt('sum(league_rr * matches)', 'sum(matches)', 1, 2)} AS lr FROM y)""",
+      UNION ALL SELECT 'Total', matches, a, l, {rd('a - l', 1)}, rr, lr, cw FROM (SELECT count(*) AS matches, {rt('sum(first)', 'count(*)', 1, 1)} AS a, {rt('sum(first + coalesce(second, 0))', 'sum(b1 + coalesce(b2, 0))', 6)} AS rr, {rt('count(*) FILTER (ww = chaser)', 'count(second)', 100, 0)} AS cw FROM gm WHERE ground = 'Eden Gardens' HAVING count(*) > 0), (SELECT {rt('sum(CAST(round(league_1st * 10) AS BIGINT) * matches)', 'sum(matches) * 10', 1, 1)} AS l, {rt('sum(CAST(round(league_rr * 100) AS BIGINT) * matches)', 'sum(matches) * 100', 1, 2)} AS lr FROM y)""",
       f"""{_GAMES}, lg AS (SELECT year, sum(first)::DOUBLE / count(*) AS lf, 6e0 * sum(first + coalesce(second, 0)) / sum(b1 + coalesce(b2, 0))::DOUBLE AS lr FROM gm GROUP BY year),
       y AS (SELECT CAST(year AS VARCHAR) AS year, matches, {rd('o', 1)} AS avg_1st_inns, {rd('lf', 1)} AS league_1st, {rd('o - lf', 1)} AS vs_league, run_rate, {rd('lr', 2)} AS league_rr, chase_win_pct FROM (SELECT year, count(*) AS matches, 1e0 * sum(first) / count(*)::DOUBLE AS o, {rt('sum(first + coalesce(second, 0))', 'sum(b1 + coalesce(b2, 0))', 6)} AS run_rate, {rt('count(*) FILTER (ww = chaser)', 'count(second)', 100, 0)} AS chase_win_pct FROM gm WHERE ground = 'Eden Gardens' GROUP BY year) JOIN lg USING (year))"""),
     "grouping_sets_phase": sql("SELECT h.phase, h.run_rate, h.boundary_pct, h.dot_pct, h.wkts_per_inns, l.run_rate AS league_run_rate, l.boundary_pct AS league_boundary_pct, l.dot_pct AS league_dot_pct, l.wkts_per_inns AS league_wkts_per_inns FROM q h JOIN q l ON l.phase = h.phase AND l.here IS NULL WHERE h.here", f"{_HERE}, q AS (SELECT here, phase, {rt('sum(runs_total)', _LEGAL, 6)} AS run_rate, {rt('count(*) FILTER (is_four OR is_six)', _LEGAL, 100, 1)} AS boundary_pct, {rt('count(*) FILTER (is_legal AND runs_total = 0)', _LEGAL, 100, 1)} AS dot_pct, {rt('count(*) FILTER (bowler_wicket)', 'count(DISTINCT (match_id, inning))', 1, 2)} AS wkts_per_inns FROM hs GROUP BY GROUPING SETS ((here, phase), (phase)))"),
@@ -180,6 +182,7 @@ ORACLES: dict[str, str] = {
     "pitch_kinds": sql(f"SELECT bowl_kind AS kind, count(*) FILTER (h AND is_legal) AS balls, count(*) FILTER (h AND bowler_wicket) AS wickets, {rt('sum(bowler_runs) FILTER (h)', 'count(*) FILTER (h AND is_legal)', 6)} AS econ_here, {rt('sum(bowler_runs)', _LEGAL, 6)} AS econ_league, {rt('count(*) FILTER (h AND is_legal AND bowler_runs = 0)', 'count(*) FILTER (h AND is_legal)', 100, 1)} AS dot_pct_here, {rt('count(*) FILTER (is_legal AND bowler_runs = 0)', _LEGAL, 100, 1)} AS dot_pct_league FROM (SELECT b.*, match_id = 8767 AS h, bowl_kind FROM b JOIN stl ON player_id = bowler_id AND bowl_kind <> '' WHERE year = (SELECT year FROM g WHERE match_id = 8767)) GROUP BY bowl_kind", _STYLE),
     "pitch_wickets": sql("SELECT " + rt("count(*) FILTER (match_id = 8767 AND dismissal_type IN ('bowled', 'lbw'))", "count(*) FILTER (match_id = 8767)", 100, 1) + " AS bowled_lbw_pct_here, " + rt("count(*) FILTER (dismissal_type IN ('bowled', 'lbw'))", "count(*)", 100, 1) + " AS bowled_lbw_pct_league, count(*) FILTER (match_id = 8767) AS wickets_here FROM b WHERE bowler_wicket AND year = (SELECT year FROM g WHERE match_id = 8767)"),
     "pitch_cues": "SELECT cue, mentions FROM (SELECT 'and then' AS cue, count(*) FILTER (regexp_matches(text, '\\b(and|und) th', 'i')) AS mentions FROM documents UNION ALL SELECT 'not been', count(*) FILTER (regexp_matches(text, '(^| )be( |$)', 'i')) FROM documents UNION ALL SELECT 'never', count(*) FILTER (regexp_matches(text, '\\bqqqq\\b', 'i')) FROM documents) WHERE mentions > 0",
+    "surface_cues": sql("SELECT cue, count(*) AS mentions FROM b JOIN (VALUES (0, 'turn'), (3, 'seam or swing'), (4, 'dew'), (5, 'low bounce'), (6, 'bounce'), (7, 'slow, two-paced'), (8, 'flat, good to bat')) v(k, cue) ON sequence % 10 = k GROUP BY cue"),
     # -- families
     "match_state": sql("SELECT match_id, inning, sequence, CAST(score_before AS BIGINT) AS score_before, CAST(wkts_before AS BIGINT) AS wkts_before, CAST(legal_before AS BIGINT) AS legal_before, CAST(bat_ball_no AS BIGINT) AS bat_ball_no, CAST(CASE WHEN inning = 2 THEN f + 1 - score_before END AS BIGINT) AS needed, CAST(160 - legal_before AS BIGINT) AS balls_left, CAST(10 - wkts_before AS BIGINT) AS wkts_in_hand, " + rd("CASE WHEN inning = 2 AND legal_before < 160 THEN 6e0 * (f + 1 - score_before) / (160 - legal_before) END", 6) + " AS rrr FROM st LEFT JOIN (SELECT match_id, sum(runs_total) AS f FROM b WHERE inning = 1 GROUP BY 1) t USING (match_id)"),
     "partnerships": sql("SELECT match_id, inning, CAST(wkts_before + 1 AS BIGINT) AS wicket, CAST(sum(runs_total) AS BIGINT) AS runs, count(*) FILTER (is_legal) AS balls, string_agg(DISTINCT batter, ' & ' ORDER BY batter) AS pair, bool_or(is_wicket) AS ended FROM st GROUP BY match_id, inning, wkts_before"),
@@ -196,12 +199,13 @@ ORACLES: dict[str, str] = {
     "over_series": sql(f"SELECT match_id, inning, over_number, runs, wickets, balls, boundaries, CAST(sum(runs) OVER w AS BIGINT) AS total, CAST(sum(wickets) OVER w AS BIGINT) AS down, {rt('sum(runs) OVER w', 'sum(balls) OVER w', 6)} AS run_rate FROM ov WINDOW w AS (PARTITION BY match_id, inning ORDER BY over_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", _OV),
     "worm": sql("SELECT match_id, inning, sequence, CAST(legal_before + CASE WHEN is_legal THEN 1 ELSE 0 END AS BIGINT) AS legal, CAST(score_before + runs_total AS BIGINT) AS total, CAST(wkts_before + CASE WHEN is_wicket THEN 1 ELSE 0 END AS BIGINT) AS down, CAST(score_before + runs_total AS BIGINT) || '/' || CAST(wkts_before + CASE WHEN is_wicket THEN 1 ELSE 0 END AS BIGINT) AS score FROM st"),
     "fall_of_wickets": sql("SELECT match_id, inning, CAST(wkts_before + 1 AS BIGINT) AS wicket, CAST(t AS BIGINT) || '/' || CAST(wkts_before + 1 AS BIGINT) AS score, over_number, player_out, CAST(t - coalesce(lag(t) OVER (PARTITION BY match_id, inning ORDER BY sequence), 0) AS BIGINT) AS stand FROM (SELECT *, score_before + runs_total AS t FROM st WHERE is_wicket)"),
-    "ewma_momentum": "WITH RECURSIVE " + BASE + f", {_OV}, n AS (SELECT match_id, inning, over_number, runs, runs - avg(runs) OVER (PARTITION BY match_id, inning) AS off, row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS k FROM ov), m AS (SELECT match_id, inning, over_number, runs, k, off AS e FROM n WHERE k = 1 UNION ALL SELECT n.match_id, n.inning, n.over_number, n.runs, n.k, 0.3::DOUBLE * n.off + 0.7::DOUBLE * m.e FROM m JOIN n ON n.match_id = m.match_id AND n.inning = m.inning AND n.k = m.k + 1) SELECT match_id, inning, over_number, runs, {rd('e', 4)} AS momentum FROM m",
-    "shift_wicket_cluster": sql(f"SELECT match_id, inning, 'wicket cluster' AS kind, fo AS first_over, lo AS last_over, n AS wickets, r AS runs, {rd('8e0 * n + rate * (lb - fb) - r', 2)} AS magnitude FROM (SELECT match_id, inning, isl, count(*) AS n, CAST(min(l) AS BIGINT) AS fb, CAST(max(l) AS BIGINT) AS lb, min(over_number) AS fo, max(over_number) AS lo, CAST(max(t) - min(t) AS BIGINT) AS r FROM (SELECT *, sum(s) OVER (PARTITION BY match_id, inning ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM (SELECT *, CASE WHEN l - lag(l) OVER (PARTITION BY match_id, inning ORDER BY sequence) <= 9 THEN 0 ELSE 1 END AS s FROM (SELECT match_id, inning, sequence, over_number, legal_before + CASE WHEN is_legal THEN 1 ELSE 0 END AS l, score_before + runs_total AS t FROM st WHERE is_wicket))) GROUP BY match_id, inning, isl) JOIN rate USING (match_id, inning) WHERE n >= 3 OR (n = 2 AND lb - fb <= 6)", _OV),
-    "shift_burst": sql(f"SELECT match_id, inning, 'burst' AS kind, min(over_number) AS first_over, max(over_number) AS last_over, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(runs) AS BIGINT) AS runs, {rd('sum(runs) - max(rate) * sum(balls)', 2)} AS magnitude FROM (SELECT ov.*, rate, over_number - row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS isl FROM ov JOIN rate USING (match_id, inning) WHERE runs >= greatest(10e0, 1.1::DOUBLE * rate * balls)) GROUP BY match_id, inning, isl HAVING (count(*) >= 2 OR sum(runs) >= 20) AND sum(wickets) <= 1", _OV),
-    "shift_squeeze": sql(f"SELECT match_id, inning, 'squeeze' AS kind, min(over_number) AS first_over, max(over_number) AS last_over, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(runs) AS BIGINT) AS runs, {rd('max(rate) * sum(balls) - sum(runs)', 2)} AS magnitude FROM (SELECT ov.*, rate, over_number - row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS isl FROM ov JOIN rate USING (match_id, inning) WHERE boundaries = 0 AND runs <= 1.0::DOUBLE * rate * balls) GROUP BY match_id, inning, isl HAVING count(*) >= 2", _OV),
-    "shift_chase": sql(f"SELECT match_id, inning, 'chase swing' AS kind, over_number AS first_over, over_number + 1 AS last_over, w2 AS wickets, r2 AS runs, {rd('r2 - pb * b2', 2)} AS magnitude FROM (SELECT *, (f + 1 - had) / nullif(160 - used, 0)::DOUBLE AS pb FROM (SELECT match_id, inning, over_number, runs + lead(runs) OVER w AS r2, balls + lead(balls) OVER w AS b2, wickets + lead(wickets) OVER w AS w2, coalesce(sum(runs) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had, coalesce(sum(balls) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ov WHERE inning = 2 WINDOW w AS (PARTITION BY match_id, inning ORDER BY over_number)) JOIN (SELECT match_id, sum(runs) AS f FROM ov WHERE inning = 1 GROUP BY 1) USING (match_id)) WHERE r2 IS NOT NULL AND used < 160 AND 6 * pb <= 18 AND pb > 0 AND abs(r2 - pb * b2) >= 3", _OV),
-    "impact_board": sql(f"SELECT match_id, player_id, {rd('sum(x)', 2)} AS batting, {rd('sum(y)', 2)} AS bowling, {rd('sum(x) + sum(y)', 2)} AS impact FROM (SELECT match_id, player_id, CAST(sum(r) AS BIGINT) - p * CAST(sum(f) AS BIGINT) - 12e0 * CAST(sum(o) AS BIGINT) AS x, 0e0 AS y FROM (SELECT match_id, batter_id AS player_id, runs_bat AS r, CASE WHEN is_wide THEN 0 ELSE 1 END AS f, 0 AS o FROM b UNION ALL SELECT match_id, player_out_id, 0, 0, 1 FROM b WHERE is_wicket) JOIN par USING (match_id) GROUP BY match_id, player_id, p UNION ALL SELECT match_id, bowler_id, 0e0, p * {_LEGAL} - CAST(sum(bowler_runs) AS BIGINT) + 12e0 * count(*) FILTER (bowler_wicket) FROM b JOIN par USING (match_id) GROUP BY match_id, bowler_id, p) GROUP BY match_id, player_id", f"par AS (SELECT match_id, sum(runs_total)::DOUBLE / {_LEGAL} AS p FROM b GROUP BY match_id)"),
+    "ewma_momentum": "WITH RECURSIVE " + BASE + f", {_OV}, n AS (SELECT match_id, inning, over_number, runs, wickets, runs - avg(runs) OVER (PARTITION BY match_id, inning) - 8e0 * wickets AS off, row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS k FROM ov), m AS (SELECT match_id, inning, over_number, runs, wickets, k, 0.3::DOUBLE * off AS e FROM n WHERE k = 1 UNION ALL SELECT n.match_id, n.inning, n.over_number, n.runs, n.wickets, n.k, 0.3::DOUBLE * n.off + 0.7::DOUBLE * m.e FROM m JOIN n ON n.match_id = m.match_id AND n.inning = m.inning AND n.k = m.k + 1) SELECT match_id, inning, over_number, runs, wickets, {rd('e', 4)} AS momentum FROM m",
+    "shift_wicket_cluster": sql(f"SELECT match_id, inning, 'wicket_cluster' AS kind, CAST(fb AS BIGINT) AS first_ball, CAST(lb AS BIGINT) AS last_ball, fo AS first_over, lo AS last_over, CAST(n AS BIGINT) AS wickets, CAST(r AS BIGINT) AS runs, CAST(q AS BIGINT) AS balls, bw AS favours, {rd('8e0 * n + rate * greatest(q, 1) - r', 1)} AS magnitude FROM (SELECT match_id, inning, max(rate) AS rate, count(*) AS n, min(ball) AS fb, max(ball) AS lb, min(over_number) AS fo, max(over_number) AS lo, arg_max(t, ball) - arg_min(score_before, ball) AS r, arg_max(l, ball) - arg_min(legal_before, ball) AS q, any_value(bowling_team) AS bw FROM (SELECT *, sum(s) OVER (PARTITION BY match_id, inning ORDER BY ball ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM (SELECT *, CASE WHEN l - lag(l) OVER (PARTITION BY match_id, inning ORDER BY ball) <= 9 THEN 0 ELSE 1 END AS s FROM bl WHERE is_wicket)) GROUP BY match_id, inning, isl) WHERE n >= 3 OR (n = 2 AND q <= 6)", _OV),
+    "shift_burst": sql(f"SELECT match_id, inning, 'scoring_burst' AS kind, CAST(min(fb) AS BIGINT) AS first_ball, CAST(max(lb) AS BIGINT) AS last_ball, min(over_number) AS first_over, max(over_number) AS last_over, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(balls) AS BIGINT) AS balls, any_value(bat) AS favours, {rd('sum(runs) - max(rate) * sum(balls) - 8e0 * sum(wickets)', 1)} AS magnitude FROM (SELECT ov.*, rate, fb, lb, bat, bowl, over_number - row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS isl FROM ov JOIN rate USING (match_id, inning) JOIN ob USING (match_id, inning, over_number) WHERE runs >= greatest(10e0, 1.1::DOUBLE * rate * 6)) GROUP BY match_id, inning, isl HAVING (count(*) >= 2 OR sum(runs) >= 20) AND sum(wickets) <= 1", _OV),
+    "shift_squeeze": sql(f"SELECT match_id, inning, 'squeeze' AS kind, CAST(min(fb) AS BIGINT) AS first_ball, CAST(max(lb) AS BIGINT) AS last_ball, min(over_number) AS first_over, max(over_number) AS last_over, CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(balls) AS BIGINT) AS balls, any_value(bowl) AS favours, {rd('max(rate) * sum(balls) - sum(runs) + 8e0 * sum(wickets)', 1)} AS magnitude FROM (SELECT ov.*, rate, fb, lb, bat, bowl, over_number - row_number() OVER (PARTITION BY match_id, inning ORDER BY over_number) AS isl FROM ov JOIN rate USING (match_id, inning) JOIN ob USING (match_id, inning, over_number) WHERE boundaries = 0 AND runs <= 1.0::DOUBLE * rate * 6) GROUP BY match_id, inning, isl HAVING count(*) >= 2", _OV),
+    "shift_chase": sql(f"SELECT match_id, inning, 'chase_swing' AS kind, CAST(x.ball + 1 AS BIGINT) AS first_ball, CAST(y.ball AS BIGINT) AS last_ball, z.over_number AS first_over, y.over_number AS last_over, CAST(y.w - x.w AS BIGINT) AS wickets, CAST(y.t - x.t AS BIGINT) AS runs, CAST(y.l - x.l AS BIGINT) AS balls, CASE WHEN {rd('y.t - x.t - need * (y.l - x.l) / 6 - 8e0 * (y.w - x.w)', 1)} > 0 THEN x.batting_team ELSE x.bowling_team END AS favours, abs({rd('y.t - x.t - need * (y.l - x.l) / 6 - 8e0 * (y.w - x.w)', 1)}) AS magnitude FROM (SELECT *, 6e0 * (f + 1 - t) / nullif(160 - l, 0) AS need FROM bl JOIN (SELECT match_id, sum(runs) AS f FROM ov WHERE inning = 1 GROUP BY 1) USING (match_id) WHERE inning = 2 AND is_legal AND l % 6 = 0 AND l < 160 AND t < f + 1) x JOIN (SELECT * FROM bl WHERE is_legal) y USING (match_id, inning) JOIN bl z USING (match_id, inning) WHERE y.l = x.l + 12 AND z.ball = x.ball + 1 AND need <= 18 AND abs({rd('y.t - x.t - need * (y.l - x.l) / 6 - 8e0 * (y.w - x.w)', 1)}) >= 3", _OV),
+    "shift_chance": sql("SELECT match_id, inning, 'missed_chance' AS kind, CAST(ball AS BIGINT) AS first_ball, CAST(ball AS BIGINT) AS last_ball, over_number AS first_over, over_number AS last_over, CAST(w - wkts_before AS BIGINT) AS wickets, CAST(runs_total AS BIGINT) AS runs, CAST(l - legal_before AS BIGINT) AS balls, batting_team AS favours, 6e0 AS magnitude FROM bl WHERE sequence % 7 = 0 AND sequence % 6 IN (0, 1, 3, 4)", _OV),
+    "impact_board": sql(f"SELECT match_id, inning, player_id, role, impact + 0e0 AS impact FROM (SELECT match_id, inning, player_id, 'bat' AS role, {rd('r - p * f + CASE WHEN s IS NOT NULL AND r > 15 AND tt > 0 THEN 3e0 * (1e0 - s / tt::DOUBLE) ELSE 0e0 END - CASE WHEN s IS NULL THEN 0e0 ELSE 12e0 END', 1)} AS impact FROM (SELECT match_id, inning, batter_id AS player_id, CAST(sum(runs_bat) AS BIGINT) AS r, {_FACED} AS f FROM b GROUP BY ALL) LEFT JOIN (SELECT match_id, inning, player_out_id AS player_id, min(score_before + runs_total) AS s FROM st WHERE is_wicket GROUP BY ALL) USING (match_id, inning, player_id) JOIN (SELECT match_id, inning, CAST(sum(runs_total) AS BIGINT) AS tt FROM b GROUP BY ALL) USING (match_id, inning) JOIN par USING (match_id) WHERE f > 0 UNION ALL SELECT match_id, inning, bowler_id, 'bowl', {rd('p * q - v + 12e0 * w', 1)} FROM (SELECT match_id, inning, bowler_id, {_LEGAL} AS q, CAST(sum(bowler_runs) AS BIGINT) AS v, count(*) FILTER (bowler_wicket) AS w FROM b GROUP BY ALL) JOIN par USING (match_id) WHERE q > 0)", f"par AS (SELECT match_id, sum(runs_total)::DOUBLE / {_LEGAL} AS p FROM b GROUP BY match_id)"),
     "key_moments": sql("SELECT match_id, place, inning, sequence, priority FROM (SELECT match_id, inning, sequence, p AS priority, row_number() OVER (PARTITION BY match_id ORDER BY p, inning, sequence) AS place FROM (SELECT *, CASE WHEN is_wicket THEN 1 WHEN row_number() OVER (PARTITION BY match_id, inning ORDER BY sequence DESC) <= 4 THEN 2 WHEN is_six THEN 3 END AS p FROM b) WHERE p IS NOT NULL) WHERE place <= 8"),
     "maidens": sql("SELECT match_id, inning, player_id, count(*) AS maidens FROM (SELECT match_id, inning, over_number, max(bowler_id) AS player_id FROM b GROUP BY ALL HAVING count(*) FILTER (is_legal) = 6 AND count(DISTINCT bowler_id) = 1 AND sum(bowler_runs) = 0) GROUP BY match_id, inning, player_id"),
     # -- slices

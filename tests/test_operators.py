@@ -94,16 +94,133 @@ def test_set_cover(spark):
     assert relational.set_cover(sets, "s", "m") == [("b", 3), ("a", 1)]
 
 
-def test_shifts_do_not_overlap(spark):
+def walked(balls, limit, target):
+    """Shifts of one innings by a walk over its balls in plain Python: (kind, first, last, wickets, runs, favours, magnitude)."""
+    if len(balls) < 12:
+        return []
+    legal, runs, down, at = [0], [0], [0], {}
+    for i, b in enumerate(balls):
+        legal.append(legal[-1] + b.is_legal)
+        runs.append(runs[-1] + b.runs_total)
+        down.append(down[-1] + b.is_wicket)
+        at.setdefault(b.over_number, []).append(i)
+    rate, bat, bowl = runs[-1] / max(legal[-1], 1), balls[0].batting_team, balls[0].bowling_team
+    span = lambda i, j: (legal[j + 1] - legal[i], runs[j + 1] - runs[i], down[j + 1] - down[i])
+    found = []
+
+    def note(kind, i, j, favours, size):
+        found.append((kind, i + 1, j + 1, span(i, j)[2], span(i, j)[1], favours, int(abs(size) * 10 + 0.5 + 1e-9) / 10 * (1 if size >= 0 else -1)))
+
+    group = []
+    for i in [*(k for k, b in enumerate(balls) if b.is_wicket), None]:
+        if group and (i is None or legal[i + 1] - legal[group[-1] + 1] > 9):
+            n, r, w = span(group[0], group[-1])
+            if len(group) > 2 or (len(group) == 2 and n <= 6):
+                note("wicket_cluster", group[0], group[-1], bowl, 8 * w + rate * max(n, 1) - r)
+            group = []
+        group.append(i)
+    for kind in ("scoring_burst", "squeeze"):
+        good = []
+        for o in sorted(at):
+            _, r, _ = span(at[o][0], at[o][-1])
+            four = any(balls[i].is_four or balls[i].is_six for i in at[o])
+            if r >= max(10, 1.4 * 6 * rate) if kind == "scoring_burst" else not four and r <= 0.6 * 6 * rate:
+                good.append(o)
+        while good:
+            n = 1
+            while n < len(good) and good[n] == good[0] + n:
+                n += 1
+            i, j = at[good[0]][0], at[good[n - 1]][-1]
+            q, r, w = span(i, j)
+            if kind == "scoring_burst" and (n > 1 or r >= 20) and w <= 1:
+                note(kind, i, j, bat, r - rate * q - 8 * w)
+            if kind == "squeeze" and n > 1:
+                note(kind, i, j, bowl, rate * q - r + 8 * w)
+            good = good[n:]
+    sixth = [i for i, b in enumerate(balls) if b.is_legal and legal[i + 1] % 6 == 0] if target else []
+    for i, j in zip(sixth, sixth[2:], strict=False):
+        left, need = limit - legal[i + 1], (target or 0) - runs[i + 1]
+        if left > 0 and need > 0 and 6 * need / left <= 18:
+            q, r, w = span(i + 1, j)
+            swing = round(r - need / left * q - 8 * w, 1)
+            if abs(swing) >= 12:
+                note("chase_swing", i + 1, j, bat if swing > 0 else bowl, abs(swing))
+    for i, b in enumerate(balls):
+        if any(x in (b.said or "").lower() for x in ("dropped", "missed the stumping", "grassed")):
+            note("missed_chance", i, i, bat, 6.0)
+    order = ["wicket_cluster", "scoring_burst", "squeeze", "chase_swing", "missed_chance"]
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[6], order.index(x[0]), x[1])):
+        if not any(x[1] <= k[2] and k[1] <= x[2] and (x[0] == k[0] or x[5] == k[5]) for k in kept):
+            kept.append(x)
+    return kept
+
+
+def test_shifts_are_those_of_a_walk_over_balls(spark):
     d = events_archive.archive(spark, "/root/testdata/sf0.01").d
-    by = {}
-    for r in match_flow.shifts(d, 160).collect():
-        by.setdefault((r.match_id, r.inning), []).append(r)
-    assert by
-    for group in by.values():
-        assert len(group) <= 6
-        for i, x in enumerate(group):
-            assert all(x.last_over < y.first_over or y.last_over < x.first_over for y in group[i + 1 :])
+    said = F.when(F.col("sequence") % 31 == 0, "Dropped at slip").when(F.col("sequence") % 37 == 0, "he missed the stumping").otherwise("turned away")
+    d = d.withColumn("said", said).withColumn("runs_total", F.when(F.col("over_number").between(4, 5) & ~F.col("is_wicket"), F.col("runs_total") * 4).when(F.col("over_number").between(7, 8), F.col("runs_total") * 0).otherwise(F.col("runs_total")).cast("long"))
+    d = d.withColumns({k: F.col(k) & ~F.col("over_number").between(7, 8) for k in ("is_four", "is_six")})
+    innings_ = {}
+    for r in d.orderBy("match_id", "inning", "sequence").collect():
+        innings_.setdefault((r.match_id, r.inning), []).append(r)
+    want = {}
+    for (m, i), balls in innings_.items():
+        want[m, i] = walked(balls, 160, sum(b.runs_total for b in innings_[m, 1]) + 1 if i == 2 else None)
+    got = {}
+    for r in sorted(match_flow.innings_shifts(d, 160, "said").collect(), key=lambda r: r.place):
+        got.setdefault((r.match_id, r.inning), []).append((r.kind, r.first_ball, r.last_ball, r.wickets, r.runs, r.favours, r.magnitude))
+    assert {x[0] for v in want.values() for x in v} == set(match_flow.KINDS)
+    assert got == {k: v for k, v in want.items() if v}
+    top = match_flow.match_shifts(d, 160, 6, "said").collect()
+    for m in {k[0] for k in want}:
+        best = sorted(((-x[6], i, n, x) for i in (1, 2) for n, x in enumerate(want.get((m, i), []))), key=lambda x: x[:3])[:6]
+        mine = sorted((r for r in top if r.match_id == m), key=lambda r: r.moment)
+        assert [(r.inning, r.first_ball) for r in mine] == sorted((x[1], x[3][1]) for x in best)
+        assert [r.magnitude for r in mine if r.decisive] == [best[0][3][6]]
+
+
+def test_momentum_and_impact_by_hand(spark):
+    rows = []
+    for inning, overs in ((1, [(6, 0), (12, 1), (0, 2)]), (2, [(9, 0), (3, 1)])):
+        k = 0
+        for o, (runs, wickets) in enumerate(overs, 1):
+            for ball in range(6):
+                k += 1
+                out = ball < wickets
+                rows.append((1, inning, k, o, runs // 6 + (ball < runs % 6), True, False, out, out, 10 * inning + (o if out else 0), 10 * inning + (o if out else 0), 90 + inning))
+    d = spark.createDataFrame(rows, "match_id long, inning long, sequence long, over_number long, runs_total long, is_legal boolean, is_wide boolean, is_wicket boolean, bowler_wicket boolean, batter_id long, player_out_id long, bowler_id long")
+    d = d.withColumns({"runs_bat": F.col("runs_total"), "bowler_runs": F.col("runs_total")})
+    flow = {(r.inning, r.over_number): r.momentum for r in match_flow.momentum(d).collect()}
+    m1 = 0.3 * (6 - 6)
+    m2 = 0.3 * (12 - 6 - 8) + 0.7 * m1
+    assert flow[1, 1] == m1 and abs(flow[1, 2] - m2) < 1e-4 and abs(flow[1, 3] - (0.3 * (0 - 6 - 16) + 0.7 * m2)) < 1e-4
+    par = 30 / 30
+    board = {(r.inning, r.player_id, r.role): r.impact for r in match_flow.impact_board(d).collect()}
+    balls = lambda i, who, what: sum(what(r) for r in rows if r[1] == i and r[9] == who)
+    assert board[1, 10, "bat"] == balls(1, 10, lambda r: r[4]) - par * balls(1, 10, lambda r: 1)  # never out: 1 is charged nothing
+    assert board[1, 12, "bat"] == round(2 - par - 12, 1) and board[1, 91, "bowl"] == round(par * 18 - 18 + 12 * 3, 1)
+
+
+def test_cues_are_of_the_surface_not_of_strokes(spark):
+    from stumpline.operators import grounds
+
+    found = lambda t: [r.cue for r in grounds.cue_counts(spark.createDataFrame([(t,)], "t string"), "t").collect()]
+    assert found("pitches outside off and turns away") == ["turn"] and found("a length ball that swings away late") == ["seam or swing"] and found("it climbs on him") == ["bounce"]
+    for stroke in ("turned away to fine leg", "turned away for one to deep backward square", "turned square for a single", "swung away over long on", "it has been swung away over midwicket", "the bat turns in the hands", "the towel fell off"):
+        assert found(stroke) == [], stroke
+    chance = lambda t: spark.createDataFrame([(t,)], "t string").filter(F.col("t").rlike("(?i)" + match_flow.MISSED_CHANCE)).count()
+    assert all(chance(t) for t in ("put down at slip", "Grassed!", "spilled by the keeper", "missed the stumping", "missed run-out", "a reprieve", "decision overturned")) and not chance("a fine catch")
+
+
+def test_verdict_of_a_pitch():
+    from stumpline.operators import grounds
+
+    phases = [{"rr_here": 9.5, "rr_league": 8.0}, {"rr_here": None, "rr_league": 7.0}]
+    kinds = [{"kind": "pace", "balls": 60, "econ_here": 9.0, "econ_league": 8.0}, {"kind": "spin", "balls": 24, "econ_here": 6.0, "econ_league": 7.5}]
+    said = grounds.pitch_verdict(phases, kinds, {"wickets_here": 6, "bowled_lbw_pct_here": 50.0, "bowled_lbw_pct_league": 30.0}, [{"cue": "turn", "mentions": 2}, {"cue": "dew", "mentions": 1}], 9)
+    assert said == "high-scoring; spin did better than usual; many bowled and lbw; commentary speaks of turn"
+    assert grounds.pitch_verdict([], [], None, [], 0) == "no commentary" and grounds.pitch_verdict([], [], None, [], 3) == "not enough ball data"
 
 
 def test_by_occurrence_uses_labels_where_counts_differ(spark):
