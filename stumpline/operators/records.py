@@ -60,8 +60,15 @@ def milestone_innings(a: Archive, stat: str, value: int, limit: int = 20) -> Dat
 
 def milestone_balls(a: Archive, value: int, limit: int = 20) -> DataFrame:
     """Fewest legal balls in which a bowler came to `value` wickets over the career."""
-    w = Window.partitionBy("bowler_id").orderBy("start_date", "match_id", "sequence").rowsBetween(Window.unboundedPreceding, 0)
-    x = a.d.select("bowler_id", "bowler", "start_date", F.sum(as_count(c("is_legal"))).over(w).alias("bowled"), F.sum(as_count(c("bowler_wicket"))).over(w).alias("taken"))
+    # Careers run over matches; only the match in which the value is reached is walked ball by ball.
+    legal, taken = as_count(c("is_legal")), as_count(c("bowler_wicket"))
+    games = a.d.groupBy("bowler_id", "start_date", "match_id").agg(F.sum(legal).alias("b"), F.sum(taken).alias("w"))
+    before = Window.partitionBy("bowler_id").orderBy("start_date", "match_id").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    games = games.withColumns({"b0": zero("b"), "w0": zero("w")}).filter((c("w0") < value) & (c("w0") + c("w") >= value))
+    w = Window.partitionBy("bowler_id", "match_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    last = a.d.join(games.select("bowler_id", "match_id", "b0", "w0"), ["bowler_id", "match_id"])
+    x = last.select("bowler_id", "bowler", "start_date", (c("b0") + F.sum(legal).over(w)).alias("bowled"), (c("w0") + F.sum(taken).over(w)).alias("taken"))
     out = x.filter(c("taken") >= value).groupBy(c("bowler_id").alias("player_id")).agg(F.max("bowler").alias("player"), F.min("bowled").alias("balls"), F.min("start_date").alias("reached_on"))
     return out.orderBy("balls", "reached_on", "player_id").limit(limit)
 

@@ -67,7 +67,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def share_within(df: DataFrame, group: list[str], by: list[str]) -> DataFrame:
     """Counts of (by, group) and their share, in per cent, of their `by`."""
     n = df.groupBy(*by, *group).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("pct", F.lit(100.0) * c("n") / F.sum("n").over(Window.partitionBy(*by)))
+    # Totals are joined, not taken over a window: one value of `by` may have very many rows.
+    whole = df.groupBy(*(c(k).alias(f"__{k}") for k in by)).agg(F.count(F.lit(1)).alias("__n"))
+    same = [c(k).eqNullSafe(c(f"__{k}")) for k in by]
+    return n.join(whole, reduce(lambda a, b: a & b, same)).withColumn("pct", F.lit(100.0) * c("n") / c("__n")).drop("__n", *(f"__{k}" for k in by))
 
 
 def set_cover(sets: DataFrame, name: str, member: str, weight: Column | None = None, most: int = 100) -> list[tuple]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, overs_text, rounded, without_tags
 from ..operators import families, grounds, innings, leaders, match_flow, reconcile, records, relational, results
-from . import events_archive
+from . import events_archive, views
 from .archive import Archive
 from .oracles import ORACLES
 from .slices import SliceSpec, slice_stats
@@ -20,6 +20,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 MATCH, BATTER, BOWLER, GROUND = 8767, 7, 3, "Eden Gardens"
 
 
+#: A statement for ad-hoc SQL: a join of two views, grouped, with HAVING.
+ADHOC = """
+SELECT m.year, d.batting_team AS team, count(*) AS balls, sum(d.runs_total) AS runs, count(DISTINCT d.match_id) AS games
+FROM deliveries d JOIN matches m ON m.match_id = d.match_id WHERE d.is_legal AND d.over_number > 6 GROUP BY m.year, d.batting_team HAVING count(*) > 5
+"""
+
+
 def on_archive(f: Callable[[Archive], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(events_archive.archive(spark, sf_dir))
 
@@ -225,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "pitch_wickets": on_archive(lambda a: grounds.pitch_wickets(a, MATCH)),
     "pitch_cues": on_table("documents", _cues),
     "surface_cues": on_archive(_surface_cues),
+    "adhoc_sql": lambda spark, sf_dir: views.ask(spark, events_archive.archive(spark, sf_dir), ADHOC),
     "match_state": on_archive(_state),
     "partnerships": on_archive(lambda a: innings.partnerships(a.d).select("match_id", "inning", "wicket", "runs", "balls", "pair", "ended")),
     "partnership_top": on_archive(families.top_partnerships),

@@ -182,6 +182,7 @@ ORACLES: dict[str, str] = {
     "pitch_kinds": sql(f"SELECT bowl_kind AS kind, count(*) FILTER (h AND is_legal) AS balls, count(*) FILTER (h AND bowler_wicket) AS wickets, {rt('sum(bowler_runs) FILTER (h)', 'count(*) FILTER (h AND is_legal)', 6)} AS econ_here, {rt('sum(bowler_runs)', _LEGAL, 6)} AS econ_league, {rt('count(*) FILTER (h AND is_legal AND bowler_runs = 0)', 'count(*) FILTER (h AND is_legal)', 100, 1)} AS dot_pct_here, {rt('count(*) FILTER (is_legal AND bowler_runs = 0)', _LEGAL, 100, 1)} AS dot_pct_league FROM (SELECT b.*, match_id = 8767 AS h, bowl_kind FROM b JOIN stl ON player_id = bowler_id AND bowl_kind <> '' WHERE year = (SELECT year FROM g WHERE match_id = 8767)) GROUP BY bowl_kind", _STYLE),
     "pitch_wickets": sql("SELECT " + rt("count(*) FILTER (match_id = 8767 AND dismissal_type IN ('bowled', 'lbw'))", "count(*) FILTER (match_id = 8767)", 100, 1) + " AS bowled_lbw_pct_here, " + rt("count(*) FILTER (dismissal_type IN ('bowled', 'lbw'))", "count(*)", 100, 1) + " AS bowled_lbw_pct_league, count(*) FILTER (match_id = 8767) AS wickets_here FROM b WHERE bowler_wicket AND year = (SELECT year FROM g WHERE match_id = 8767)"),
     "pitch_cues": "SELECT cue, mentions FROM (SELECT 'and then' AS cue, count(*) FILTER (regexp_matches(text, '\\b(and|und) th', 'i')) AS mentions FROM documents UNION ALL SELECT 'not been', count(*) FILTER (regexp_matches(text, '(^| )be( |$)', 'i')) FROM documents UNION ALL SELECT 'never', count(*) FILTER (regexp_matches(text, '\\bqqqq\\b', 'i')) FROM documents) WHERE mentions > 0",
+    "adhoc_sql": sql("SELECT year, batting_team AS team, count(*) AS balls, CAST(sum(runs_total) AS BIGINT) AS runs, count(DISTINCT match_id) AS games FROM b WHERE is_legal AND over_number > 6 GROUP BY year, batting_team HAVING count(*) > 5"),
     "surface_cues": sql("SELECT cue, count(*) AS mentions FROM b JOIN (VALUES (0, 'turn'), (3, 'seam or swing'), (4, 'dew'), (5, 'low bounce'), (6, 'bounce'), (7, 'slow, two-paced'), (8, 'flat, good to bat')) v(k, cue) ON sequence % 10 = k GROUP BY cue"),
     # -- families
     "match_state": sql("SELECT match_id, inning, sequence, CAST(score_before AS BIGINT) AS score_before, CAST(wkts_before AS BIGINT) AS wkts_before, CAST(legal_before AS BIGINT) AS legal_before, CAST(bat_ball_no AS BIGINT) AS bat_ball_no, CAST(CASE WHEN inning = 2 THEN f + 1 - score_before END AS BIGINT) AS needed, CAST(160 - legal_before AS BIGINT) AS balls_left, CAST(10 - wkts_before AS BIGINT) AS wkts_in_hand, " + rd("CASE WHEN inning = 2 AND legal_before < 160 THEN 6e0 * (f + 1 - score_before) / (160 - legal_before) END", 6) + " AS rrr FROM st LEFT JOIN (SELECT match_id, sum(runs_total) AS f FROM b WHERE inning = 1 GROUP BY 1) t USING (match_id)"),

@@ -36,7 +36,7 @@ def _name(person: str) -> Column:
 def deliveries(items: DataFrame) -> DataFrame:
     """Items to balls: placeholders out, the last of items with the same id, extras from the score where parts are missing."""
     x = items.filter((_number(c("over.ball")) != 0) | (F.trim(F.coalesce("shortText", F.lit(""))) != ""))
-    x = keep_last(x, ["match_id", "id"], [c("sequence").desc(), F.hash("*").desc()])
+    x = keep_last(x, ["match_id", "id"], [c("sequence").desc(), F.to_json(F.struct("*")).desc()])
     play = F.lower(F.coalesce("playType.description", F.lit("")))
     score, bat = _number(c("scoreValue")), _number(c("batsman.runs"))
     parts = {k: _number(c(f"over.{k}")) for k in ("wide", "noBall", "byes", "legByes")}
@@ -80,7 +80,8 @@ def official_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def styles(cards: DataFrame) -> DataFrame:
     """player_id, name, bat_hand, bowl_style, bowl_kind, bowl_arm of every player on the cards."""
     players = F.concat(F.transform("inn.inningBatsmen", lambda b: b["player"]), F.transform("inn.inningBowlers", lambda b: b["player"]))
-    p = cards.select(F.explode("content.innings").alias("inn")).select(F.explode(players).alias("p")).select("p.*").filter("objectId is not null and battingStyles is not null").dropDuplicates(["objectId"])
+    p = cards.select(F.explode("content.innings").alias("inn")).select(F.explode(players).alias("p")).select("p.*").filter("objectId is not null and battingStyles is not null")
+    p = keep_last(p, ["objectId"], [F.to_json(F.struct("*")).desc()])  # the same one of several on every run
     return classified(p).select(c("objectId").alias("player_id"), F.coalesce("longName", "name", F.lit("")).alias("name"), "bat_hand", "bowl_style", "bowl_kind", "bowl_arm")
 
 

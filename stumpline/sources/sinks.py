@@ -21,14 +21,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at path, after putting back one that a crash left as `.old`."""
+    if not _exists(spark, path) and _exists(spark, f"{path}.old"):
+        old, gone = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(gone, old)
+    return _exists(spark, path)
+
+
 def _swap(df: DataFrame, path: str) -> None:
-    """Writes beside the old table, then renames: readers see the old table or the new one."""
+    """Writes beside the old table, then renames twice: the old table to `.old`, the new one to its place.
+
+    A reader between the two renames finds no table, and a crash there leaves it as `.old`; `recovered` puts it back.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark.sparkContext._jvm
     old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(gone, True)
+    if fs.exists(old):
+        fs.delete(gone, True)
     if fs.exists(old):
         fs.rename(old, gone)
     fs.rename(new, old)
@@ -38,13 +50,13 @@ def _swap(df: DataFrame, path: str) -> None:
 def replace_matches(df: DataFrame, path: str, keys: tuple[str, ...] = ("match_id",)) -> None:
     """The table at path with the keys of df replaced by df's rows."""
     spark = df.sparkSession
-    _swap(replace_keys(spark.read.parquet(path), df, list(keys)) if _exists(spark, path) else df, path)
+    _swap(replace_keys(spark.read.parquet(path), df, list(keys)) if recovered(spark, path) else df, path)
 
 
 def add_missing(df: DataFrame, path: str, keys: tuple[str, ...] = ("match_id",)) -> None:
     """The table at path with those rows of df whose keys it lacks."""
     spark = df.sparkSession
-    _swap(fill_gaps(spark.read.parquet(path), df, list(keys)) if _exists(spark, path) else df, path)
+    _swap(fill_gaps(spark.read.parquet(path), df, list(keys)) if recovered(spark, path) else df, path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

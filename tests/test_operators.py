@@ -302,3 +302,20 @@ def test_streams_agree_with_batch(spark, name, tmp_path):
     q = df.writeStream.format("memory").queryName(f"live_{name}").outputMode("append" if name == "dedup" else "complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True)
     q.start().awaitTermination()
     assert spark.table(f"live_{name}").count() == want
+
+
+def test_adhoc_sql_and_views(spark):
+    from stumpline.plans import views
+
+    a = events_archive.archive(spark, SF)
+    assert views.ask(spark, a, "select count(*) n from matches;").first().n == a.matches.count()
+    assert {"deliveries", "matches"} <= {r.table for r in views.columns(spark, a).collect()}
+    for bad in ("drop table matches", "", "select 1; select 2"):
+        with pytest.raises(ValueError, match="SELECT"):
+            views.ask(spark, a, bad)
+
+
+def test_a_table_left_by_a_crash_comes_back(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.old")
+    assert sinks.recovered(spark, f"file://{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 3
+    assert not sinks.recovered(spark, f"file://{tmp_path}/none")
