@@ -315,7 +315,8 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
         pairs = scratch.stored(pairs, "pairs")
         first = scratch.stored(pairs.select("a").distinct().join(own("a"), "a"), "pair-sets")
         whole = pairs.join(own("b"), "b").join(first, "a").select("a", "b", "hashes_a", "hashes_b")
-        return stored(arrow_map(whole, exact, "a long, b long"), "links")
+        few = pairs.sparkSession.sparkContext.defaultParallelism  # links are small rows: a file for each core, not for each task
+        return stored(arrow_map(whole, exact, "a long, b long").repartition(few), "links")
 
 
 def _tree_candidates(rows: DataFrame) -> DataFrame:
