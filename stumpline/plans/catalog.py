@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, overs_text, rounded, without_tags
-from ..operators import families, grounds, innings, leaders, match_flow, reconcile, records, relational, results
+from ..operators import chase, families, grounds, innings, leaders, match_flow, reconcile, records, relational, results
 from . import events_archive, views
 from .archive import Archive
 from .oracles import ORACLES
+from .slice_queries import CHASE_SQL, SLICE_SQL, SLICES
 from .slices import SliceSpec, slice_stats
 
 c = F.col
@@ -175,6 +176,11 @@ def _reconciled(a: Archive) -> DataFrame:
     return reconcile.reconcile({"innings": (i, ri, keys[:2], ["runs", "wickets", "balls"]), "batting": (b, rb, keys, ["runs", "balls", "is_out"]), "bowling": (w, rw, keys, ["balls", "conceded", "wickets"])}, "match_id", a.matches.filter("match_id % 5 = 0"))
 
 
+def _required(a: Archive) -> DataFrame:
+    totals = a.d.groupBy("match_id", "inning").agg(F.sum("runs_total").alias("runs"))
+    return chase.requirements(a.d, chase.targets(totals), events_archive.BALLS_IN_INNINGS)
+
+
 QUERIES: dict[str, Query] = {
     "leader_runs": on_archive(leaders.top_batters),
     "leader_rate_floor": on_archive(lambda a: leaders.top_batters(a, "sr", least_balls=30)),
@@ -258,6 +264,9 @@ QUERIES: dict[str, Query] = {
     "key_moments": on_archive(lambda a: match_flow.key_moments(a.d)),
     "maidens": on_archive(lambda a: match_flow.maidens(a.d)),
     "reconcile_cards": on_archive(_reconciled),
+    "over_requirements": on_archive(_required),
+    "chase_states": on_archive(lambda a: chase.chase_states(_required(a))),
+    **{name: _slice(**spec) for name, spec in SLICES.items()},
     "slice_career": _slice(metric="strike_rate", least_balls=30),
     "slice_season": _slice(subject="bowler", metric="wickets", per="season"),
     "slice_match": _slice(subject="batting_team", metric="runs", per="match", phase="middle"),
@@ -308,4 +317,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | SLICE_SQL | CHASE_SQL

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_count, initials
+from ..functions.columns import as_count, initials, overs_text
+from ..operators import chase
 from .schemas import DELIVERY, MATCH_FILE, REGISTER
 
 c = F.col
@@ -138,6 +139,45 @@ def match_rows(matches: DataFrame) -> DataFrame:
     )
 
 
+def _heads(matches: DataFrame) -> DataFrame:
+    """Innings that are no super over: match_id, at (place in the file), inning (place among them), team, stated, length."""
+    x = matches.select("match_id", (F.lit(6) * F.coalesce(F.nullif("info.overs", F.lit(0)), F.lit(20))).alias("length"), F.posexplode("innings").alias("i", "inn"))
+    x = x.filter(~F.coalesce("inn.super_over", F.lit(False))).select("match_id", (c("i") + 1).cast("long").alias("at"), "length", team_code(c("inn.team")).alias("team"), c("inn.target.runs").cast("long").alias("stated"))
+    return x.withColumn("inning", F.row_number().over(Window.partitionBy("match_id").orderBy("at")).cast("long"))
+
+
+def scorecards_with_targets(matches: DataFrame, balls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Innings (runs, wickets, overs, balls, extras, fours, sixes, target) and overs (with what is required) of match files.
+
+    Super overs are left out.  balls: as `deliveries` returns them.  The target is the file's, else the first innings' runs
+    plus one; the first innings has none.
+    """
+    heads = _heads(matches)
+    d = balls.withColumnRenamed("inning", "at").join(heads, ["match_id", "at"])
+    sums = d.groupBy("match_id", "inning").agg(
+        F.sum("runs_total").alias("runs"), F.count_if("is_wicket").alias("wickets"), F.count_if("is_legal").alias("balls"), F.sum("extras").alias("extras"), F.count_if("is_four").alias("fours"), F.count_if("is_six").alias("sixes"),
+    )
+    inns = heads.select("match_id", "inning", "team", "stated", "length").join(sums, ["match_id", "inning"], "left").fillna(0, ["runs", "wickets", "balls", "extras", "fours", "sixes"])
+    aims = chase.targets(inns, c("stated")).join(inns.select("match_id", "inning", "length"), ["match_id", "inning"])
+    overs = chase.requirements(d, aims, c("length"))
+    card = inns.join(aims.drop("length"), ["match_id", "inning"]).withColumn("overs", overs_text(c("balls")))
+    return card.select("match_id", "inning", "team", "runs", "wickets", "overs", "balls", "extras", "fours", "sixes", "target"), overs
+
+
+def archive_index(matches: DataFrame, register: DataFrame) -> DataFrame:
+    """One row for each match file, all that a list of matches shows; write it partitioned by season and look up by filter."""
+    card, _ = scorecards_with_targets(matches, deliveries(matches, register))
+    rows = F.array_sort(F.collect_list(F.struct("inning", "team", "runs", "wickets", "overs")))
+    inns = card.groupBy("match_id").agg(F.transform(rows, lambda x: x.dropFields("inning")).alias("innings"))
+    toss = F.when(F.coalesce("info.toss.winner", F.lit("")) == "", "Unavailable").otherwise(F.concat(team_code(c("info.toss.winner")), F.lit(" won the toss and chose to "), F.coalesce("info.toss.decision", F.lit(""))))
+    text = match_rows(matches).select("match_id", c("status_text").alias("result"), c("title").alias("stage"))
+    out = matches.select(
+        "match_id", F.concat(c("match_id").cast("string"), F.lit(".json")).alias("file"), F.substring(F.get("info.dates", F.lit(0)), 1, 4).try_cast("long").alias("season"), "info.dates", "info.teams", F.coalesce("info.venue", F.lit("")).alias("venue"),
+        F.coalesce("info.city", F.lit("")).alias("city"), c("info.outcome.winner").alias("winner"), toss.alias("toss"), "info.player_of_match",
+    )
+    return out.join(text, "match_id").join(inns, "match_id", "left")
+
+
 def load(spark: SparkSession, path: str, register_path: str):
     """An Archive over a folder of match files."""
     from ..operators.innings import display_names, enriched

@@ -47,6 +47,27 @@ SCORECARD = _struct(
     ),
 )
 
+_RAW = T.MapType(_STR, _STR)
+#: An official card's page with overs, win probability and wickets; falls and wickets keep whatever names a feed gives them.
+CARD_PAGE = _struct(
+    match_id=_LONG,
+    content=_struct(
+        innings=T.ArrayType(_struct(
+            inningNumber=_INT, team=_struct(abbreviation=_STR, name=_STR, longName=_STR), inningFallOfWickets=T.ArrayType(_RAW), inningWickets=T.ArrayType(_RAW),
+            inningOvers=T.ArrayType(_struct(
+                overNumber=_LONG, overRuns=_LONG, overWickets=_LONG, totalRuns=_LONG, totalWickets=_LONG, overRunRate=T.DoubleType(), requiredRuns=_LONG, requiredRunRate=T.DoubleType(), remainingBalls=_LONG,
+                predictions=_struct(winProbability=T.DoubleType(), score=T.DoubleType()),
+            )),
+        ))
+    ),
+)
+_TEAM = _struct(id=_LONG, abbreviation=_STR, name=_STR, longName=_STR)
+#: One entry of the second source's list of a season's matches.
+MATCH_ENTRY = _struct(
+    objectId=_LONG, slug=_STR, title=_STR, startDate=_STR, ground=_struct(longName=_STR, name=_STR), teams=T.ArrayType(_struct(team=_TEAM)), winnerTeamId=_LONG, statusText=_STR, format=_STR, stage=_STR, state=_STR, isCancelled=_BOOL,
+    season=_STR, series_path=_STR,
+)
+
 #: The canonical fact table: one row per ball.
 DELIVERY = T.StructType(
     [T.StructField(x, _LONG) for x in ("match_id", "inning", "sequence", "over_number", "ball_in_over")]

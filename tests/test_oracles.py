@@ -3,8 +3,9 @@
 import pytest
 from helpers import SF, rows_of, rows_of_sql
 
-from stumpline.plans.catalog import QUERIES
-from stumpline.plans.oracles import ORACLES
+from stumpline.plans.catalog import QUERIES, oracle_sql
+
+ORACLES = oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
