@@ -44,7 +44,7 @@ _SPECS: dict[str, tuple[dict, str]] = {
     "filter_toss_won": ({"subject": "batting_team", "toss": "won"}, _teams("batting_team = CASE WHEN match_id % 2 = 0 THEN w1 ELSE w2 END", _MATCHED)),
     "filter_toss_lost": ({"subject": "batting_team", "toss": "lost"}, _teams("batting_team <> CASE WHEN match_id % 2 = 0 THEN w1 ELSE w2 END", _MATCHED)),
     "filter_venue": ({"venue": "Eden Gardens"}, _batters(_RUNS, balls="ground = 'Eden Gardens'")),
-    "filter_target": ({"target_min": 20, "target_max": 60}, _batters(_RUNS, balls="inning = 2 AND f1 + 1 BETWEEN 20 AND 60 AND NOT rain", frm=_CHASE)),
+    "filter_target": ({"target_min": 20, "target_max": 480}, _batters(_RUNS, balls="inning = 2 AND f1 + 1 BETWEEN 20 AND 480 AND NOT rain", frm=_CHASE)),
     "filter_batter_balls": ({"batter_balls": (1, 2)}, _batters(_RUNS, balls="nth BETWEEN 1 AND 2", frm=_FACED)),
     "filter_player_vs": ({"players": (7,), "vs": 3}, _batters(_RUNS, "k = 7", "bowler_id = 3")),
     "filter_team": ({"team": "DC"}, _batters(_RUNS, balls="batting_team = 'DC'")),
