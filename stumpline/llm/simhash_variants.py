@@ -5,10 +5,10 @@ segment but for at most one bit: with `distance` 4 there are three segments of 2
 by its one-wildcard variants, one for each bit that is left out.  Linked fingerprints share a variant, so an equality
 join on variants finds every link; what meets there is verified by the number of differing bits.
 
-Equal fingerprints travel as one.  Variants that only one fingerprint has are dropped after a count.  The fingerprints
-of a variant are dealt to blocks by hash, and each pair of blocks is one group, so a group has 2 * `block` members or
-so however many fingerprints share the variant.  A group yields a forest of its links (each new member is compared with
-those not yet reached), not all pairs; components over all forests are those over all links.
+Equal fingerprints travel as one.  A variant that more than `block` fingerprints share is dealt to blocks by hash, and
+each pair of its blocks is one group, so a group has 2 * `block` members or so however many share the variant.  A group
+of more than FEW yields a forest of its links (each new member is compared with those not yet reached), not all pairs;
+components over all forests are those over all links.
 
 Defined results: texts without words (null and empty ones among them) have fingerprint 0 and link like any other;
 rows that repeat a doc_id or a text each get their row; a null doc_id counts for no component's smallest id unless all
@@ -29,6 +29,8 @@ from .shared import Scratch, arrow_map, buffers, lowered, pieces, spans, stored,
 SEED, WORDS, BITS, DISTANCE = 42, 4, 64, 4
 #: Bytes of text that are hashed together, and shingles whose bits are counted together.
 PART, COUNTED = 1 << 23, 1 << 18
+#: Members of a group whose links are all looked at.
+FEW = 8
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +108,17 @@ def forest(fp: np.ndarray, distance: int = DISTANCE) -> tuple[list[np.ndarray],
 
 
 def _group_links(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups (group: ascending numbers).  Pairs, most groups by far, are compared all at once."""
+    """Links within groups (group: ascending numbers); those of small groups, most by far, are compared all at once."""
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.concatenate((heads, [len(group)])))
-    two = heads[size == 2]
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-    a, b = [fp[two]], [fp[two + 1]]
-    for s, n in zip(heads[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+    small = np.repeat((size > 1) & (size <= FEW), size)
+    own, x = group[small], fp[small]
+    a, b = [x[:0]], [x[:0]]
+    for ahead in range(1, FEW):
+        near = (own[ahead:] == own[:-ahead]) & (np.bitwise_count(x[ahead:] ^ x[:-ahead]) <= distance)
+        a.append(x[:-ahead][near])
+        b.append(x[ahead:][near])
+    for s, n in zip(heads[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         x, y = forest(fp[s : s + n], distance)
         a += x
         b += y
@@ -149,15 +155,16 @@ def _links_of_groups(distance: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, block: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, distance: int, block: int, scratch: Scratch) -> DataFrame:
     """a, b: links that join every component of the fingerprints `fp` (each once); some links come more than once.
 
     block: fingerprints of a variant that are dealt to one block, about.
     """
     each = distinct.select("fp", F.explode(variants(F.col("fp"), distance)).alias("v")).select("v.p", "v.rest", "fp")
-    shared = each.groupBy("p", "rest").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = each.join(shared, ["p", "rest"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # One row for each `block` fingerprints or more: Spark broadcasts them by the size of the table, or joins by shuffle.
+    many = each.groupBy("p", "rest").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
+    met = each.join(scratch.stored(many, "simhash-hot"), ["p", "rest"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumns({"own": F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     dealt = met.select("p", "rest", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     dealt = dealt.repartition("p", "rest", "i", "j").sortWithinPartitions("p", "rest", "i", "j")
     return arrow_map(dealt, _links_of_groups(distance), "a long, b long")
@@ -168,7 +175,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     rows = stored(fingerprints(docs, key, text), "simhash")
     with Scratch(docs.sparkSession) as scratch:
         distinct = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-        found = components(links(distinct.select("fp"), distance, block))
+        found = components(links(distinct.select("fp"), distance, block, scratch))
         known = distinct.join(found, F.col("fp") == F.col("id"), "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
         known = scratch.stored(known, "simhash-classes")
         least = known.groupBy("comp").agg(F.min("first").alias("component_id"))

@@ -386,7 +386,8 @@ def test_links_of_fingerprints(spark, distance):
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in sorted({p for _, p in prints})]
     df = spark.createDataFrame(signed, "fp long").repartition(4)
     for block in (7, 4096):
-        found = {tuple(r) for r in simhash_variants.links(df, distance, block).collect()}
+        with Scratch(spark) as scratch:
+            found = {tuple(r) for r in simhash_variants.links(df, distance, block, scratch).collect()}
         assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= distance for a, b in found)
         top = {p: p for _, p in prints}
 
