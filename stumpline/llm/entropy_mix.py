@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import all_columns, own_names, stored
 
 #: Relative weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -123,9 +123,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     doc_id is taken to be unique here; rows that share one are all repeated by the larger number of copies.
     """
-    copies = mix_rates(docs, key, text, source).filter("copies > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, F.col(key).eqNullSafe(F.col("__key")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*docs.columns)
+    of, n, copy = own_names(docs, "__key", "__copies", "__copy")
+    copies = mix_rates(docs, key, text, source).filter("copies > 0").groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(n))
+    taken = docs.join(copies, F.col(key).eqNullSafe(F.col(of)))
+    return taken.select(*all_columns(docs), F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(copy)).select(*all_columns(docs))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,16 @@ the joins by digest are sort-merge joins whose hot keys AQE splits.
 
 Defined results: null text counts as empty; an empty table gives an empty result; of rows that repeat a doc_id with
 the same text one stays (the last by locator); a null doc_id ranks below all others.  Columns besides the two named
-are never read, so their names cannot clash.
+are never read, and internal names are chosen apart from theirs.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, work_dir
+from .shared import all_columns, own_names, stored, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore"
@@ -32,13 +32,21 @@ SETTINGS = {
 }
 
 
+def place(docs: DataFrame, file_at: str, row_at: str) -> list[Column]:
+    """Where a row's content lies, under these names; an AnalysisException if docs are not read from files."""
+    at = docs.metadataColumn("_metadata")  # Spark's own, also where docs have a column of that name
+    columns = [F.xxhash64(at["file_path"]).alias(file_at), at["row_index"].alias(row_at)]
+    docs.select(*columns)
+    return columns
+
+
 def located(docs: DataFrame, columns: list[str]) -> DataFrame:
     """These columns of docs with file_at and row_at, which tell where a row's content lies."""
-    where = [F.xxhash64("_metadata.file_path").alias("file_at"), F.col("_metadata.row_index").alias("row_at")]
     try:
-        return docs.select(*columns, *where)
+        return docs.select(*columns, *place(docs, "file_at", "row_at"))
     except AnalysisException:  # not read from files: put it into some
-        return stored(docs.select(*columns), "dedup-content").select(*columns, *where)
+        docs = stored(docs.select(*columns), "dedup-content")
+        return docs.select(*columns, *place(docs, "file_at", "row_at"))
 
 
 class DedupState:
@@ -113,13 +121,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 def keep_unique(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the copies, all its columns kept; the locator picks the rows, so repeated doc_ids do no harm."""
+    at, row, file, index = own_names(docs, "__at", "__row", "__file", "__index")
     try:
-        docs.select("_metadata.row_index")
+        where = place(docs, at, row)
     except AnalysisException:
         docs = stored(docs, "dedup-content")
-    kept = exact_dedup(docs, key, text).filter("kept").select(F.col("file_at").alias("__file"), F.col("row_at").alias("__row"))
-    rows = docs.select(*docs.columns, F.xxhash64("_metadata.file_path").alias("__at"), F.col("_metadata.row_index").alias("__ri"))
-    return rows.join(kept, (F.col("__at") == F.col("__file")) & (F.col("__ri") == F.col("__row")), "left_semi").select(*docs.columns)
+        where = place(docs, at, row)
+    kept = exact_dedup(docs, key, text).filter("kept").select(F.col("file_at").alias(file), F.col("row_at").alias(index))
+    rows = docs.select(*all_columns(docs), *where)
+    return rows.join(kept, (F.col(at) == F.col(file)) & (F.col(row) == F.col(index)), "left_semi").select(*all_columns(docs))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, arrow_map, buffers, lowered, mixed, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds
+from .shared import Scratch, arrow_map, buffers, lowered, mixed, own_names, pieces, prefix_hash, range_hash, spans, stored, strings, word_bounds
 from .winnow import LEAST, fetched, text_id
 
 WORDS = 5
@@ -497,8 +497,9 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
     Rows that share both doc_id and text with the one that stays, stay with it; texts without words all stay.
     """
-    kept = _linked(docs, key, text, broadcast_rows, 4, BLOCK).filter("kept").select(F.col("doc_id").alias("__kept"), F.col("tid").alias("__tid")).distinct()
-    same = F.col(key).cast("long").eqNullSafe(F.col("__kept")) & (text_id(F.col(text)) == F.col("__tid"))
+    of, tid = own_names(docs, "__kept", "__tid")
+    kept = _linked(docs, key, text, broadcast_rows, 4, BLOCK).filter("kept").select(F.col("doc_id").alias(of), F.col("tid").alias(tid)).distinct()
+    same = F.col(key).cast("long").eqNullSafe(F.col(of)) & (text_id(F.col(text)) == F.col(tid))
     return docs.join(kept, same, "left_semi")
 
 

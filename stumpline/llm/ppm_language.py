@@ -219,7 +219,8 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
                 names, _ = shared.value.predict(batch.column(at))
                 yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever characters the names have
+    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

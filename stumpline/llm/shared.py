@@ -121,6 +121,23 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores behind them as it takes to be none of df's columns (upper and lower case alike)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def all_columns(df: DataFrame) -> list:
+    """df's columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a number as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import prose
 from helpers import SF
+from pyspark.sql.functions import lit as spark_lit
 from test_dedup import bytes_brute, got
 
 import corpus_pipeline
@@ -190,3 +191,23 @@ def test_pairs_too_large_stay_in_turns(spark):
     parts = preference_format.preference_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     pairs = {r.pair_id: r for r in preference_format.assembled(parts, max_chars=200).collect()}
     assert pairs[0].prompt is None and pairs[0].chosen_mask is None and pairs[0].n_turns == 3 and pairs[1].prompt and pairs[1].chosen == ""
+
+
+CLASHES = [
+    "__key", "__copies", "__copy", "__kept", "__tid", "__at", "__row", "__file", "__index", "_metadata", "__metadata", "__ID", "file_at", "row_at", "k", "a", "b", "comp", "size", "copies", "tid", "sig", "token", "first", "keep", "digest",
+    "lang_pred", "score", "rate", "target", "group_size", "kept", "with.dot", "with`tick",
+]
+
+
+def test_stages_with_clashing_names(spark, odd, tmp_path):
+    """A column for every internal name: each stage returns all of them as they were."""
+    df = odd.drop("size").select("*", *(spark_lit(f"{n}!").alias(n) for n in CLASHES))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "documents.parquet"))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert rows, name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+                assert all(tuple(r)[5:] == tuple(f"{n}!" for n in CLASHES) for r in rows), name
