@@ -1,7 +1,7 @@
 """Views over deliveries: batting and bowling innings, match state, partnerships, home grounds, cards.
 
 A deliveries table has one row per ball (see sources.schemas.DELIVERY for the columns) and is enriched once by
-`enriched`.  All views are lazy; they shuffle by match and innings, so one exchange serves several of them.
+`enriched`.  All views are lazy.  Running state goes by blocks of balls (prefix_scan), so an innings may have any length.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_count, count_where, franchise, ground, phase
+from .prefix_scan import running
 
 c = F.col
 
@@ -81,10 +82,8 @@ def innings_totals(d: DataFrame) -> DataFrame:
 
 def match_state(d: DataFrame, balls_in_innings: int = 120) -> DataFrame:
     """d with the state before each ball: score, wickets, legal balls, target chase figures, the batter's ball number."""
-    before = Window.partitionBy("match_id", "inning").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("match_id", "inning", "batter_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    run = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
-    x = d.withColumns({"score_before": run(c("runs_total")), "wkts_before": run(as_count(c("is_wicket"))), "legal_before": run(as_count(c("is_legal"))), "bat_ball_no": F.sum(as_count(~c("is_wide"))).over(upto)})
+    x = running(d, ["match_id", "inning"], ["sequence"], before={"score_before": c("runs_total"), "wkts_before": as_count(c("is_wicket")), "legal_before": as_count(c("is_legal"))})
+    x = running(x, ["match_id", "inning", "batter_id"], ["sequence"], sums={"bat_ball_no": as_count(~c("is_wide"))})
     first = d.filter("inning = 1").groupBy("match_id").agg(F.sum("runs_total").alias("first_total"))
     needed = c("first_total") + 1 - c("score_before")
     left = F.lit(balls_in_innings) - c("legal_before")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_count, count_where
+from ..functions.columns import as_count, count_where, score_text
+from .prefix_scan import running
 
 c = F.col
 
@@ -88,8 +89,8 @@ def nearest_day(left: DataFrame, right: DataFrame, keys: list[str], left_day: st
 
 def running_score(x: DataFrame, group: list[str], order: str, runs: Column, wicket: Column) -> DataFrame:
     """Score so far as text ('57/2'), runs over wickets, for every row of an ordered group."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("score", F.concat(F.sum(runs).over(w).cast("string"), F.lit("/"), F.sum(as_count(wicket)).over(w).cast("string")))
+    x = running(x, group, [order], sums={"__runs": runs, "__down": as_count(wicket)})
+    return x.withColumn("score", score_text(c("__runs"), c("__down"))).drop("__runs", "__down")
 
 
 def internal_check(d: DataFrame, totals: DataFrame) -> DataFrame:
