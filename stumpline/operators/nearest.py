@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from .prefix_scan import WIDTH, running
 
 c = F.col
+#: Microseconds.
+HOUR = 3_600_000_000
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], strict: bool = False, width: int = WIDTH, levels: int = 2) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], strict: bool = False, width: int | None = None, levels: int = 2) -> DataFrame:
     """left with `values` of the last right row of equal `by` at or before left_at (strict: before it); null if there is none.
 
     Of right rows at one place the largest by `values` counts.  Both sides become one sequence and the last right row
     is carried forward in blocks (prefix_scan), so a key with very many rows on either side is split.  Places are whole
-    numbers or timestamps; a null place finds nothing, a null key only its like.
+    numbers or timestamps; a null place finds nothing, a null key only its like.  width: of a block, in whole numbers or
+    microseconds (an hour, if it is not given).
     """
-    place = lambda df, at: F.unix_micros(c(at).cast("timestamp")) if dict(df.dtypes)[at].startswith(("timestamp", "date")) else c(at).cast("long")
+    timed = dict(left.dtypes)[left_at].startswith(("timestamp", "date"))
+    width = width or (HOUR if timed else WIDTH)
+    place = lambda df, at: F.unix_micros(c(at).cast("timestamp")) if timed else c(at).cast("long")
     own = right.groupBy(*by, place(right, right_at).alias("__at")).agg(F.max(F.struct(*values)).alias("__right")).filter("__at is not null")
     kind = own.select(c("__right").alias("__r")).schema["__r"].dataType
     # At one place a right row stands before left rows, or behind them if strict.

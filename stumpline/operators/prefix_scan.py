@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 c = F.col
 #: Values of the order column that fall into one block.
 WIDTH = 1 << 16
+#: Blocks that are scanned together.
+FAN = 1 << 12
 FIRST = "__first"
 
 
@@ -34,7 +36,7 @@ def _with_fronts(x: DataFrame, group: list[str], order: list[str], sums: list[st
         return x, block
     known = lambda n: F.when(c(n).isNotNull(), F.struct(*order))
     totals = x.groupBy(*group, block).agg(*(F.sum(n).alias(n) for n in sums), *(F.max_by(n, known(n)).alias(n) for n in lasts))
-    blocks, over = _with_fronts(totals, group, [block], sums, lasts, width, levels - 1)
+    blocks, over = _with_fronts(totals, group, [block], sums, lasts, FAN, levels - 1)
     w = _window(group, over, [block]).rowsBetween(Window.unboundedPreceding, -1)
     ahead = blocks.select(*group, block, FIRST, *(F.sum(n).over(w).alias(n) for n in sums), *(F.last(n, True).over(w).alias(n) for n in lasts)).filter(c(FIRST) == 1)
     kinds = {f.name: f.dataType for f in totals.schema}
@@ -50,9 +52,9 @@ def running(
     """x with running columns within groups by order (nulls first).
 
     sums: up to and with each row.  before: of the rows before it (0 for the first).  lasts: the last value that is not
-    null, up to and with each row.  The first column of order is a whole number or a time in seconds; `width` of its
-    values make a block.  levels: how often blocks are themselves scanned by blocks: a group of width ** (levels + 1)
-    values is held by width or so in a task.  Rows of equal order follow each other as Spark happens to read them.
+    null, up to and with each row.  The first column of order is a whole number; `width` of its values make a block.
+    levels: how often there are blocks: FAN blocks make one of the next level, and a task sees a group's blocks of the
+    last level together.  Rows of equal order follow each other as Spark happens to read them.
     """
     sums, before, lasts = sums or {}, before or {}, lasts or {}
     added = {f"__in_{n}": v for n, v in (sums | before | lasts).items()}

@@ -99,3 +99,30 @@ def search(df: DataFrame, columns: list[str], words: str) -> DataFrame:
     from ..functions.columns import all_words_in
 
     return df.filter(all_words_in(F.concat_ws(" ", *(c(x).cast("string") for x in columns)), words))
+
+
+def bag_differences(ours: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, side (extra in ours, missing from it, shared), n: two bags of rows compared with their numbers, nulls alike."""
+    a, b = ours.select(*columns), reference.select(*columns)
+    sides = (("extra", a.exceptAll(b)), ("missing", b.exceptAll(a)), ("shared", a.intersectAll(b)))
+    return union_all([df.withColumn("side", F.lit(name)) for name, df in sides]).groupBy(*columns, "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_per_row(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: list[Column], k: int, columns: list[str]) -> DataFrame:
+    """left with `columns` of the first k right rows of its key: a lateral join, which Spark turns into a rank and a hash join."""
+    own = right.where(c(right_key) == c("__of").outer()).orderBy(*order).limit(k).select(*columns)
+    return left.withColumn("__of", c(left_key)).lateralJoin(own).drop("__of")
+
+
+def above_mean(df: DataFrame, reference: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows whose value is above the mean of their key in reference (df itself, say): a correlated scalar subquery, which becomes a join.
+
+    The key goes by a name of its own outside, as a name that both sides have is taken for the inner one.
+    """
+    mean = reference.where(c(key) == c("__of").outer()).select(F.avg(value))
+    return df.withColumn("__of", c(key)).where(c(value) > mean.scalar()).drop("__of")
+
+
+def with_any(left: DataFrame, right: DataFrame, left_key: str, right_key: str, test: Column) -> DataFrame:
+    """Rows of left with a right row of their key that passes the test: EXISTS, a semi join."""
+    return left.withColumn("__of", c(left_key)).where(right.where((c(right_key) == c("__of").outer()) & test).exists()).drop("__of")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, overs_text, rounded, without_tags
 from ..operators import chase, families, grounds, innings, leaders, match_flow, reconcile, records, relational, results
-from . import events_archive, views
+from . import events_archive, further, views
 from .archive import Archive
 from .oracles import ORACLES
 from .slice_queries import CHASE_SQL, SLICE_SQL, SLICES
@@ -308,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "tumbling_batch": on_table("events", lambda t: t.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(c("w.start").alias("hour_start"), "event_type", "n")),
     "session_batch": on_table("events", _sessions),
     "json_props": on_table("events", lambda t: t.groupBy((F.get_json_object("props", "$.k").cast("long") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))),
+    **further.QUERIES,
     "html_text": on_table("pages", lambda t: t.select("page_id", F.length(without_tags(c("html"))).cast("long").alias("n_chars"))),
 }
 
@@ -317,4 +318,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | SLICE_SQL | CHASE_SQL
+    return ORACLES | SLICE_SQL | CHASE_SQL | further.ORACLES
