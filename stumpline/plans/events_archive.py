@@ -1,8 +1,13 @@
-"""The tables of an archive read out of the `events` table: each event a ball, each day a match, each half day an innings."""
+"""The tables of an archive read out of the `events` table: each event a ball, each day a match, each half day an innings.
+
+`short` reads the same events as matches of 240 balls instead, so that matches grow in number, not in length.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_count, franchise, ground, phase
@@ -23,17 +28,38 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", day)
 
 
-def deliveries(ev: DataFrame) -> DataFrame:
-    e, u = c("event_id"), c("user_id")
+@dataclass(frozen=True)
+class Shape:
+    """Where a ball lies in its match, who bowls it and what is scored off the bat (0 off a wide anyway)."""
+
+    inning: Column
+    over: Column
+    bowler: Column
+    runs: Column
+
+
+def by_day() -> Shape:
+    """Half days as innings, hours as overs."""
+    return Shape(F.floor(F.hour("ts") / 12) + 1, F.hour("ts") % 12 + 1, c("event_id") % 20, F.floor("value") % 5 + c("user_id") % 3)
+
+
+def by_number() -> Shape:
+    """120 events as an innings of 20 overs; two overs of five are tight (a run now and then, no boundary)."""
+    over = F.floor(c("event_id") / 6)
+    return Shape(F.floor(c("event_id") / 120) % 2 + 1, over % 20 + 1, over % 11, F.when((over % 5).isin(1, 2), F.when(c("value") > 80, 1).otherwise(0)).otherwise(F.floor("value") % 5 + c("user_id") % 3))
+
+
+def deliveries(ev: DataFrame, shape: Shape | None = None) -> DataFrame:
+    e, u, shape = c("event_id"), c("user_id"), shape or by_day()
     is_wide = c("event_type") == "error"
     is_noball = (c("event_type") == "signup") & (e % 4 == 0)
     out = c("event_type") == "purchase"
     kind = F.when(out, _pick(("run out", "bowled", "caught", "lbw"), e))
     long = lambda x: x.cast("long")
     d = ev.select(
-        c("day").alias("match_id"), c("ts").cast("date").alias("start_date"), long(2000 + F.weekofyear("ts")).alias("year"), long(F.floor(F.hour("ts") / 12) + 1).alias("inning"), e.alias("sequence"), long(F.hour("ts") % 12 + 1).alias("over_number"),
-        u.alias("batter_id"), F.concat(F.lit("Batter "), u.cast("string")).alias("batter"), (e % 20).alias("bowler_id"), F.concat(F.lit("Bowler "), (e % 20).cast("string")).alias("bowler"),
-        long(F.when(is_wide, 0).otherwise(F.floor("value") % 5 + u % 3)).alias("runs_bat"), as_count(is_wide).alias("wide_runs"), as_count(is_noball).alias("noball_runs"), as_count(~is_wide & (e % 17 == 0)).alias("bye_runs"), as_count(~is_wide & (e % 19 == 0)).alias("legbye_runs"),
+        c("day").alias("match_id"), c("ts").cast("date").alias("start_date"), long(2000 + F.weekofyear("ts")).alias("year"), long(shape.inning).alias("inning"), e.alias("sequence"), long(shape.over).alias("over_number"),
+        u.alias("batter_id"), F.concat(F.lit("Batter "), u.cast("string")).alias("batter"), long(shape.bowler).alias("bowler_id"), F.concat(F.lit("Bowler "), long(shape.bowler).cast("string")).alias("bowler"),
+        long(F.when(is_wide, 0).otherwise(shape.runs)).alias("runs_bat"), as_count(is_wide).alias("wide_runs"), as_count(is_noball).alias("noball_runs"), as_count(~is_wide & (e % 17 == 0)).alias("bye_runs"), as_count(~is_wide & (e % 19 == 0)).alias("legbye_runs"),
         F.lit(0).cast("long").alias("penalty_runs"), is_wide.alias("is_wide"), is_noball.alias("is_noball"), (~is_wide & ~is_noball).alias("is_legal"), out.alias("is_wicket"), kind.alias("dismissal_type"),
         F.when(out, F.when(e % 5 == 0, u + 1).otherwise(u)).alias("player_out_id"), c("props").alias("commentary"), c("day"),
     )
@@ -64,6 +90,16 @@ def matches(ev: DataFrame) -> DataFrame:
     return m.select(d.alias("match_id"), "start_date", "year", "team1", "team2", "winner", text.alias("status_text"), _title().alias("title"), _pick(VENUES, d).alias("venue"))
 
 
+#: Balls of an innings of `short`, wides and no-balls among them.
+SHORT_BALLS = 120
+
+
+def short(spark: SparkSession, sf_dir: str) -> Archive:
+    """Deliveries and matches of 240 events each, in the order of their numbers; six batters to a side."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"day": F.floor(c("event_id") / (2 * SHORT_BALLS)), "user_id": c("user_id") % 6})
+    return Archive(deliveries(ev, by_number()), matches(ev))
+
+
 def archive(spark: SparkSession, sf_dir: str) -> Archive:
     ev = events(spark, sf_dir)
     m = matches(ev)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, ladder, nearest, relational
+from ..operators import evaluation, innings, ladder, match_flow, nearest, relational
 from . import events_archive, views
-from .oracles import sql
+from .oracles import BASE, ORACLES as KNOWN, sql
+from .slice_queries import innings_that
+from .slices import SliceSpec, slice_stats
 
 c = F.col
 
@@ -96,7 +98,25 @@ def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(answers)
 
 
-QUERIES = {f.__name__: f for f in (adhoc_functions, asof_click, asof_order, interval_hours, ladder_five, bag_days, lateral_top, scalar_above_mean, exists_large, answer_report)}
+def _short(f):
+    return lambda spark, sf_dir: f(events_archive.short(spark, sf_dir).d)
+
+
+#: Flow of matches of 240 balls, by the detectors' own constants.
+SHORT = {
+    "short_squeeze": _short(lambda d: match_flow.squeezes(match_flow.balls_so_far(d))),
+    "short_burst": _short(lambda d: match_flow.bursts(match_flow.balls_so_far(d))),
+    "short_chase": _short(lambda d: match_flow.chase_swings(match_flow.balls_so_far(d), d, events_archive.SHORT_BALLS)),
+    "short_cluster": _short(lambda d: match_flow.wicket_clusters(match_flow.balls_so_far(d))),
+    "short_maidens": _short(match_flow.maidens),
+    "short_worm": _short(match_flow.worm),
+    "short_falls": _short(match_flow.fall_of_wickets),
+    "short_moments": _short(match_flow.key_moments),
+    "short_partnerships": _short(lambda d: innings.partnerships(d).select("match_id", "inning", "wicket", "runs", "balls", "pair", "ended")),
+    "short_fifties": lambda spark, sf_dir: slice_stats(events_archive.short(spark, sf_dir), SliceSpec(metric="fifties"), events_archive.SHORT_BALLS),
+    "short_shifts": _short(lambda d: match_flow.match_shifts(d, events_archive.SHORT_BALLS)),
+}
+QUERIES = SHORT | {f.__name__: f for f in (adhoc_functions, asof_click, asof_order, interval_hours, ladder_five, bag_days, lateral_top, scalar_above_mean, exists_large, answer_report)}
 
 _RUNG = "CASE event_type " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(RUNGS)) + " END"
 _PICK = ", ".join(f"arg_max({f}, (-rank, {f})) FILTER ({f} IS NOT NULL) AS {f}, min(rank) FILTER ({f} IS NOT NULL) AS r_{f}" for f in ("value", "k", "last_id"))
@@ -104,7 +124,41 @@ _NAMED = lambda x: f"['n' || ({x} % 3), 'n' || ({x} % 4)]"
 _SET = lambda x: f"list_sort(list_distinct({x}))"
 _RATE = "round(1e2 * \"right\" / nullif(n, 0), 1) AS rate"
 
-ORACLES = {
+
+
+def _changed(text: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        if old not in text:
+            raise ValueError(f"no {old!r} in the SQL")
+        text = text.replace(old, new)
+    return text
+
+
+#: The same views over matches of 240 events.
+_SHORT_BASE = _changed(
+    BASE, ("SELECT *, date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS day", "SELECT * REPLACE (user_id % 6 AS user_id), event_id // 240 AS day"), ("hour(ts) // 12 + 1 AS inning", "event_id // 120 % 2 + 1 AS inning"), ("hour(ts) % 12 + 1 AS over_number", "event_id // 6 % 20 + 1 AS over_number"),
+    ("event_id % 20 AS bowler_id, 'Bowler ' || (event_id % 20) AS bowler", "event_id // 6 % 11 AS bowler_id, 'Bowler ' || (event_id // 6 % 11) AS bowler"),
+    ("ELSE CAST(floor(value) AS BIGINT) % 5 + user_id % 3 END AS runs_bat", "WHEN event_id // 6 % 5 IN (1, 2) THEN CASE WHEN value > 80 THEN 1 ELSE 0 END ELSE CAST(floor(value) AS BIGINT) % 5 + user_id % 3 END AS runs_bat"),
+)
+
+
+def _of_short(name: str, *pairs: tuple[str, str]) -> str:
+    return _changed(KNOWN[name], (BASE, _SHORT_BASE), *pairs)
+
+
+SHORT_SQL = {
+    "short_squeeze": _of_short("shift_squeeze", ("1.0::DOUBLE * rate", "0.6::DOUBLE * rate")),
+    "short_burst": _of_short("shift_burst", ("1.1::DOUBLE * rate", "1.4::DOUBLE * rate")),
+    "short_chase": _of_short("shift_chase", ("160", "120"), (")) >= 3", ")) >= 12")),
+    "short_cluster": _of_short("shift_wicket_cluster"),
+    "short_maidens": _of_short("maidens"),
+    "short_worm": _of_short("worm"),
+    "short_falls": _of_short("fall_of_wickets"),
+    "short_moments": _of_short("key_moments"),
+    "short_partnerships": _of_short("partnerships"),
+    "short_fifties": _changed(innings_that("runs BETWEEN 50 AND 99"), (BASE, _SHORT_BASE)),
+}
+ORACLES = SHORT_SQL | {
     "adhoc_functions": sql("SELECT w1 AS team, ground AS played_at, count(*) AS games, min(start_date) AS since FROM g GROUP BY 1, 2"),
     "asof_click": "SELECT p.event_id, p.user_id, k.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') k ON p.user_id = k.user_id AND p.ts >= k.ts",
     "asof_order": "SELECT o.o_orderkey, o.o_custkey, previous FROM orders o ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS previous FROM orders GROUP BY ALL) p ON o.o_custkey = p.o_custkey AND o.o_orderdate > p.o_orderdate",
@@ -117,6 +171,7 @@ b AS (SELECT day, inning, min(rung) AS own, arg_min(source, rung) AS source FROM
 m AS (SELECT f.day, f.inning, user_id, b.source, rung = own AS has, CASE WHEN rung = own THEN -1 ELSE rung END AS rank, value, k, last_id FROM f JOIN b USING (day, inning)),
 a AS (SELECT day, inning, user_id, source, bool_or(has) AS has, {_PICK} FROM m GROUP BY ALL)
 SELECT day, inning, user_id, source, value, k, last_id, CAST(coalesce(r_value >= 0, FALSE) AS BIGINT) + CAST(coalesce(r_k >= 0, FALSE) AS BIGINT) + CAST(coalesce(r_last_id >= 0, FALSE) AS BIGINT) AS borrowed FROM a WHERE has""",
+    "html_text": "SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS n_chars FROM pages",
     "bag_days": """
 WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders), b AS (SELECT CAST(l_shipdate AS DATE) AS day FROM lineitem)
 SELECT day, side, count(*) AS n FROM (

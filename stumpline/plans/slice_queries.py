@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _BATTER, _BOWLER, _COLS, _OUTS, _PLAIN, _TEAM, _slice, rd, sql
+from .oracles import _BATTER, _BOWLER, _COLS, _OUTS, _PLAIN, _STYLE, _TEAM, _slice, rd, sql
 
 _BY = {"bowler": {"key": "bowler_id", "name": "bowler"}, "batting_team": {"key": "batting_team", "name": "batting_team"}}
 _MATCHED = "(SELECT b.*, w1, w2, ww, rain FROM b JOIN g USING (match_id))"
@@ -26,6 +26,21 @@ def _teams(balls: str, frm: str = "b") -> str:
     return _ranked("CAST(R AS DOUBLE)", "TRUE", True, _slice(_TEAM, balls, frm=frm, **_BY["batting_team"]) + ", " + _PLAIN)
 
 
+def _split(label: str, frm: str = "b", more: str = "") -> str:
+    """Run rates of all balls by a label."""
+    return sql(f"SELECT {_COLS}, {rd('6e0 * R / nullif(B, 0)', 2)} AS value FROM r WHERE B > 0", more + _slice(_TEAM, key="'all'", name="'all'", s=label, frm=frm) + ", " + _PLAIN)
+
+
+def innings_that(test: str) -> str:
+    """Batters by how many of their innings pass a test on runs."""
+    inns = "(SELECT f.match_id, f.inning, f.k, u, any_value(name) AS name, sum(R) AS runs FROM f GROUP BY f.match_id, f.inning, f.k, u)"
+    return sql(f"SELECT k, u, any_value(name) AS name, count(*) FILTER ({test}) AS n, count(*) AS innings, CAST(sum(runs) AS BIGINT) AS runs FROM {inns} GROUP BY k, u HAVING count(*) FILTER ({test}) > 0 ORDER BY n DESC, innings, name, k, u LIMIT 20", _slice(_BATTER))
+
+
+_TOSSED = "CASE WHEN match_id % 2 = 0 THEN w1 ELSE w2 END"
+_STYLED = "(SELECT b.*, x.bat_hand, y.bowl_kind FROM b LEFT JOIN stl x ON x.player_id = batter_id LEFT JOIN stl y ON y.player_id = bowler_id)"
+_REQUIRED = "(SELECT st.*, rain, CASE WHEN inning = 2 AND legal_before < 160 THEN 6e0 * (f1 + 1 - score_before) / (160 - legal_before) END AS need FROM st LEFT JOIN (SELECT match_id, sum(runs_total) AS f1 FROM b WHERE inning = 1 GROUP BY 1) USING (match_id) JOIN g USING (match_id))"
+_LEAGUE = {"subject": "league", "metric": "run_rate"}
 _RUNS = "CAST(R AS DOUBLE)"
 _SPECS: dict[str, tuple[dict, str]] = {
     # -- metrics
@@ -48,6 +63,16 @@ _SPECS: dict[str, tuple[dict, str]] = {
     "filter_batter_balls": ({"batter_balls": (1, 2)}, _batters(_RUNS, balls="nth BETWEEN 1 AND 2", frm=_FACED)),
     "filter_player_vs": ({"players": (7,), "vs": 3}, _batters(_RUNS, "k = 7", "bowler_id = 3")),
     "filter_team": ({"team": "DC"}, _batters(_RUNS, balls="batting_team = 'DC'")),
+    # -- filters and splits that had no SQL
+    "filter_bowl_kind": ({"bowl_kind": "spin"}, _ranked(_RUNS, "TRUE", True, _STYLE + ", " + _slice(_BATTER, "bowl_kind = 'spin'", frm=_STYLED) + ", " + _OUTS)),
+    "filter_rrr_max": ({"rrr_max": 9.0}, _batters(_RUNS, balls="need < 9 AND NOT rain", frm=_REQUIRED)),
+    "filter_worst": ({"metric": "strike_rate", "least_balls": 30, "worst": True}, _batters(rd("100e0 * R / nullif(B, 0)", 2), "B >= 30", down=False)),
+    "split_innings": (_LEAGUE | {"split": "innings"}, _split("CASE inning WHEN 1 THEN 'batting first' ELSE 'chasing' END")),
+    "split_phase": (_LEAGUE | {"split": "phase"}, _split("phase")),
+    "split_season": (_LEAGUE | {"split": "season"}, _split("CAST(year AS VARCHAR)")),
+    "split_opposition": (_LEAGUE | {"split": "opposition"}, _split("bowling_team")),
+    "split_toss": (_LEAGUE | {"split": "toss"}, _split(f"CASE WHEN batting_team = {_TOSSED} THEN 'won toss' ELSE 'lost toss' END", "(SELECT b.*, w1, w2 FROM b JOIN g USING (match_id))")),
+    "split_bat_hand": (_LEAGUE | {"split": "bat_hand"}, _split("coalesce(nullif(bat_hand, ''), 'unknown')", _STYLED, _STYLE + ", ")),
     "filter_opposition": ({"opposition": "MI"}, _batters(_RUNS, balls="bowling_team = 'MI'")),
 }
 
