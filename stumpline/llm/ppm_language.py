@@ -6,12 +6,13 @@ shorter context; below order 0 all symbols are alike.  The statistics are frozen
 a table of exact code lengths, and a text's code length under a language is a sum over its bytes; the shortest wins.
 The score is the posterior of that language under equal priors.
 
-Training takes a bounded sample of labelled texts, about max_docs whole texts and max_bytes bytes of each language,
-chosen by a hash of the key.  The trees are pruned: all orders below two are kept, of order 2 the `pairs` commonest
+Training takes a bounded sample of labelled texts, about max_docs texts and max_bytes bytes of each language and
+total_bytes of all, chosen by a hash of the key.  The trees are pruned: all orders below two are kept, of order 2 the `pairs` commonest
 contexts, of orders 3 and 4 the commonest whose pairs of symbols are kept and that were seen LEAST times or more, up to
 `nodes` contexts in all.  What is common is judged by language (the largest share that a context has in any of them),
 so a small language keeps its own.  A context that is not kept is coded by its longest kept suffix, in training and
-scoring alike.  Byte values beyond the 254th that a corpus has share the last symbol.
+scoring alike.  Byte values beyond the 254th that a corpus has share the last symbol.  The table of code lengths has
+TABLE bytes at most: with very many languages there are fewer contexts.
 
 Scoring is one pass over whole texts, without a shuffle: all languages share the set of contexts, so a byte costs one
 context lookup and one row of code lengths.
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, buffers, crc_mod, pieces
+from .shared import arrow_map, buffers, crc_mod, pieces, release
 
 ORDER = 4
 PAIRS = 1023  # contexts of order 2, which get longer ones
 NODES = 8192  # contexts of the tree
 LEAST = 3  # times that a context of order 3 or 4 is seen
+TABLE = 128 << 20  # bytes of all code lengths (four languages need some 20 MB)
 BATCH = 1 << 20
 
 
@@ -43,8 +45,8 @@ class PPMModel:
     node: two pair ids -> context; triple: symbol, pair id -> context; single: symbol -> context of order 1;
     cost: context, symbol -> bits by language."""
 
-    def __init__(self, texts: dict[str, list[bytes]], pairs: int = PAIRS, nodes: int = NODES):
-        self.names, self.most_pairs, self.most_nodes = sorted(texts), pairs, nodes
+    def __init__(self, texts: dict[str, list[bytes]], pairs: int = PAIRS, nodes: int = NODES, table: int = TABLE):
+        self.names = sorted(texts)
         streams = {n: np.frombuffer(b"".join(b"\0" * ORDER + t for t in texts[n]), np.uint8) for n in self.names}
         seen = np.zeros(256, np.int64)
         for s in streams.values():
@@ -54,25 +56,25 @@ class PPMModel:
         self.kind = np.zeros(256, np.uint8)
         self.kind[used] = np.minimum(np.arange(1, len(used) + 1), 255)
         self.width = int(self.kind.max()) + 1
-        coded = {n: self.kind[s] for n, s in streams.items()}
-        self._grow(coded)
+        self.most_nodes = min(nodes, table // (4 * self.width * max(len(self.names), 1)))
+        self.most_pairs = min(pairs, max(0, self.most_nodes - 1 - self.width) // 2)
+        self._grow({n: self.kind[s] for n, s in streams.items()})
 
     def _grow(self, coded: dict[str, np.ndarray]) -> None:
         width, names = self.width, self.names
         # The symbols 0 between texts are context, never counted themselves.
         told = {n: s[ORDER:] != 0 for n, s in coded.items()}
-        #: contexts[k][n]: for each counted byte, its last k symbols as a number (below 256 ** ORDER, so four bytes hold it).
-        whole = {n: np.zeros(max(0, len(s) - ORDER), np.uint32) for n, s in coded.items()}
-        contexts = [{n: x[told[n]] for n, x in whole.items()}]
-        for k in range(1, ORDER + 1):
-            for n, s in coded.items():
-                whole[n] += s[ORDER - k : len(s) - k].astype(np.uint32) * np.uint32(width ** (k - 1))
-            contexts.append({n: x[told[n]] for n, x in whole.items()})
-        del whole
+
+        def contexts(k: int, n: str) -> np.ndarray:
+            """For each counted byte its last k symbols as a number (below 256 ** ORDER, so four bytes hold it)."""
+            s, whole = coded[n], np.zeros(len(told[n]), np.uint32)
+            for i in range(1, k + 1):
+                whole += s[ORDER - i : len(s) - i] * np.uint32(width ** (i - 1))
+            return whole[told[n]]
 
         def counted(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Contexts of order k, how often each was seen, and its largest share in a language."""
-            own = [np.unique(contexts[k][n], return_counts=True) for n in names]
+            own = [np.unique(contexts(k, n), return_counts=True) for n in names]
             values, at = np.unique(np.concatenate([v for v, _ in own] or [np.zeros(0, np.int64)]), return_inverse=True)
             times, share = np.zeros(len(values), np.int64), np.zeros(len(values))
             np.add.at(times, at, np.concatenate([c for _, c in own] or [np.zeros(0, np.int64)]))
@@ -116,8 +118,9 @@ class PPMModel:
             p = np.empty((total, width))
             for k in range(ORDER + 1):
                 rows = slice(first[k], first[k + 1])
-                at = np.searchsorted(kept[k], contexts[k][n])
-                hit = (at < len(kept[k])) & (np.append(kept[k], -1)[np.minimum(at, len(kept[k]))] == contexts[k][n])
+                own = contexts(k, n)
+                at = np.searchsorted(kept[k], own)
+                hit = (at < len(kept[k])) & (np.append(kept[k], -1)[np.minimum(at, len(kept[k]))] == own)
                 c = np.bincount(at[hit] * width + symbols[hit], minlength=len(kept[k]) * width).reshape(-1, width)
                 d, m = (c > 0).sum(1, keepdims=True), c.sum(1, keepdims=True)
                 below = np.full((1, width), 1 / width) if k == 0 else p[find(k - 1, kept[k] % width ** (k - 1))]
@@ -172,30 +175,34 @@ class PPMModel:
         return [self.names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
-def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = 500, max_bytes: int = 8 << 20, max_langs: int = 64) -> PPMModel:
-    """A model from a hash sample of labelled texts: of each language about max_docs whole texts and max_bytes at most.
+def train(labelled: DataFrame, key: str, text: str, lang: str, max_docs: int = 500, max_bytes: int = 8 << 20, max_langs: int = 64, total_bytes: int = 32 << 20) -> PPMModel:
+    """A model from a hash sample of labelled texts: of each language about max_docs texts and max_bytes at most, of all total_bytes.
 
-    Texts above an eighth of max_bytes are not trained on, so that the sample keeps near its bounds.  More than max_langs
-    languages are an error.
+    Of a text above an eighth of a language's bytes the first that many are trained on (in whole characters), so that the
+    sample keeps near its bounds.  More than max_langs languages are an error.
     """
-    size = F.octet_length(text)
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (size <= max_bytes // 8))
-    counts = {r[0]: r[1:] for r in usable.groupBy(lang).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).limit(max_langs + 1).collect()}
+    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r[0]: r[1:] for r in usable.groupBy(lang).agg(F.count(F.lit(1)), F.sum(F.least(F.octet_length(text), F.lit(max_bytes // 8)).cast("long"))).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    chance = F.lit(0.0)
+    max_bytes = min(max_bytes, total_bytes // max(len(counts), 1))
+    chance, most = F.lit(0.0), max_bytes // 8
+    said = F.when(F.octet_length(text) <= most, F.col(text)).otherwise(F.substring(text, 1, most // 4))
     for name, (n, total) in counts.items():
         chance = F.when(F.col(lang) == name, F.lit(min(1.0, max_docs / n, max_bytes / max(total, 1)))).otherwise(chance)
-    sample = usable.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_000)) < chance * 1_000_000).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = usable.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_000)) < chance * 1_000_000).select(F.col(lang).alias("lang"), said.alias("text"))
     texts: dict[str, list[bytes]] = {}
     for name, words in sorted(sample.collect()):
         texts.setdefault(name, []).append(words.encode())
-    return PPMModel(texts)
+    model = PPMModel(texts)
+    del texts
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: PPMModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 20 MB, whatever the corpus: NODES bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE bytes at most, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
