@@ -1,4 +1,8 @@
-"""Connected components of links that lie in a DataFrame, by minima over neighbours and pointer jumping."""
+"""Connected components of links that lie in a DataFrame, by minima over neighbours and pointer jumping.
+
+Defined results: repeated links count once, a link of an id with itself gives that id a component of its own, links with
+a null end must not be there (the callers make none), no links give no rows.
+"""
 
 from __future__ import annotations
 
