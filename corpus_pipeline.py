@@ -3,6 +3,11 @@
 Language identification drops texts without a language, exact dedup keeps one of equal texts, the Jaccard join keeps one
 of each group of near copies, mixing repeats or drops documents towards its source's target, SentencePiece encodes what
 is left.  Every stage's result is written to the shared folder and read again, so a lost executor costs one stage.
+
+Defined results: null texts and texts without a letter go in the first stage; of equal texts the largest doc_id stays
+(a null one ranks below all), of near copies the smallest (nulls last); rows that repeat a doc_id and a text follow the
+row that stays, and the mix repeats rows of one doc_id alike; a null source is a source; an empty table gives none; all
+columns but the last stage's are those of documents, whatever their names (tests/llm/test_odd_rows.py).
 """
 
 from __future__ import annotations
