@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, innings, ladder, match_flow, nearest, relational
+from ..sources import paged_feed
+from ..sources.sinks import shared_folder
 from . import events_archive, views
 from .oracles import BASE, ORACLES as KNOWN, sql
 from .slice_queries import innings_that
@@ -98,6 +100,19 @@ def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(answers)
 
 
+def paged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events stored as pages of a feed that has a match a day, read back page by page, parsed and audited."""
+    ev = _events(spark, sf_dir)
+    item = F.to_json(F.struct(c("event_id").cast("string").alias("id"), c("event_id").alias("sequence"), F.round(c("value") * 100).cast("int").alias("scoreValue"), c("event_type").alias("shortText"), c("props").alias("text")))
+    feed = paged_feed.answers(ev.withColumn("day", F.date_diff(c("ts").cast("date"), F.lit("2000-01-01").cast("date"))).withColumn("item", item), "day", [c("event_id"), c("item")], 100)
+    path = shared_folder(spark, "pages")
+    spark.dataSource.register(paged_feed.PagedFeed)
+    feed.write.format("paged_feed").mode("append").save(path)
+    pages = paged_feed.read_pages(spark, path)
+    told = paged_feed.play_items(pages).groupBy("match_id").agg(F.sum("scoreValue").alias("cents"), F.max("sequence").alias("last_id"), F.count_distinct("shortText").alias("kinds"), F.sum(F.length("text")).alias("text_length"))
+    return paged_feed.feed_status(pages).join(told, "match_id", "left")
+
+
 def _short(f):
     return lambda spark, sf_dir: f(events_archive.short(spark, sf_dir).d)
 
@@ -116,7 +131,7 @@ SHORT = {
     "short_fifties": lambda spark, sf_dir: slice_stats(events_archive.short(spark, sf_dir), SliceSpec(metric="fifties"), events_archive.SHORT_BALLS),
     "short_shifts": _short(lambda d: match_flow.match_shifts(d, events_archive.SHORT_BALLS)),
 }
-QUERIES = SHORT | {f.__name__: f for f in (adhoc_functions, asof_click, asof_order, interval_hours, ladder_five, bag_days, lateral_top, scalar_above_mean, exists_large, answer_report)}
+QUERIES = SHORT | {f.__name__: f for f in (adhoc_functions, asof_click, asof_order, interval_hours, ladder_five, bag_days, lateral_top, scalar_above_mean, exists_large, answer_report, paged_days)}
 
 _RUNG = "CASE event_type " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(RUNGS)) + " END"
 _PICK = ", ".join(f"arg_max({f}, (-rank, {f})) FILTER ({f} IS NOT NULL) AS {f}, min(rank) FILTER ({f} IS NOT NULL) AS r_{f}" for f in ("value", "k", "last_id"))
@@ -159,6 +174,11 @@ SHORT_SQL = {
     "short_fifties": _changed(innings_that("runs BETWEEN 50 AND 99"), (BASE, _SHORT_BASE)),
 }
 ORACLES = SHORT_SQL | {
+    "paged_days": """
+WITH e AS (SELECT *, date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS match_id FROM events)
+SELECT match_id, count(DISTINCT event_id) AS items, CAST(ceil(count(*) / 100e0) AS BIGINT) AS pages, count(*) AS expected, CAST(0 AS BIGINT) AS missing_pages,
+       CASE WHEN count(DISTINCT event_id) < count(*) THEN 'partial' ELSE 'ok' END AS status, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(event_id) AS last_id, count(DISTINCT event_type) AS kinds, CAST(sum(length(props)) AS BIGINT) AS text_length
+FROM e GROUP BY match_id""",
     "adhoc_functions": sql("SELECT w1 AS team, ground AS played_at, count(*) AS games, min(start_date) AS since FROM g GROUP BY 1, 2"),
     "asof_click": "SELECT p.event_id, p.user_id, k.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') k ON p.user_id = k.user_id AND p.ts >= k.ts",
     "asof_order": "SELECT o.o_orderkey, o.o_custkey, previous FROM orders o ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS previous FROM orders GROUP BY ALL) p ON o.o_custkey = p.o_custkey AND o.o_orderdate > p.o_orderdate",

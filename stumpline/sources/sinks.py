@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +92,14 @@ def console(b: dict) -> str:
     number = [all(isinstance(r[i], (int, float)) or r[i] is None for r in b["rows"]) for i in range(len(width))]
     line = lambda cells: "  ".join(x.rjust(w) if n else x.ljust(w) for x, w, n in zip(cells, width, number, strict=True)).rstrip()
     return "\n".join([b["title"], line(b["columns"]), *map(line, rows)])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one for a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="stumpline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
