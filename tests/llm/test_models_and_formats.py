@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import SF, rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from stumpline.llm import catalog, entropy_mix, ppm_language, preference_format, pu_quality, sentencepiece_codec, telephony_audio
 
@@ -141,6 +142,29 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.97
 
 
+def test_quality_on_few_rows_and_without_marks(spark):
+    """At sf0.01 bad rows fall below the threshold, and many of them by their wording alone."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in catalog.queries()["op7_pu_quality"](spark, sf).collect() if r.held_out and r.doc_id in truth]
+    told = lambda label: [r.predicted for r in rows if truth[r.doc_id] == label]
+    assert np.mean(told(0)) < 0.1 and np.mean(told(1)) > 0.95
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    model = pu_quality.train(docs.filter(learn), labels.filter(learn))
+    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s.,]", "").alias("text")
+    some = docs.join(labels, "doc_id").select("doc_id", "quality", bare)
+    below = {r.quality: r.share for r in pu_quality.quality(some, model).join(labels, "doc_id").groupBy("quality").agg(F.avg((F.col("score") < 0.3).cast("int")).alias("share")).collect()}
+    assert below[0] > 0.5 and below[1] < 0.05
+
+
+def test_wording_knows_letters_only():
+    plain, loud = pu_quality.wording(pa.array(["The end of it\nall", "", None, "ab"])), pu_quality.wording(pa.array(["THE!! END, of*** (it)\nall", "?!", "1", "AB"]))
+    assert (plain == loud).all() and (plain[1] == 0).all() and np.allclose((plain[0] ** 2).sum(), 2)
+    words, threes = (plain[0][i * pu_quality.BUCKETS :][: pu_quality.BUCKETS] ** 2 for i in (0, 1))
+    assert abs(words.max() * 5 - round(words.max() * 5)) < 1e-5 and abs(threes.min()) == 0 and plain[3][pu_quality.BUCKETS :].sum() == 0
+
+
 def test_quality_odd_rows(spark, docs, empty, corpus):
     labels = spark.createDataFrame([(20, 1), (20, 0), (21, 1), (22, None)], "doc_id long, quality int")
     for some in (labels, labels.limit(0)):
