@@ -10,7 +10,7 @@ are compacted into one, which later batches meet.  After the last batch the hits
 hold a hit give the windows it represents, each by two independent 64-bit hashes of its whole word sequence, the
 smallest doc_id of such a pair is an aggregation with partial minima, and windows with a smaller one are removed.
 
-Equal texts are indexed once: a later copy of a text goes as a whole if it has a window's length.
+Equal texts, known by their whole SHA-256, are indexed once: a later copy of a text goes as a whole if it has a window's length.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; null text has none; texts shorter than the window stay; a null doc_id
 counts as smaller than any; rows that repeat a doc_id do not remove each other's words; empty table, empty result.
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
-from .winnow import LEAST, anchors, fetched, text_id
+from .shared import Scratch, arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
+from .winnow import LEAST, anchors, fetched, numbered, text_digest
 
 WINDOW, GRAM = 50, 10
 MAX_RUNS = 2
@@ -70,7 +70,7 @@ class Words:
 
 
 def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """doc_id, tid, n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
+    """doc_id, digest (of the text), n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,10 +87,10 @@ def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                     fps.append(np.unique(grams[own[np.diff(own, prepend=-1) != 0]]).view(np.int64) if len(own) else np.zeros(0, np.int64))
                     fp_at.append(fp_at[-1] + len(fps[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(fp_at, pa.int32()), pa.array(np.concatenate(fps)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "tid", "n_words", "sha", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "digest", "n_words", "sha", "fps"])
 
-    columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    return arrow_map(columns, run, "doc_id long, tid long, n_words long, sha string, fps array<long>")
+    columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    return arrow_map(columns, run, "doc_id long, digest string, n_words long, sha string, fps array<long>")
 
 
 class FingerprintIndex:
@@ -101,7 +101,9 @@ class FingerprintIndex:
         self.home = work_dir(spark, "fingerprints")
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[str] = []
-        self.texts: DataFrame | None = None  # tid, first, fps of all texts that are indexed
+        self.scratch = Scratch(spark)
+        self.texts: DataFrame | None = None  # tid, digest, first, fps of all texts that are indexed
+        self.numbers = 0  # texts have numbers below this one
         self.base: DataFrame | None = None
         self.hits: DataFrame | None = None
 
@@ -114,10 +116,11 @@ class FingerprintIndex:
         """Indexes a batch and notes the fingerprints that are met again, in it or in earlier runs."""
         base = stored(_base(docs, key, text, self.window), "fingerprint-base")
         first = F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")
-        texts = base.groupBy("tid").agg(first, F.any_value("n_words").alias("n_words"), F.any_value("fps").alias("fps"))
+        texts = base.groupBy("digest").agg(first, F.any_value("n_words").alias("n_words"), F.any_value("fps").alias("fps"))
         if self.texts is not None:
-            texts = texts.join(self.texts.select("tid"), "tid", "left_anti")
-        texts = stored(texts, "fingerprint-texts")
+            texts = texts.join(self.texts.select("digest"), "digest", "left_anti")
+        texts = self.scratch.stored(numbered(texts, self.numbers), "fingerprint-texts")
+        self.numbers = (texts.agg(F.max("tid")).first()[0] or self.numbers) + 1
         self.base = base if self.base is None else self.base.unionByName(base)
         self.texts = texts if self.texts is None else self.texts.unionByName(texts)
         run = self._write_run(texts.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
@@ -125,7 +128,7 @@ class FingerprintIndex:
         hits = new.filter("n > 1").select("fp")
         for old in self.runs:
             hits = hits.union(new.select("fp").join(self.spark.table(old).select("fp").hint("merge"), "fp"))
-        hits = stored(hits, "fingerprint-hits")
+        hits = self.scratch.stored(hits, "fingerprint-hits")
         self.hits = hits if self.hits is None else self.hits.union(hits)
         self.runs.append(run)
         if len(self.runs) > self.max_runs:
@@ -148,11 +151,12 @@ class FingerprintIndex:
         self.runs = []
 
     def removed(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 200_000) -> DataFrame:
-        """tid, n_removed, sha of what is left, for texts that lose words; docs: all documents that were added."""
+        """digest, n_removed, sha of what is left, for texts that lose words; docs: all documents that were added."""
         window = self.window
         met = self.texts.select("tid", "first", F.explode("fps").alias("fp")).join(self.hits.distinct(), "fp")
-        flagged = stored(met.groupBy("tid", "first").agg(F.collect_set("fp").alias("hit")), "fingerprint-flagged")
-        held = stored(fetched(docs, key, text, flagged, broadcast_rows).join(flagged, "tid"), "fingerprint-held")
+        flagged = self.scratch.stored(met.groupBy("tid", "first").agg(F.collect_set("fp").alias("hit")), "fingerprint-flagged")
+        wanted = self.scratch.stored(self.texts.select("tid", "digest", "first").join(flagged.select("tid"), "tid"), "fingerprint-wanted")
+        held = self.scratch.stored(fetched(docs, key, text, wanted, broadcast_rows, "digest", text_digest).join(flagged, "tid"), "fingerprint-held")
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -177,7 +181,7 @@ class FingerprintIndex:
         found = arrow_map(held.select("tid", "first", "text", "hit"), windows, "h long, check long, tid long, first long, place int")
         # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
         least = found.groupBy("h", "check").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h", "check", "least")
-        gone = found.join(stored(least, "fingerprint-windows"), ["h", "check"]).filter("least < first")
+        gone = found.join(self.scratch.stored(least, "fingerprint-windows"), ["h", "check"]).filter("least < first")
         gone = gone.groupBy("tid").agg(F.collect_list("place").alias("places"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +197,10 @@ class FingerprintIndex:
                         left = np.flatnonzero(~covered[:n])
                         lost.append(n - len(left))
                         shas.append(hashlib.sha256(words.joined(words.at[i] + left)).hexdigest())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["tid", "n_removed", "cut_sha"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["digest", "n_removed", "cut_sha"])
 
-        return stored(arrow_map(held.select("tid", "text").join(gone, "tid"), cut, "tid long, n_removed long, cut_sha string"), "fingerprint-cut")
+        lost = held.select("tid", "digest", "text").join(gone, "tid").select("digest", "text", "places")
+        return stored(arrow_map(lost, cut, "digest string, n_removed long, cut_sha string"), "fingerprint-cut")
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, max_runs: int = MAX_RUNS) -> DataFrame:
@@ -211,8 +216,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         cut = index.removed(docs, key, text)
     finally:
         index.close()
-    firsts = stored(index.base.groupBy("tid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")), "fingerprint-firsts")
-    out = index.base.join(firsts, "tid").join(cut, "tid", "left")
+        index.scratch.clear()
+    firsts = stored(index.base.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")), "fingerprint-firsts")
+    out = index.base.join(firsts, "digest").join(cut, "digest", "left")
     copy = (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first")) & (F.col("n_words") >= window)
     return out.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

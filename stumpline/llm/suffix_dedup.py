@@ -18,7 +18,7 @@ Memory is bounded by the text of one anchor (equal segments count once) or CHUNK
 with more than `hot` occurrences does not go to one task: its windows are compared by their SHA-free 64-bit hashes in
 an aggregation with partial counts, the exact way for the rest.
 
-Equal texts are handled once: they repeat as a whole if they have WINDOW bytes.
+Equal texts, known by their whole SHA-256, are handled once: they repeat as a whole if they have WINDOW bytes.
 
 Defined results: null text is empty; texts shorter than WINDOW stay; matches never cross documents; rows that repeat a
 doc_id are documents of their own; empty table, empty result.
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, buffers, pieces, prefix_hash, range_hash, spans, stored, strings
-from .winnow import anchors, fetched, text_id
+from .shared import Scratch, arrow_map, buffers, pieces, prefix_hash, range_hash, spans, stored, strings
+from .winnow import anchors, fetched, numbered, text_digest
 
 WINDOW, GRAM = 400, 48
 PART = 1 << 20
@@ -190,12 +190,12 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """doc_id, tid, n_bytes, sha, fps (anchors of all windows; one that occurs twice is there twice)."""
+    """doc_id, n_bytes, sha, fps (anchors of all windows; one that occurs twice is there twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 2, PART):
-                data, at = buffers(batch.column(2))
+            for batch in pieces(whole, 1, PART):
+                data, at = buffers(batch.column(1))
                 grams = _grams(data)
                 start, place, window_at = anchors(grams, at, GRAM, window)
                 new = np.ones(len(place), bool)
@@ -203,10 +203,10 @@ def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                 fp_at = np.concatenate(([0], np.cumsum(new)))[window_at]
                 shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(fp_at, pa.int32()), pa.array(grams[place[new]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(shas, pa.string()), lists], ["doc_id", "tid", "n_bytes", "sha", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(shas, pa.string()), lists], ["doc_id", "n_bytes", "sha", "fps"])
 
-    columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    return arrow_map(columns, run, "doc_id long, tid long, n_bytes long, sha string, fps array<long>")
+    columns = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return arrow_map(columns, run, "doc_id long, n_bytes long, sha string, fps array<long>")
 
 
 def _windows(batch: pa.RecordBatch, window: int):
@@ -287,7 +287,7 @@ def _found(segments: DataFrame, window: int, chunk: int) -> DataFrame:
     return arrow_map(segments, run, "tid long, low long, high long")
 
 
-def _hot_found(held: DataFrame, window: int) -> DataFrame:
+def _hot_found(held: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """tid, low, high for windows of hot anchors, by counting their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,28 +302,21 @@ def _hot_found(held: DataFrame, window: int) -> DataFrame:
 
     windows = arrow_map(held, run, "h long, tid long, low long")
     # Written out, so that the join has a shuffle on either side and a window that very many texts share is split.
-    again = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-windows")
+    again = scratch.stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-windows")
     return windows.join(again, "h").select("tid", "low", (F.col("low") + window).alias("high"))
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: int = CHUNK, hot: int = 50_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
-
-    window: a multiple of 8 between GRAM and DEPTH.  hot: occurrences of an anchor beyond which its windows are counted
-    by hash.  broadcast_rows: most ids of texts with repeats that are broadcast to fetch them.
-    """
-    base = stored(_base(docs, key, text, window), "suffix-base")
-    texts = base.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("fps").alias("fps"))
-    texts = stored(texts, "suffix-texts")
-    entries = texts.select("tid", "first", F.explode("fps").alias("fp"))
-    shared = stored(entries.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-anchors")
-    met = entries.join(shared, "fp")
+def _cut_texts(docs: DataFrame, key: str, text: str, texts: DataFrame, window: int, chunk: int, hot: int, broadcast_rows: int, scratch: Scratch) -> DataFrame:
+    """sha, n_removed, n_spans, cut_sha of the texts that lose bytes."""
+    entries = texts.select("tid", F.explode("fps").alias("fp"))
+    shared = scratch.stored(entries.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-anchors")
     cold, warm = (F.collect_set(F.when(c, F.col("fp"))) for c in (F.col("n") <= hot, F.col("n") > hot))
-    flagged = stored(met.groupBy("tid", "first").agg(cold.alias("hit"), warm.alias("hot")), "suffix-flagged")
-    held = stored(fetched(docs, key, text, flagged, broadcast_rows).join(flagged.select("tid", "hit", "hot"), "tid"), "suffix-held")
+    flagged = scratch.stored(entries.join(shared, "fp").groupBy("tid").agg(cold.alias("hit"), warm.alias("hot")), "suffix-flagged")
+    wanted = scratch.stored(texts.select("tid", "sha", "first").join(flagged.select("tid"), "tid"), "suffix-wanted")
+    held = scratch.stored(fetched(docs, key, text, wanted, broadcast_rows, "sha", text_digest).join(flagged, "tid"), "suffix-held")
     segments = _segments(held.filter("size(hit) > 0").select("tid", "text", "hit"), window)
     found = _found(segments.repartition("anchor").sortWithinPartitions("anchor"), window, chunk)
-    found = found.union(_hot_found(held.filter("size(hot) > 0").select("tid", "text", "hot"), window))
+    found = found.union(_hot_found(held.filter("size(hot) > 0").select("tid", "text", "hot"), window, scratch))
     spans_ = found.groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +331,24 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                     gone = np.cumsum(np.bincount(low[own], minlength=n + 1) - np.bincount(high[own], minlength=n + 1))[:n] > 0
                     out.append((int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(data[at[i] : at[i + 1]][~gone]).hexdigest()))
                 removed, n_spans, shas = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string())], ["tid", "n_removed", "n_spans", "cut_sha"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string())], ["sha", "n_removed", "n_spans", "cut_sha"])
 
-    done = stored(arrow_map(held.select("tid", "text").join(spans_, "tid"), cut, "tid long, n_removed long, n_spans long, cut_sha string"), "suffix-cut")
-    out = base.join(texts.select("tid", "copies"), "tid").join(done, "tid", "left")
+    lost = held.select("tid", "sha", "text").join(spans_, "tid").select("sha", "text", "spans")
+    return stored(arrow_map(lost, cut, "sha string, n_removed long, n_spans long, cut_sha string"), "suffix-cut")
+
+
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk: int = CHUNK, hot: int = 50_000, broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
+
+    window: a multiple of 8 between GRAM and DEPTH.  hot: occurrences of an anchor beyond which its windows are counted
+    by hash.  broadcast_rows: most ids of texts with repeats that are broadcast to fetch them.
+    """
+    base = stored(_base(docs, key, text, window), "suffix-base")
+    texts = base.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("fps").alias("fps"))
+    texts = stored(numbered(texts), "suffix-texts")
+    with Scratch(docs.sparkSession) as scratch:
+        done = _cut_texts(docs, key, text, texts, window, chunk, hot, broadcast_rows, scratch)
+    out = base.join(texts.select("sha", "copies"), "sha").join(done, "sha", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(

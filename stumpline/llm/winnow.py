@@ -52,14 +52,26 @@ def text_id(column):
     return F.conv(F.substring(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def fetched(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """tid, text of the wanted (tid, first): first is the smallest doc_id with that text.  One row for each tid.
+def text_digest(column):
+    """A text's whole SHA-256 as lowercase hex (null counts as empty)."""
+    return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
-    A null doc_id or first counts as LEAST.  Rows meet by id and text, as very many may share an id (or have none) or
-    a text.  Up to broadcast_rows wanted rows (24 bytes each) are broadcast; more go through a shuffled join.
+
+def numbered(texts: DataFrame, beyond: int = 0) -> DataFrame:
+    """texts with a number tid for each, from `beyond` on: to be written out at once, as it differs when made again."""
+    return texts.withColumn("tid", F.monotonically_increasing_id() + F.lit(beyond))
+
+
+def fetched(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int, by: str = "tid", known=text_id) -> DataFrame:
+    """tid, what else wanted has, and text of the wanted (tid, first): first is the smallest doc_id with that text.  One row for each tid.
+
+    A null doc_id or first counts as LEAST.  Rows meet by id and by what known() says of a text (wanted's column `by`),
+    as very many may share an id (or have none) or a text.  Up to broadcast_rows wanted rows (24 bytes each, and `by` if
+    it is another column: 64 more) are broadcast; more go through a shuffled join.
     """
     least = F.lit(LEAST)
-    ids = wanted.select("tid", F.coalesce("first", least).alias("__id"))
+    names = [n for n in wanted.columns if n != "first"]
+    ids = wanted.select(*names, F.coalesce("first", least).alias("__id"))
     ids = F.broadcast(ids) if wanted.count() <= broadcast_rows else ids
     texts = docs.select(F.coalesce(F.col(key).cast("long"), least).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.withColumn("tid", text_id(F.col("text"))).join(ids, ["__id", "tid"]).select("tid", "text").dropDuplicates(["tid"])
+    return texts.withColumn(by, known(F.col("text"))).join(ids, ["__id", by]).select(*names, "text").dropDuplicates(["tid"])
