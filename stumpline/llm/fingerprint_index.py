@@ -1,14 +1,21 @@
 """Substring deduplication on words with a log-structured fingerprint index.
 
-A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id.
-
-The index takes documents in batches.  Of each new text the anchors of its windows (the smallest hash of GRAM words in
-each window) are its fingerprints.  A batch's fingerprints form a run: a Parquet table bucketed and sorted by
-fingerprint, one row for each with its count, never changed afterwards.  A new run is merge-joined with the runs before
-it (no shuffle of history: the buckets agree); what is met again is a hit.  When there are more than MAX_RUNS runs they
-are compacted into one, which later batches meet.  After the last batch the hits of all are verified together: texts that
-hold a hit give the windows it represents, each by two independent 64-bit hashes of its whole word sequence, the
-smallest doc_id of such a pair is an aggregation with partial minima, and windows with a smaller one are removed.
+A word goes if a window of `window` words that covers it also starts in a document of an earlier batch, or in one with
+a smaller doc_id of the same batch.  In batches by ascending doc_id, as substring_dedup cuts them, that is: in a
+document with a smaller doc_id.
+
+The index takes documents in batches and decides about each batch as it comes.  Of each new text the anchors of its
+windows (the smallest hash of GRAM words in each window) are its fingerprints.  A batch adds three sorted immutable
+runs, Parquet tables in buckets by their key: fingerprints with the number of texts that hold them and the number of one
+such text, window hashes, digests of texts.  A new run is merge-joined with the runs before it, bucket by bucket, without
+a shuffle of history.  A fingerprint that is met again is a hit, and what it represents is verified: the windows at it
+in the batch's texts, each by two independent 64-bit hashes of its whole word sequence, meet the window hashes of
+history.  These hold all windows of hits so far; a fingerprint that is hit for the first time is in one older text only,
+whose windows are added now.  With more than MAX_RUNS runs of a kind they are compacted into one.
+
+An index in a folder given by the caller stays there: it can be opened again, in another session too, and take further
+batches without the earlier documents.  A batch counts once its manifest is in place, by one rename; what a batch that died
+has written is not read.  One writer at a time.  Texts are numbered below 2^63, 2^33 for each task of a batch.
 
 Equal texts, known by their whole SHA-256, are indexed once: a later copy of a text goes as a whole if it has a window's length.
 
@@ -19,6 +26,7 @@ counts as smaller than any; rows that repeat a doc_id do not remove each other's
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -27,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, stored, word_bounds, work_dir
-from .winnow import LEAST, anchors, fetched, numbered, text_digest
+from .shared import Scratch, arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, word_bounds, work_dir
+from .winnow import LEAST, anchors, numbered, text_digest
 
 WINDOW, GRAM = 50, 10
 MAX_RUNS = 2
@@ -39,6 +47,8 @@ STEP_INV = pow(STEP, -1, 1 << 64)
 #: Another such base and its inverse, for the second hash of a window.
 CHECK = 0x9FB21C651E98DF25
 CHECK_INV = pow(CHECK, -1, 1 << 64)
+#: The kinds of runs, and what each is bucketed and sorted by.
+KINDS = {"grams": ("fp",), "windows": ("h", "check"), "texts": ("digest",)}
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -70,7 +80,7 @@ class Words:
 
 
 def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """doc_id, digest (of the text), n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
+    """doc_id, digest (of the text), text, n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,120 +97,207 @@ def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                     fps.append(np.unique(grams[own[np.diff(own, prepend=-1) != 0]]).view(np.int64) if len(own) else np.zeros(0, np.int64))
                     fp_at.append(fp_at[-1] + len(fps[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(fp_at, pa.int32()), pa.array(np.concatenate(fps)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "digest", "n_words", "sha", "fps"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "digest", "text", "n_words", "sha", "fps"])
 
     columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
-    return arrow_map(columns, run, "doc_id long, digest string, n_words long, sha string, fps array<long>")
+    return arrow_map(columns, run, "doc_id long, digest string, text string, n_words long, sha string, fps array<long>")
+
+
+def _windows(held: DataFrame, window: int) -> DataFrame:
+    """h, check, tid, first, place of the windows at the anchors `hit` of the texts held (tid, first, text, hit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 2, PART // 4):
+                words = Words(batch.column(2))
+                grams = words.hashes(np.arange(len(words.start)), GRAM)
+                start, place, at = anchors(grams, words.at, GRAM, window)
+                hit = np.zeros(len(start), bool)
+                fps = grams[place].view(np.int64)
+                lists = batch.column(3)
+                values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+                for i in range(batch.num_rows):
+                    hit[at[i] : at[i + 1]] = np.isin(fps[at[i] : at[i + 1]], values[ends[i] : ends[i + 1]])
+                row = np.repeat(np.arange(batch.num_rows), np.diff(at))[hit]
+                start = start[hit]
+                hashes, checks = words.hashes(start, window).view(np.int64), words.checks(start, window).view(np.int64)
+                ids, firsts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for k in range(0, len(start), 1 << 17):
+                    at_ = slice(k, k + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at_]), pa.array(checks[at_]), pa.array(ids[row[at_]]), pa.array(firsts[row[at_]]), pa.array((start[at_] - words.at[row[at_]]).astype(np.int32))], ["h", "check", "tid", "first", "place"])
+
+    return arrow_map(held.select("tid", "first", "text", "hit"), run, "h long, check long, tid long, first long, place int")
+
+
+def _cut(lost: DataFrame, window: int) -> DataFrame:
+    """digest, n_removed, cut_sha (of what is left) of texts without the windows that start at `places` (digest, text, places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1, PART):
+                words, lists = Words(batch.column(1)), batch.column(2)
+                values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+                gone, shas = [], []
+                for i in range(batch.num_rows):
+                    n = words.at[i + 1] - words.at[i]
+                    step = np.bincount(values[ends[i] : ends[i + 1]], minlength=n + 1)
+                    covered = np.cumsum(step) - np.concatenate((np.zeros(window, np.int64), np.cumsum(step)))[: n + 1] > 0
+                    left = np.flatnonzero(~covered[:n])
+                    gone.append(n - len(left))
+                    shas.append(hashlib.sha256(words.joined(words.at[i] + left)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], ["digest", "n_removed", "cut_sha"])
+
+    return arrow_map(lost.select("digest", "text", "places"), run, "digest string, n_removed long, cut_sha string")
 
 
 class FingerprintIndex:
-    """Runs, texts and hits below one shared folder."""
-
-    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS):
-        self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.home = work_dir(spark, "fingerprints")
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[str] = []
-        self.scratch = Scratch(spark)
-        self.texts: DataFrame | None = None  # tid, digest, first, fps of all texts that are indexed
-        self.numbers = 0  # texts have numbers below this one
-        self.base: DataFrame | None = None
-        self.hits: DataFrame | None = None
-
-    def _write_run(self, counts: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
-        counts.write.option("path", f"{self.home}/{name}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+    """Runs, texts and decisions below one shared folder: `home`, or a new one."""
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS, home: str | None = None):
+        self.spark, self.max_runs = spark, max_runs
+        self.home = (home or work_dir(spark, "fingerprints")).rstrip("/")
+        self.state = self._manifest() or {"window": window, "buckets": max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "numbers": 0, "batches": [], **{k: [] for k in KINDS}}
+        if self.state["window"] != window:
+            raise ValueError(f"the index in {self.home} is over windows of {self.state['window']} words")
+        for kind in KINDS:
+            for name in self.state[kind]:
+                self._register(kind, name)
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> dict | None:
+        """The state after the last whole batch, None for a new index."""
+        path, fs = self._path("manifests")
+        if not fs.exists(path):
+            return None
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("m-"))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.home}/manifests/{names[-1]}").collect())) if names else None
+
+    def _commit(self, state: dict) -> None:
+        """Makes this state the index's: written beside, then renamed to the next number."""
+        new, fs = self._path(f"manifests/new-{uuid.uuid4().hex}")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        to, _ = self._path(f"manifests/m-{len(state['batches']):09d}")
+        if fs.exists(to) or not fs.rename(new, to):
+            raise RuntimeError(f"another writer has added a batch to {self.home}")
+        self.state = state
+
+    def _register(self, kind: str, name: str) -> None:
+        """Tells this session's catalog of a run that another session has written."""
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.home}/{name}").schema.fields)
+            by = ", ".join(KINDS[kind])
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.home}/{name}'")
+
+    def _run(self, kind: str, rows: DataFrame) -> str:
+        """Writes a run: rows with one row for each key of this kind."""
+        name = f"{kind}_{uuid.uuid4().hex}"
+        rows.write.option("path", f"{self.home}/{name}").bucketBy(self.state["buckets"], *KINDS[kind]).sortBy(*KINDS[kind]).saveAsTable(name)
         return name
 
-    def add(self, docs: DataFrame, key: str, text: str) -> None:
-        """Indexes a batch and notes the fingerprints that are met again, in it or in earlier runs."""
-        base = stored(_base(docs, key, text, self.window), "fingerprint-base")
-        first = F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")
-        texts = base.groupBy("digest").agg(first, F.any_value("n_words").alias("n_words"), F.any_value("fps").alias("fps"))
-        if self.texts is not None:
-            texts = texts.join(self.texts.select("digest"), "digest", "left_anti")
-        texts = self.scratch.stored(numbered(texts, self.numbers), "fingerprint-texts")
-        self.numbers = (texts.agg(F.max("tid")).first()[0] or self.numbers) + 1
-        self.base = base if self.base is None else self.base.unionByName(base)
-        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
-        run = self._write_run(texts.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        new = self.spark.table(run)
-        hits = new.filter("n > 1").select("fp")
-        for old in self.runs:
-            hits = hits.union(new.select("fp").join(self.spark.table(old).select("fp").hint("merge"), "fp"))
-        hits = self.scratch.stored(hits, "fingerprint-hits")
-        self.hits = hits if self.hits is None else self.hits.union(hits)
-        self.runs.append(run)
-        if len(self.runs) > self.max_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges all runs into one; the runs it is made of and their files go."""
-        whole = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            whole = whole.unionByName(self.spark.table(r))
-        merged = self._write_run(whole.groupBy("fp").agg(F.sum("n").alias("n")))
-        self.close()
-        self.runs = [merged]
+    def _runs(self, kind: str) -> list[DataFrame]:
+        return [self.spark.table(name) for name in self.state[kind]]
+
+    def _text_of(self, wanted: DataFrame, batches: list[str], broadcast_rows: int) -> DataFrame:
+        """wanted (tid, digest, first, ...) with the text, one row for each; up to broadcast_rows rows of it are broadcast."""
+        ids = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+        texts = self.spark.read.schema("doc_id long, digest string, text string").parquet(*[f"{self.home}/base-{b}" for b in batches])
+        return texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), "digest", "text").join(ids, ["first", "digest"]).dropDuplicates(["tid"])
+
+    def add(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 20_000) -> DataFrame:
+        """Indexes a batch; returns doc_id, n_words, n_removed, kept_sha256 for each of its rows, stored below the index."""
+        batch, window, state = uuid.uuid4().hex[:16], self.state["window"], self.state
+        with Scratch(self.spark) as scratch:
+            _base(docs, key, text, window).write.parquet(f"{self.home}/base-{batch}")
+            base = self.spark.read.parquet(f"{self.home}/base-{batch}")
+            texts = base.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first"), F.any_value("fps").alias("fps"))
+            for old in self._runs("texts"):
+                texts = texts.join(old.select("digest").hint("merge"), "digest", "left_anti")
+            texts = scratch.stored(numbered(texts, state["numbers"]), "fingerprint-texts")
+            last = texts.agg(F.max("tid")).first()[0]
+            known = self._run("texts", texts.select("digest", "tid", "first").repartition(state["buckets"], "digest"))
+            held_by = texts.select("tid", F.explode("fps").alias("fp"))
+            grams = self._run("grams", held_by.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid")))
+
+            new = self.spark.table(grams)
+            met = [new.select("fp").join(old.hint("merge"), "fp") for old in self._runs("grams")]
+            earlier = scratch.stored(_union(met).groupBy("fp").agg(F.sum("n").alias("n"), F.min("tid").alias("tid")), "fingerprint-met") if met else None
+            hits = new.filter("n > 1").select("fp")
+            hits = scratch.stored((hits.union(earlier.select("fp")) if met else hits).distinct(), "fingerprint-hits")
+            flagged = held_by.join(hits, "fp").groupBy("tid").agg(F.collect_set("fp").alias("hit"))
+            wanted = scratch.stored(texts.select("tid", "digest", "first").join(flagged, "tid"), "fingerprint-wanted")
+            held = scratch.stored(self._text_of(wanted, [batch], broadcast_rows), "fingerprint-held")
+            found = _windows(held, window)
+            every = found.select("h", "check", "first", F.lit(False).alias("old"))
+            if met:  # one older text holds a fingerprint that was not a hit before
+                once = earlier.filter("n = 1").groupBy("tid").agg(F.collect_set("fp").alias("hit"))
+                once = scratch.stored(_union([r.select("tid", "digest", "first") for r in self._runs("texts")]).join(once, "tid"), "fingerprint-once")
+                older = _windows(self._text_of(once, state["batches"], broadcast_rows), window)
+                every = every.union(older.select("h", "check", F.lit(None).cast("long").alias("first"), F.lit(True).alias("old")))
+            windows = self._run("windows", every.groupBy("h", "check").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.max("old").alias("old")))
+
+            judged = self.spark.table(windows)
+            for i, old in enumerate(self._runs("windows")):
+                mark = old.select("h", "check", F.lit(True).alias(f"in_{i}")).hint("merge")
+                judged = judged.join(mark, ["h", "check"], "left").withColumn("old", F.col("old") | F.coalesce(f"in_{i}", F.lit(False))).drop(f"in_{i}")
+            # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
+            judged = scratch.stored(judged.filter("old or least < most").select("h", "check", "least", "old"), "fingerprint-windows")
+            gone = found.join(judged, ["h", "check"]).filter("old or least < first").groupBy("tid").agg(F.collect_list("place").alias("places"))
+            cut = scratch.stored(_cut(held.join(gone, "tid"), window), "fingerprint-cut")
+
+            rows = base.join(texts.select("digest", "first"), "digest", "left").join(cut, "digest", "left")
+            copy = (F.col("first").isNull() | (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first"))) & (F.col("n_words") >= window)
+            rows.select(
+                "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+                F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+            ).write.parquet(f"{self.home}/decided-{batch}")
+        added = {kind: [*state[kind], name] for kind, name in (("grams", grams), ("windows", windows), ("texts", known))}
+        spent = []
+        for kind in KINDS:
+            if len(added[kind]) > self.max_runs:
+                spent += added[kind]
+                added[kind] = [self._run(kind, _compacted(kind, [self.spark.table(n) for n in added[kind]]))]
+        self._commit({**state, **added, "numbers": state["numbers"] if last is None else last + 1, "batches": [*state["batches"], batch]})
+        self._drop(spent)
+        return self.spark.read.schema("doc_id long, n_words long, n_removed long, kept_sha256 string").parquet(f"{self.home}/decided-{batch}")
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{self.home}/{name}")
 
     def close(self) -> None:
-        """Drops the runs and their files."""
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
-            delete(self.spark, f"{self.home}/{r}")
-        self.runs = []
-
-    def removed(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 200_000) -> DataFrame:
-        """digest, n_removed, sha of what is left, for texts that lose words; docs: all documents that were added."""
-        window = self.window
-        met = self.texts.select("tid", "first", F.explode("fps").alias("fp")).join(self.hits.distinct(), "fp")
-        flagged = self.scratch.stored(met.groupBy("tid", "first").agg(F.collect_set("fp").alias("hit")), "fingerprint-flagged")
-        wanted = self.scratch.stored(self.texts.select("tid", "digest", "first").join(flagged.select("tid"), "tid"), "fingerprint-wanted")
-        held = self.scratch.stored(fetched(docs, key, text, wanted, broadcast_rows, "digest", text_digest).join(flagged, "tid"), "fingerprint-held")
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in pieces(whole, 2, PART // 4):
-                    words = Words(batch.column(2))
-                    grams = words.hashes(np.arange(len(words.start)), GRAM)
-                    start, place, at = anchors(grams, words.at, GRAM, window)
-                    hit = np.zeros(len(start), bool)
-                    fps = grams[place].view(np.int64)
-                    lists = batch.column(3)
-                    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
-                    for i in range(batch.num_rows):
-                        hit[at[i] : at[i + 1]] = np.isin(fps[at[i] : at[i + 1]], values[ends[i] : ends[i + 1]])
-                    row = np.repeat(np.arange(batch.num_rows), np.diff(at))[hit]
-                    start = start[hit]
-                    hashes, checks = words.hashes(start, window).view(np.int64), words.checks(start, window).view(np.int64)
-                    ids, firsts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    for k in range(0, len(start), 1 << 17):
-                        at_ = slice(k, k + (1 << 17))
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes[at_]), pa.array(checks[at_]), pa.array(ids[row[at_]]), pa.array(firsts[row[at_]]), pa.array((start[at_] - words.at[row[at_]]).astype(np.int32))], ["h", "check", "tid", "first", "place"])
-
-        found = arrow_map(held.select("tid", "first", "text", "hit"), windows, "h long, check long, tid long, first long, place int")
-        # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
-        least = found.groupBy("h", "check").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h", "check", "least")
-        gone = found.join(self.scratch.stored(least, "fingerprint-windows"), ["h", "check"]).filter("least < first")
-        gone = gone.groupBy("tid").agg(F.collect_list("place").alias("places"))
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in pieces(whole, 1, PART):
-                    words, lists = Words(batch.column(1)), batch.column(2)
-                    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
-                    lost, shas = [], []
-                    for i in range(batch.num_rows):
-                        n = words.at[i + 1] - words.at[i]
-                        step = np.bincount(values[ends[i] : ends[i + 1]], minlength=n + 1)
-                        covered = np.cumsum(step) - np.concatenate((np.zeros(window, np.int64), np.cumsum(step)))[: n + 1] > 0
-                        left = np.flatnonzero(~covered[:n])
-                        lost.append(n - len(left))
-                        shas.append(hashlib.sha256(words.joined(words.at[i] + left)).hexdigest())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["digest", "n_removed", "cut_sha"])
-
-        lost = held.select("tid", "digest", "text").join(gone, "tid").select("digest", "text", "places")
-        return stored(arrow_map(lost, cut, "digest string, n_removed long, cut_sha string"), "fingerprint-cut")
+        """Takes the runs from this session's catalog; the index stays in its folder."""
+        for kind in KINDS:
+            for name in self.state[kind]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def remove(self) -> None:
+        """Deletes the index; decisions that add() has returned stay."""
+        self._drop([name for kind in KINDS for name in self.state[kind]])
+        for name in ("manifests", *(f"base-{b}" for b in self.state["batches"])):
+            delete(self.spark, f"{self.home}/{name}")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _compacted(kind: str, runs: list[DataFrame]) -> DataFrame:
+    """One run of several: fingerprints add up, a window counts once, texts are in one run only."""
+    keys = KINDS[kind]
+    if kind == "grams":
+        return _union(runs).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("tid").alias("tid"))
+    if kind == "windows":
+        return _union([r.select(*keys) for r in runs]).distinct()
+    return _union(runs).groupBy(*keys).agg(F.min("tid").alias("tid"), F.min("first").alias("first"))
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, max_runs: int = MAX_RUNS) -> DataFrame:
@@ -209,21 +306,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ident = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
     cuts = docs.agg(F.percentile_approx(ident, [k / batches for k in range(1, batches)] or [1.0])).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
+    rows = []
     try:
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
             batch = docs if low is None else docs.filter(ident > low)
-            index.add(batch if high is None else batch.filter(ident <= high), key, text)
-        cut = index.removed(docs, key, text)
+            rows.append(index.add(batch if high is None else batch.filter(ident <= high), key, text))
     finally:
-        index.close()
-        index.scratch.clear()
-    firsts = stored(index.base.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first")), "fingerprint-firsts")
-    out = index.base.join(firsts, "digest").join(cut, "digest", "left")
-    copy = (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first")) & (F.col("n_words") >= window)
-    return out.select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-    )
+        index.remove()
+    return _union(rows)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,14 +76,76 @@ def test_substrings_shared_with_texts_without_id(spark, broadcast):
     texts = [(None, words(0, 80)), (None, words(1000, 1070)), (3, words(200, 230) + words(10, 75)), (4, words(1000, 1060) + words(300, 310)), (5, words(400, 470))]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(3)
     index = fingerprint_index.FingerprintIndex(spark)
-    index.add(df, "doc_id", "text")
-    cut = {r.n_removed for r in index.removed(df, "doc_id", "text", broadcast).collect()}
-    index.close()
+    cut = {r.n_removed for r in index.add(df, "doc_id", "text", broadcast).collect()} - {0}
+    index.remove()
     assert cut == {65, 60}
     want = sorted(words_brute([(i if i is not None else -1, " ".join(w)) for i, w in texts], 50), key=repr)
     assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in fingerprint_index.substring_dedup(df).collect()), key=repr) == want
 
 
+def ordered_brute(batches, window):
+    """(batch, doc_id, n_words, n_removed): an earlier batch counts as earlier whatever its ids, then the smaller doc_id."""
+    split = [((b, i), (t or "").encode().split()) for b, rows in enumerate(batches) for i, t in rows]
+    first = {}
+    for at, w in sorted(split, key=lambda x: x[0]):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), at)
+    out = []
+    for at, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < at:
+                gone[k : k + window] = [True] * window
+        out.append((*at, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_runs", [1, 3])
+def test_closed_index_takes_a_further_batch(spark, corpus, tmp_path, max_runs):
+    words = lambda a, b: " ".join(f"v{k}" for k in range(a, b))
+    # Batch 1 and 2 share a passage; 3 has it again and one that only batch 0 has; ids of batch 3 are smaller than all.
+    extra = [[(900, words(0, 200))], [(901, words(500, 640))], [(902, "q " + words(510, 600))], [(-5, words(520, 590) + " r " + words(20, 90)), (-4, words(0, 200))]]
+    rows = [corpus[k::5] + (extra[k] if k < 4 else []) for k in range(4)]
+    home, got_ = f"file://{tmp_path}/index", []
+    for k, batch in enumerate(rows):
+        index = fingerprint_index.FingerprintIndex(spark, max_runs=max_runs, home=home)  # opened again for each batch
+        assert len(index.state["batches"]) == k and all(len(index.state[kind]) <= max_runs for kind in fingerprint_index.KINDS)
+        out = index.add(spark.createDataFrame(batch, "doc_id long, text string"), "doc_id", "text", 0 if k % 2 else 20_000)
+        got_ += [(k, r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()]
+        index.close()
+    assert sorted(got_) == ordered_brute(rows, 50)
+
+
+def test_batch_that_died_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    text = " ".join(f"u{k}" for k in range(80))
+    docs = lambda i: spark.createDataFrame([(i, text)], "doc_id long, text string")
+    index = fingerprint_index.FingerprintIndex(spark, home=f"file://{tmp_path}/index")
+    with monkeypatch.context() as m:
+        m.setattr(index, "_commit", lambda state: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            index.add(docs(1), "doc_id", "text")
+    index = fingerprint_index.FingerprintIndex(spark, home=f"file://{tmp_path}/index")
+    assert [r.n_removed for r in index.add(docs(2), "doc_id", "text").collect()] == [0]
+    stale = fingerprint_index.FingerprintIndex(spark, home=f"file://{tmp_path}/index")
+    assert [r.n_removed for r in index.add(docs(3), "doc_id", "text").collect()] == [80]
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale.add(docs(4), "doc_id", "text")
+    with pytest.raises(ValueError, match="windows of 50"):
+        fingerprint_index.FingerprintIndex(spark, window=40, home=f"file://{tmp_path}/index")
+    index.close()
+
+
+def test_history_is_met_without_a_shuffle(spark, tmp_path):
+    index = fingerprint_index.FingerprintIndex(spark, home=f"file://{tmp_path}/index")
+    for k in range(2):
+        index.add(spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(k * 40, k * 40 + 120)))], "doc_id long, text string"), "doc_id", "text")
+    for kind, keys in fingerprint_index.KINDS.items():
+        a, b = index._runs(kind)
+        plan = a.select(*keys).join(b.select(*keys).hint("merge"), list(keys))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
 def bytes_brute(corpus, window):
     seen, out = {}, []
     raw = [(i, (t or "").encode()) for i, t in corpus]
