@@ -15,7 +15,8 @@ whose windows are added now.  With more than MAX_RUNS runs of a kind they are co
 
 An index in a folder given by the caller stays there: it can be opened again, in another session too, and take further
 batches without the earlier documents.  A batch counts once its manifest is in place, by one rename; what a batch that died
-has written is not read.  One writer at a time.  Texts are numbered below 2^63, 2^33 for each task of a batch.
+has written is not read.  One writer at a time.  A text's number is that of its
+row with the smallest doc_id; rows are numbered below 2^63, 2^33 for each task of a batch.
 
 Equal texts, known by their whole SHA-256, are indexed once: a later copy of a text goes as a whole if it has a window's length.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, arrow_map, buffers, delete, mixed, pieces, powers, prefix_hash, range_hash, word_bounds, work_dir
-from .winnow import LEAST, anchors, numbered, text_digest
+from .winnow import LEAST, anchors, text_digest
 
 WINDOW, GRAM = 50, 10
 MAX_RUNS = 2
@@ -79,8 +80,8 @@ class Words:
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.start[words].tolist(), self.end[words].tolist(), strict=True)])
 
 
-def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """doc_id, digest (of the text), text, n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
+def _base(docs: DataFrame, key: str, text: str, window: int, beyond: int) -> DataFrame:
+    """doc_id, digest (of the text), text, row (a number from `beyond` on, to be written out at once), n_words, sha (of the words joined by spaces), fps (anchors, each once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -97,10 +98,10 @@ def _base(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                     fps.append(np.unique(grams[own[np.diff(own, prepend=-1) != 0]]).view(np.int64) if len(own) else np.zeros(0, np.int64))
                     fp_at.append(fp_at[-1] + len(fps[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(fp_at, pa.int32()), pa.array(np.concatenate(fps)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "digest", "text", "n_words", "sha", "fps"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(words.at)), pa.array(shas, pa.string()), lists], ["doc_id", "digest", "text", "row", "n_words", "sha", "fps"])
 
-    columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
-    return arrow_map(columns, run, "doc_id long, digest string, text string, n_words long, sha string, fps array<long>")
+    columns = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"), (F.monotonically_increasing_id() + F.lit(beyond)).alias("row"))
+    return arrow_map(columns, run, "doc_id long, digest string, text string, row long, n_words long, sha string, fps array<long>")
 
 
 def _windows(held: DataFrame, window: int) -> DataFrame:
@@ -203,23 +204,24 @@ class FingerprintIndex:
         return [self.spark.table(name) for name in self.state[kind]]
 
     def _text_of(self, wanted: DataFrame, batches: list[str], broadcast_rows: int) -> DataFrame:
-        """wanted (tid, digest, first, ...) with the text, one row for each; up to broadcast_rows rows of it are broadcast."""
+        """wanted (tid, first, hit) with the text; up to broadcast_rows rows of it are broadcast, and then no text is shuffled."""
         ids = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-        texts = self.spark.read.schema("doc_id long, digest string, text string").parquet(*[f"{self.home}/base-{b}" for b in batches])
-        return texts.select(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), "digest", "text").join(ids, ["first", "digest"]).dropDuplicates(["tid"])
+        texts = self.spark.read.schema("row long, text string").parquet(*[f"{self.home}/base-{b}" for b in batches])
+        return texts.withColumnRenamed("row", "tid").withColumn("text", F.coalesce("text", F.lit(""))).join(ids, "tid")
 
-    def add(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 20_000) -> DataFrame:
+    def add(self, docs: DataFrame, key: str, text: str, broadcast_rows: int = 50_000) -> DataFrame:
         """Indexes a batch; returns doc_id, n_words, n_removed, kept_sha256 for each of its rows, stored below the index."""
         batch, window, state = uuid.uuid4().hex[:16], self.state["window"], self.state
         with Scratch(self.spark) as scratch:
-            _base(docs, key, text, window).write.parquet(f"{self.home}/base-{batch}")
+            _base(docs, key, text, window, state["numbers"]).write.parquet(f"{self.home}/base-{batch}")
             base = self.spark.read.parquet(f"{self.home}/base-{batch}")
-            texts = base.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first"), F.any_value("fps").alias("fps"))
+            least = F.min(F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), F.col("row").alias("tid"))).alias("least")
+            texts = base.groupBy("digest").agg(least, F.any_value("fps").alias("fps")).select("digest", "least.*", "fps")
             for old in self._runs("texts"):
                 texts = texts.join(old.select("digest").hint("merge"), "digest", "left_anti")
-            texts = scratch.stored(numbered(texts, state["numbers"]), "fingerprint-texts")
-            last = texts.agg(F.max("tid")).first()[0]
-            known = self._run("texts", texts.select("digest", "tid", "first").repartition(state["buckets"], "digest"))
+            texts = scratch.stored(texts, "fingerprint-texts")
+            last = base.agg(F.max("row")).first()[0]
+            known = self._run("texts", texts.select("digest").repartition(state["buckets"], "digest"))
             held_by = texts.select("tid", F.explode("fps").alias("fp"))
             grams = self._run("grams", held_by.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid")))
 
@@ -229,13 +231,13 @@ class FingerprintIndex:
             hits = new.filter("n > 1").select("fp")
             hits = scratch.stored((hits.union(earlier.select("fp")) if met else hits).distinct(), "fingerprint-hits")
             flagged = held_by.join(hits, "fp").groupBy("tid").agg(F.collect_set("fp").alias("hit"))
-            wanted = scratch.stored(texts.select("tid", "digest", "first").join(flagged, "tid"), "fingerprint-wanted")
+            wanted = scratch.stored(texts.select("tid", "first").join(flagged, "tid"), "fingerprint-wanted")
             held = scratch.stored(self._text_of(wanted, [batch], broadcast_rows), "fingerprint-held")
             found = _windows(held, window)
             every = found.select("h", "check", "first", F.lit(False).alias("old"))
             if met:  # one older text holds a fingerprint that was not a hit before
-                once = earlier.filter("n = 1").groupBy("tid").agg(F.collect_set("fp").alias("hit"))
-                once = scratch.stored(_union([r.select("tid", "digest", "first") for r in self._runs("texts")]).join(once, "tid"), "fingerprint-once")
+                once = earlier.filter("n = 1").groupBy("tid").agg(F.lit(0).cast("long").alias("first"), F.collect_set("fp").alias("hit"))
+                once = scratch.stored(once, "fingerprint-once")
                 older = _windows(self._text_of(once, state["batches"], broadcast_rows), window)
                 every = every.union(older.select("h", "check", F.lit(None).cast("long").alias("first"), F.lit(True).alias("old")))
             windows = self._run("windows", every.groupBy("h", "check").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.max("old").alias("old")))
@@ -247,7 +249,8 @@ class FingerprintIndex:
             # Written out, so that the join has a shuffle on either side and a passage that very many texts share is split.
             judged = scratch.stored(judged.filter("old or least < most").select("h", "check", "least", "old"), "fingerprint-windows")
             gone = found.join(judged, ["h", "check"]).filter("old or least < first").groupBy("tid").agg(F.collect_list("place").alias("places"))
-            cut = scratch.stored(_cut(held.join(gone, "tid"), window), "fingerprint-cut")
+            lost = held.select("tid", "text").join(gone, "tid").join(texts.select("tid", "digest"), "tid")
+            cut = scratch.stored(_cut(lost, window), "fingerprint-cut")
 
             rows = base.join(texts.select("digest", "first"), "digest", "left").join(cut, "digest", "left")
             copy = (F.col("first").isNull() | (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first"))) & (F.col("n_words") >= window)
@@ -297,7 +300,7 @@ def _compacted(kind: str, runs: list[DataFrame]) -> DataFrame:
         return _union(runs).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("tid").alias("tid"))
     if kind == "windows":
         return _union([r.select(*keys) for r in runs]).distinct()
-    return _union(runs).groupBy(*keys).agg(F.min("tid").alias("tid"), F.min("first").alias("first"))
+    return _union(runs).distinct()
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4, max_runs: int = MAX_RUNS) -> DataFrame:
