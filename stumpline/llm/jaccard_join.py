@@ -7,8 +7,9 @@ to 64-bit hashes of shingles and sets.
 2. Prefixes: of a set of s shingles in hash order the first s - ceil(3s/4) + k hold at least k of any partner's prefix
    (k = s // 20 + 1).  Prefix tokens travel once, packed by bucket; a bucket keeps the tokens that two sets share.
    Two sets that link share the smaller k of theirs at least; sets with fewer shared tokens are done.
-3. Stars: every set is tried against one pivot of its tokens, in a few rounds with other pivots; links that verify make
-   components, which settles large groups of near copies with a few pairs a set.
+3. Stars: every set is tried against one pivot of its tokens, in a few rounds with other pivots, as long as a round still
+   closes a tenth of the tokens; links that verify make components, which settles large groups of near copies with a few
+   pairs a set.
 4. Signature trees: sets that share tokens but no component yet are grouped by the pivot of these tokens, and each group
    makes a tree: leaves are sets with bitmaps of their shingles and their size, nodes hold the OR of their bitmaps and
    the range of sizes.  A dual traversal starts at (root, root) and drops a pair of nodes whose largest possible overlap
@@ -384,19 +385,16 @@ def _tree_candidates(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("p", "i", "j", "blk", "sig", "comp", "size", "open", "bits", "tokens"), run, "a long, b long, n long, least long")
 
 
-def _open_rows(tokens: DataFrame, comp: DataFrame | None, into: Scratch) -> DataFrame:
+def _open_rows(tokens: DataFrame, comp: DataFrame, into: Scratch) -> DataFrame:
     """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link.
 
     open: how many such tokens the set has.  Components only grow together, so what is left out stays out: the rows of
-    one round are the tokens of the next.  comp: None where every set is a component of its own.
+    one round are the tokens of the next.
     """
     tokens = tokens.select("token", "sig", "size")
     with Scratch(tokens.sparkSession) as scratch:
-        if comp is None:
-            placed = tokens.withColumn("comp", F.col("sig"))
-        else:
-            placed = tokens.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-            placed = scratch.stored(placed, "placed")
+        placed = tokens.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        placed = scratch.stored(placed, "placed")
         apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
         rows = scratch.stored(placed.join(scratch.stored(apart, "open-tokens"), "token"), "open")
         may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("open"), F.max("size").alias("s")).filter(_partners_share("open", "s")).select("sig", "open")
@@ -420,11 +418,15 @@ def _with_end(items):
 
 
 def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block: int) -> DataFrame:
-    """All links that components need: rounds of stars, then signature trees over what is still apart.  held: has the rows."""
+    """All links that components need: rounds of stars, then signature trees over what is still apart.  held: has the rows.
+
+    A round that closes less than a tenth of the rows is the last: what other pivots would close, the trees close too.
+    """
     spark = full.sparkSession
     links = spark.createDataFrame([], "a long, b long")
+    left = rows.count()
     for seed in range(rounds):
-        if rows.isEmpty():
+        if not left:
             return links
         with Scratch(spark) as scratch:
             new = _verified(_stars(rows, seed, scratch), full)
@@ -432,9 +434,13 @@ def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block:
             break
         links = links.union(new)
         later = Scratch(spark)
-        rows = _open_rows(rows, components(links), later)
+        # One pass joins the stars of a round, another those of each round before; labels that fall short lose no link.
+        rows = _open_rows(rows, components(links, repeats=False, passes=seed + 1), later)
         held.clear()
         held = later
+        before, left = left, rows.count()
+        if 10 * left > 9 * before:
+            break
     with held, Scratch(spark) as scratch:
         pivots = scratch.stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
         groups = rows.join(pivots, "token").groupBy("p", "sig").agg(F.collect_list("token").alias("tokens"), *(F.max(c).alias(c) for c in ("size", "comp", "open")))  # a set's own tokens
@@ -457,8 +463,8 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
         prefix = "least(n_shingles, n_shingles - (3 * n_shingles + 3) div 4 + n_shingles div 20 + 1)"
         tokens = sets.agg(F.coalesce(F.sum(F.expr(prefix)), F.lit(0))).first()[0]
         shared = scratch.stored(_shared_tokens(docs, text, partitions, max(partitions, -(-tokens // TOKENS))), "shared-tokens")
-        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("n")).filter(_partners_share("n", "size")).select("sig")
-        rows = _open_rows(scratch.stored(shared.join(enough, "sig"), "tokens"), None, held)
+        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("open")).filter(_partners_share("open", "size")).select("sig", "open")
+        rows = held.stored(shared.join(enough, "sig").withColumn("comp", F.col("sig")), "tokens")
 
     full = f"sets_{uuid.uuid4().hex}"
     with Scratch(spark) as scratch:
@@ -467,7 +473,7 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
         whole = _full_sets(fetched(docs, key, text, scratch.stored(chosen.select("row.*"), "chosen"), broadcast_rows))
         whole.repartition(partitions, "sig").write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
         try:
-            comp = components(_links(rows, held, spark.table(full), rounds, block))
+            comp = components(_links(rows, held, spark.table(full), rounds, block), repeats=False)
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {full}")
 

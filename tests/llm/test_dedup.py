@@ -258,12 +258,37 @@ def test_scaled_bitmaps_drop_only_what_cannot_link():
     assert jaccard_join.overlap_enough(scaled, size, x, y).tolist() == [True, False, False, True]
 
 
+def test_stars_end_where_they_close_little(spark, monkeypatch):
+    """Pairs that all share one passage: a round of stars finds the pair of its pivot alone, the trees find the others."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    corpus = []
+    for k in range(30):
+        own = " ".join(f"w{k}x{j}" for j in range(40))
+        corpus += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {own} end")]
+    rounds, opened = [], []
+    monkeypatch.setattr(jaccard_join, "_stars", lambda rows, seed, scratch, f=jaccard_join._stars: rounds.append(seed) or f(rows, seed, scratch))
+    monkeypatch.setattr(jaccard_join, "_open_rows", lambda *a, f=jaccard_join._open_rows: opened.append(1) or f(*a))
+    found = jaccard_join.similar_sets(spark.createDataFrame(corpus, "doc_id long, text string"))
+    assert got(found, "n_shingles", "component_id") == sets_brute(corpus)
+    assert len(rounds) == len(opened) <= 2
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 105), (105, 103), (7, 7)]
     out = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(61)}, 100: 100, 103: 100, 105: 100}
 
 
+def test_components_after_few_passes(spark):
+    """Labels that are cut short join connected ids only, and repeats change nothing."""
+    links = [(k, k + 1) for k in range(60)] + [(100, 105), (105, 103), (103, 105), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    whole = {r.id: r.comp for r in components(df).collect()}
+    assert {r.id: r.comp for r in components(df, repeats=False).collect()} == whole
+    short = {r.id: r.comp for r in components(df, repeats=False, passes=1).collect()}
+    assert short != whole and set(short) == set(whole) and all(whole[i] == whole[c] <= c <= i for i, c in short.items())
+
+
 def test_shingles_of_a_column():
     hashes, at = jaccard_join.shingle_sets(pa.array(["a b c d e f", "A b c d e F", None, "a b", "a b c d e f a b c d e f"]))
     assert np.diff(at).tolist() == [2, 2, 0, 1, 6] and hashes[at[0] : at[1]].tolist() == hashes[at[1] : at[2]].tolist()
