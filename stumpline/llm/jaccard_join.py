@@ -13,9 +13,12 @@ to 64-bit hashes of shingles and sets.
 4. Signature trees: sets that share tokens but no component yet are grouped by the pivot of these tokens, and each group
    makes a tree: leaves are sets with bitmaps of their shingles and their size, nodes hold the OR of their bitmaps and
    the range of sizes.  A dual traversal starts at (root, root) and drops a pair of nodes whose largest possible overlap
-   is too small, or that lies in one component.  A group of more than BLOCK sets is split into blocks, and pairs of
-   blocks are traversed apart.
-5. Pairs that come up for enough tokens are verified on the whole sets; all links together give the components.
+   is too small, or that lies in one component.  A group of more than BLOCK sets (or SHINGLES shingles) is split into
+   blocks, and pairs of blocks are traversed apart.
+5. Sets that may overlap enough by their bitmaps make candidate components; all pairs that still may link lie inside one.
+   The whole sets of each travel there once, and a second tree verifies its pairs, a few at a time.  In both traversals
+   what is joined is one component from then on and its pairs are dropped, so near copies give fewer rows than they are
+   sets.  All links together give the components.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null or wordless text has an empty set and
 links with nothing; fewer than five words make one shingle; empty table, empty result; rows that repeat a doc_id get a
@@ -26,7 +29,7 @@ component has, null if it has none.  Only the named columns are read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ WORDS = 5
 BITS = 2048
 FANOUT = 8
 BLOCK = 4096  # sets of a group that one tree holds; more are split into blocks
+SHINGLES = 2 << 20  # shingles of a block, about
+HELD = 16 << 20  # bytes of groups that are traversed together, about
 PART = 1 << 20
 TOKENS = 2 << 20  # prefix tokens of a bucket, about
 #: Odd multipliers of the words of a shingle.
@@ -136,16 +141,19 @@ def overlap_enough(scaled: list[bytes], size: np.ndarray, x: np.ndarray, y: np.n
 # -- signature trees ------------------------------------------------------------------------------------------------
 
 
-def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one group and different components that may overlap enough, by dual traversal.
+def tree_walk(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 14, known: np.ndarray | None = None) -> Generator[tuple[np.ndarray, np.ndarray], bool | None, None]:
+    """Pairs (i, j) of rows of one group and different components that may overlap enough, by dual traversal, `most` at a time.
 
-    side: where given, only pairs of sides 0 and 1 count.  most: node pairs that are expanded at once.
+    side: where given, only pairs of sides 0 and 1 count.  most: node pairs that are expanded at once.  known: other
+    components, whose pairs do not count either.  Who changes comp between two steps (components may only grow together)
+    sends True, and pairs that lie in one component now are dropped.
     """
     order = np.lexsort((size, group))
     g, s = group[order], size[order].astype(np.int64)
     filled = np.bitwise_count(bits[order]).sum(1, dtype=np.int64)
     c, d = comp[order], np.zeros(len(g), np.int64) if side is None else side[order]
-    levels = [{"group": g, "bits": bits[order], "low": s, "high": s, "slack": s - filled, "c0": c, "c1": c, "d0": d, "d1": d}]
+    e = c if known is None else known[order]
+    levels = [{"group": g, "bits": bits[order], "low": s, "high": s, "slack": s - filled, "c0": c, "c1": c, "d0": d, "d1": d, "e0": e, "e1": e}]
     while True:
         below = levels[-1]
         heads = np.flatnonzero(np.diff(below["group"], prepend=below["group"][:1] - 1))
@@ -155,16 +163,18 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.n
         child = np.flatnonzero(inside % FANOUT == 0)
         levels.append(
             {"group": below["group"][child], "bits": np.bitwise_or.reduceat(below["bits"], child, axis=0), "start": child, "count": np.diff(np.append(child, len(inside)))}
-            | {k: np.minimum.reduceat(below[k], child) for k in ("low", "c0", "d0")}
-            | {k: np.maximum.reduceat(below[k], child) for k in ("high", "slack", "c1", "d1")}
+            | {k: np.minimum.reduceat(below[k], child) for k in ("low", "c0", "d0", "e0")}
+            | {k: np.maximum.reduceat(below[k], child) for k in ("high", "slack", "c1", "d1", "e1")}
         )
     top = len(levels) - 1
     roots = np.arange(len(levels[top]["group"]))
-    work, found = [(top, roots[k : k + most], roots[k : k + most]) for k in range(0, len(roots), most)], []
+    work = [(top, roots[k : k + most], roots[k : k + most]) for k in range(0, len(roots), most)]
     while work:
         level, a, b = work.pop()
         n = levels[level]
         apart = (n["c0"][a] != n["c0"][b]) | (n["c0"][a] != n["c1"][a]) | (n["c0"][b] != n["c1"][b])
+        if known is not None:
+            apart &= (n["e0"][a] != n["e0"][b]) | (n["e0"][a] != n["e1"][a]) | (n["e0"][b] != n["e1"][b])
         if side is not None:
             apart &= (n["d0"][a] != n["d1"][b]) | (n["d1"][a] != n["d0"][b])
         near = (4 * n["high"][a] >= 3 * n["low"][b]) & (4 * n["high"][b] >= 3 * n["low"][a]) & apart
@@ -188,10 +198,76 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.n
             x, y = n["bits"][a], n["bits"][b]
             over = np.minimum(n["low"][a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n["low"][b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
             keep = 7 * over >= need
-            found.append((order[a[keep]], order[b[keep]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            if keep.any() and (yield order[a[keep]], order[b[keep]]):
+                levels[0]["c0"] = levels[0]["c1"] = comp[order]
+                for below, n in zip(levels, levels[1:], strict=False):
+                    n["c0"], n["c1"] = np.minimum.reduceat(below["c0"], n["start"]), np.maximum.reduceat(below["c1"], n["start"])
+
+
+def tree_pairs(group: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tree_walk() together."""
+    found = [np.zeros((2, 0), np.int64), *(np.stack(f) for f in tree_walk(group, size, comp, bits, side, most))]
+    x, y = np.concatenate(found, axis=1)
+    return x, y
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) overlap by three quarters or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 7 * both >= 3 * (len(x) + len(y))
+
+
+class Joined:
+    """Components of rows that grow together: label[row] is a number of the row's component."""
+
+    def __init__(self, comp: np.ndarray):
+        self.comps, self.of = np.unique(comp, return_inverse=True)
+        self.parent = np.arange(len(self.comps))
+        self.label = self.of.copy()
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        parent = self.parent.tolist()
+        for a, b in zip(self.label[x].tolist(), self.label[y].tolist(), strict=True):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        self.parent = np.array(parent)
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        self.label[:] = self.parent[self.of]
+
+    def settle(self, x: np.ndarray, y: np.ndarray, links) -> bool:
+        """Tries the pairs (x, y) by links(x, y), those of one component never; whether any has joined two.
+
+        Of each component one pair is tried at first, then twice as many each time: copies are joined after a few.
+        """
+        each, any_ = 1, False
+        while True:
+            apart = self.label[x] != self.label[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                return any_
+            order = np.argsort(self.label[x], kind="stable")
+            x, y = x[order], y[order]
+            own = self.label[x]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            now = np.arange(len(x)) - np.repeat(heads, np.diff(np.append(heads, len(x)))) < each
+            ok = links(x[now], y[now])
+            if ok.any():
+                self.join(x[now][ok], y[now][ok])
+                any_ = True
+            x, y, each = x[~now], y[~now], 2 * each
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each component that was joined to another one: the smallest of those joined, and itself."""
+        moved = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return self.comps[self.parent[moved]], self.comps[moved]
 
 
 # -- the join -------------------------------------------------------------------------------------------------------
@@ -302,13 +378,7 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(7 * both >= 3 * (len(x) + len(y)))
+            ok = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
     own = lambda c: full.select(F.col("sig").alias(c), F.col("hashes").alias(f"hashes_{c}")).hint("merge")
@@ -320,57 +390,55 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
         return stored(arrow_map(whole, exact, "a long, b long").repartition(few), "links")
 
 
-def _tree_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (p, i, j, blk, sig, comp, size, open, bits, tokens): blocks i and j of group p; of one block if i = j.
+def _tree_joined(rows: DataFrame, exact: bool) -> DataFrame:
+    """a, b: what joins components of sets among rows (p, i, j, blk, sig, comp, size, bits, hashes): blocks i and j of group p.
 
-    n: tokens of the group that both have; least: the smaller of their sizes.  open: all open tokens of a set; what lies
-    outside the group bounds what a pair may share elsewhere, and pairs that cannot come to enough tokens are dropped.
+    Of one block each with each if i = j, else only pairs across; pairs of one comp never.  exact: a and b are comps that
+    linked sets join.  Otherwise (without hashes) they are sets that pairs which may link by their bitmaps join.  What is
+    traversed together gives each b once.
     """
+    columns = ["p", "i", "j", "blk", "sig", "comp", "size", "bits", *(["hashes"] if exact else [])]
 
     def solve(part: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        part = part.combine_chunks()
         scaled = part.column("bits").to_pylist()
         bits = np.stack([folded(b, BITS // 8) for b in scaled])
-        sig, size, comp, i, j, open_ = (part.column(c).to_numpy().astype(np.int64) for c in ("sig", "size", "comp", "i", "j", "open"))
+        size, i, j, sig, known = (part.column(c).to_numpy().astype(np.int64) for c in ("size", "i", "j", "sig", "comp"))
+        joined = Joined(known if exact else sig)
+        if exact:
+            data, at = buffers(part.column("hashes"))
+            hashes, at = data.view(np.uint64), (at // 8).tolist()
+
+        def links(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            ok = overlap_enough(scaled, size, x, y)
+            if exact:
+                ok[ok] = [overlap(hashes[at[a] : at[a + 1]], hashes[at[b] : at[b + 1]]) for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True)]
+            return ok
+
         # In a pair of blocks only pairs across count; in a block each with each.
         across = i != j
         side = np.where(part.column("blk").to_numpy() == i, 0, 1)
-        found = [np.zeros((2, 0), np.int64)]
         for which, sides in ((~across, None), (across, side)):
-            at = np.flatnonzero(which)
-            if len(at):
-                x, y = tree_pairs(group[at], size[at], comp[at], bits[at], None if sides is None else sides[at])
-                found.append(np.stack((at[x], at[y])))
-        x, y = np.concatenate(found, axis=1)
-        enough = overlap_enough(scaled, size, x, y)
-        x, y = x[enough], y[enough]
-        order = np.argsort(group[x], kind="stable")
-        x, y = x[order], y[order]
-        lists = part.column("tokens").chunk(0)
-        times = np.zeros(len(x), np.int64)
-        heads = np.flatnonzero(np.diff(group[x], prepend=-1))
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=False):  # of each group with pairs: which row has which token
-            low, high = np.searchsorted(group, [group[x[a]], group[x[a]] + 1])
-            own = lists.slice(low, high - low)
-            values, which = np.unique(own.flatten().to_numpy(), return_inverse=True)
-            has = np.zeros((high - low, (len(values) + 7) // 8 * 8), bool)
-            has[np.repeat(np.arange(high - low), own.value_lengths().to_numpy()), which] = True
-            packed = np.packbits(has, axis=1)
-            for k in range(a, b, 1 << 14):
-                c = slice(k, min(b, k + (1 << 14)))
-                times[c] = np.bitwise_count(packed[x[c] - low] & packed[y[c] - low]).sum(1, dtype=np.int64)
-        elsewhere = open_ - lists.value_lengths().to_numpy()
-        least = np.minimum(size[x], size[y])
-        may = times + np.minimum(elsewhere[x], elsewhere[y]) >= least_shared(least)
-        s, t, times, least = sig[x[may]], sig[y[may]], times[may], least[may]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(times), pa.array(least)], ["a", "b", "n", "least"])
+            own = np.flatnonzero(which)
+            if not len(own):
+                continue
+            comp = joined.label[own]
+            walk = tree_walk(group[own], size[own], comp, bits[own], None if sides is None else sides[own], known=known[own])
+            pairs = next(walk, None)
+            while pairs is not None:
+                changed = joined.settle(own[pairs[0]], own[pairs[1]], links)
+                comp[:] = joined.label[own]
+                try:
+                    pairs = walk.send(changed)
+                except StopIteration:
+                    break
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in joined.edges()], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
             if batch is not None:
                 rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-                if rest.num_rows < 4 * BLOCK:
+                if rest.nbytes < HELD:
                     continue
             if rest is None or not rest.num_rows:
                 continue
@@ -382,14 +450,23 @@ def _tree_candidates(rows: DataFrame) -> DataFrame:
                 yield solve(rest.slice(0, upto), np.cumsum(new)[:upto])
             rest = rest.slice(upto)
 
-    return arrow_map(rows.select("p", "i", "j", "blk", "sig", "comp", "size", "open", "bits", "tokens"), run, "a long, b long, n long, least long")
+    return arrow_map(rows.select(*columns), run, "a long, b long")
+
+
+def _blocked(groups: DataFrame, full: DataFrame, block: int, scratch: Scratch, columns: list[str]) -> DataFrame:
+    """The rows of groups (p, sig, size, comp) dealt to pairs of blocks (i, j), sorted by these, with columns of full."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / SHINGLES)).cast("int")
+    apart = F.min("comp") != F.max("comp")  # a group of one component has nothing to join
+    count = scratch.stored(groups.groupBy("p").agg(blocks.alias("blocks"), apart.alias("apart")).filter("apart").select("p", "blocks"), "blocks")
+    placed = groups.join(count, "p").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    return placed.join(full.select("sig", *columns), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
 
 
 def _open_rows(tokens: DataFrame, comp: DataFrame, into: Scratch) -> DataFrame:
     """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link.
 
-    open: how many such tokens the set has.  Components only grow together, so what is left out stays out: the rows of
-    one round are the tokens of the next.
+    Components only grow together, so what is left out stays out: the rows of one round are the tokens of the next.
     """
     tokens = tokens.select("token", "sig", "size")
     with Scratch(tokens.sparkSession) as scratch:
@@ -397,7 +474,7 @@ def _open_rows(tokens: DataFrame, comp: DataFrame, into: Scratch) -> DataFrame:
         placed = scratch.stored(placed, "placed")
         apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
         rows = scratch.stored(placed.join(scratch.stored(apart, "open-tokens"), "token"), "open")
-        may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("open"), F.max("size").alias("s")).filter(_partners_share("open", "s")).select("sig", "open")
+        may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("open"), F.max("size").alias("s")).filter(_partners_share("open", "s")).select("sig")
         return into.stored(rows.join(scratch.stored(may, "open-sets"), "sig"), "open")
 
 
@@ -443,14 +520,11 @@ def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block:
             break
     with held, Scratch(spark) as scratch:
         pivots = scratch.stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
-        groups = rows.join(pivots, "token").groupBy("p", "sig").agg(F.collect_list("token").alias("tokens"), *(F.max(c).alias(c) for c in ("size", "comp", "open")))  # a set's own tokens
-        groups = scratch.stored(groups, "groups")
-        count = scratch.stored(groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
-        placed = groups.join(count, "p").withColumn("blk", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
-        placed = placed.join(full.select("sig", "bits"), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
-        pairs = _tree_candidates(placed).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
-        return links.union(_verified(pairs.filter("n >= least div 20 + 1").select("a", "b"), full))
+        groups = scratch.stored(rows.join(pivots, "token").groupBy("p", "sig").agg(F.max("size").alias("size"), F.max("comp").alias("comp")), "groups")
+        may = components(scratch.stored(_tree_joined(_blocked(groups, full, block, scratch, ["bits"]), exact=False), "candidates"))
+        sets = groups.groupBy("sig").agg(F.max("size").alias("size"), F.max("comp").alias("comp"))
+        candidates = scratch.stored(sets.join(may.select(F.col("id").alias("sig"), F.col("comp").alias("p")), "sig"), "candidate-sets")
+        return links.union(stored(_tree_joined(_blocked(candidates, full, block, scratch, ["bits", "hashes"]), exact=True).distinct(), "links"))
 
 
 def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: int, block: int) -> DataFrame:
@@ -463,7 +537,7 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
         prefix = "least(n_shingles, n_shingles - (3 * n_shingles + 3) div 4 + n_shingles div 20 + 1)"
         tokens = sets.agg(F.coalesce(F.sum(F.expr(prefix)), F.lit(0))).first()[0]
         shared = scratch.stored(_shared_tokens(docs, text, partitions, max(partitions, -(-tokens // TOKENS))), "shared-tokens")
-        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("open")).filter(_partners_share("open", "size")).select("sig", "open")
+        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("open")).filter(_partners_share("open", "size")).select("sig")
         rows = held.stored(shared.join(enough, "sig").withColumn("comp", F.col("sig")), "tokens")
 
     full = f"sets_{uuid.uuid4().hex}"

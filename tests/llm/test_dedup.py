@@ -273,6 +273,40 @@ def test_stars_end_where_they_close_little(spark, monkeypatch):
     assert len(rounds) == len(opened) <= 2
 
 
+def test_trees_give_fewer_links_than_sets(spark, monkeypatch):
+    """Near copies that no star has joined: the links to joined components do not grow with the square of their number."""
+    counts = {}
+    for n in (20, 60):
+        corpus = [(k, " ".join(f"w{j}" for j in range(120)) + f" end{k}") for k in range(n)]
+        monkeypatch.setattr(jaccard_join, "components", lambda links, *a, n=n, **k: counts.update({n: links.count()}) or components(links, *a, **k))
+        found = jaccard_join.similar_sets(spark.createDataFrame(corpus, "doc_id long, text string"), rounds=0)
+        assert got(found, "n_shingles", "component_id") == sets_brute(corpus)
+    assert counts == {20: 19, 60: 59}
+
+
+def test_joined_components_are_dropped_from_the_walk():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.append(base[k % 3][rng.permutation(100)[:92]], rng.integers(0, 1 << 60, 4, dtype=np.uint64))) for k in range(90)]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    group, joined, tried = np.zeros(90, int), jaccard_join.Joined(np.arange(1000, 1090)), []
+
+    def links(x, y):
+        tried.extend(zip(x.tolist(), y.tolist(), strict=True))
+        return np.array([jaccard_join.overlap(sets[a], sets[b]) for a, b in zip(x, y, strict=True)], bool)
+
+    walk = jaccard_join.tree_walk(group, np.diff(at), joined.label, jaccard_join.bitmaps(np.concatenate(sets), at), most=64)
+    pairs = next(walk, None)
+    while pairs is not None:
+        try:
+            pairs = walk.send(joined.settle(*pairs, links))
+        except StopIteration:
+            break
+    assert [joined.label[k] for k in range(90)] == [k % 3 for k in range(90)] and len(tried) < 90 * 6
+    a, b = joined.edges()
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((1000 + k % 3, 1000 + k) for k in range(3, 90))
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 105), (105, 103), (7, 7)]
     out = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
