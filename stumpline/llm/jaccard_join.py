@@ -5,11 +5,13 @@ to 64-bit hashes of shingles and sets.
 
 1. Equal sets become one set (`sig`, a hash of the set), so copies never meet each other.
 2. Prefixes: of a set of s shingles in hash order the first s - ceil(3s/4) + k hold at least k of any partner's prefix
-   (k = s // 20 + 1).  Prefix tokens travel once, packed by bucket; a bucket keeps the tokens that two sets share.
-   Two sets that link share the smaller k of theirs at least; sets with fewer shared tokens are done.
+   (k = s // 20 + 1, but PASSAGE at least, or all that a link needs if that is less).  Prefix tokens travel once, packed
+   by bucket; a bucket keeps the tokens that two sets share.  Two sets that link share the smaller k of theirs at least;
+   sets with fewer shared tokens are done.  Others leave out all but one of so many tokens, those that most sets have: of
+   the tokens that two share, the rarest stays in both.  Common passages go that way.
 3. Stars: every set is tried against one pivot of its tokens, in a few rounds with other pivots, as long as a round still
    closes a tenth of the tokens; links that verify make components, which settles large groups of near copies with a few
-   pairs a set.
+   pairs a set.  About SAMPLE / 4 tokens of each set do for that, as the trees get what stars do not find.
 4. Signature trees: sets that share tokens but no component yet are grouped by the pivot of these tokens, and each group
    makes a tree: leaves are sets with bitmaps of their shingles and their size, nodes hold the OR of their bitmaps and
    the range of sizes.  A dual traversal starts at (root, root) and drops a pair of nodes whose largest possible overlap
@@ -33,7 +35,7 @@ from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -48,24 +50,49 @@ SHINGLES = 2 << 20  # shingles of a block, about
 HELD = 16 << 20  # bytes of groups that are traversed together, about
 PART = 1 << 20
 TOKENS = 2 << 20  # prefix tokens of a bucket, about
+PASSAGE = 32  # shingles that sets share without being alike
+SAMPLE = 64  # of this many shingles of a set, those that are prefix tokens serve for stars
+IDS = 1 << 24  # bits of the filter of wanted ids
+CHUNK = 1 << 15  # bits of a row of bitmap_construct_agg
+LONG = 256  # bytes of a word that is hashed as a range
+#: By n: the low n bytes of eight.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Odd multipliers of the words of a shingle.
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; equal words have equal hashes wherever they are."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    length = end - start
+    out = mixed((eight[start] & LOW_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * MIX[0])
+    more, k = np.flatnonzero((length > 8) & (length <= LONG)), 8
+    while len(more):
+        out[more] = mixed(out[more] + MIX[1] ^ eight[start[more] + k] & LOW_BYTES[np.minimum(length[more] - k, 8)])
+        k += 8
+        more = more[length[more] > k]
+    if len(huge := np.flatnonzero(length > LONG)):
+        out[huge] = range_hash(prefix_hash(data), start[huge], end[huge])
+    return out
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text end to end, and their offsets."""
     data, at = buffers(column)
     data = lowered(data)
     start, end, word_at = word_bounds(data, at)
-    words = range_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    words = word_hashes(data, start, end)
     counts = np.diff(word_at)
     shingles = np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
     out_at = np.concatenate(([0], np.cumsum(shingles)))
-    first = spans(word_at[:-1], shingles)
-    have = np.repeat(np.minimum(counts, WORDS), shingles)
-    total = have.astype(np.uint64)
-    for k in range(WORDS):
-        total += np.where(have > k, words[np.minimum(first + k, len(words) - 1)] * MIX[k], np.uint64(0)) if len(words) else np.uint64(0)
+    from_here = np.full(len(words), WORDS, np.uint64)
+    for k in range(min(WORDS, len(words))):
+        from_here[: len(words) - k] += words[k:] * MIX[k]
+    total = from_here[spans(word_at[:-1], shingles)]
+    for n in range(1, WORDS):
+        few = np.flatnonzero(counts == n)
+        total[out_at[few]] = n + sum(words[word_at[few] + k] * MIX[k] for k in range(n))
     hashes = mixed(total)
     for a, b in zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True):
         hashes[a:b].sort()
@@ -83,17 +110,25 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def least_shared(size):
-    """Prefix tokens that a set of this size shares with any partner at least (numbers or arrays)."""
-    return size // 20 + 1
+    """Prefix tokens that a set of this size shares with any partner, or the partner's number if it is smaller (numbers or arrays).
+
+    PASSAGE at least, or all that a link needs: a passage of that many shingles in two small sets is not enough then.
+    """
+    return np.maximum(size // 20 + 1, np.minimum(PASSAGE, (3 * size + 3) // 4))
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
     return np.minimum(size, size - (3 * size + 3) // 4 + least_shared(size))
 
 
+def _least_shared(size: str) -> str:
+    """least_shared() in SQL."""
+    return f"greatest({size} div 20 + 1, least({PASSAGE}, (3 * {size} + 3) div 4))"
+
+
 def _partners_share(n: str, size: str):
     """Whether n shared prefix tokens are enough for a link: the smallest partner has three quarters of the size."""
-    return F.expr(f"{n} >= ((3 * {size} + 3) div 4) div 20 + 1")
+    return F.expr(f"{n} >= {_least_shared(f'((3 * {size} + 3) div 4)')}")
 
 
 def bitmaps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -284,7 +319,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shared_tokens(docs: DataFrame, text: str, partitions: int, buckets: int) -> DataFrame:
-    """token, sig, size of prefix tokens that at least two sets have.
+    """token, sig, size, sets of prefix tokens that at least two sets have; sets: how many.
 
     Packed tokens lie sorted by bucket, so a task holds those of one bucket; copies of a set collapse as they come.
     """
@@ -315,45 +350,88 @@ def _shared_tokens(docs: DataFrame, text: str, partitions: int, buckets: int) ->
                     ["bucket", "tokens", "sigs", "sizes", "counts"],
                 )
 
-    def distinct(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    def distinct(tokens: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Rows (token, sig, size), each once, sorted by token."""
-        tokens, sig, size = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((sig, tokens))
         tokens, sig, size = tokens[order], sig[order], size[order]
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (sig[1:] != sig[:-1])
         return tokens[new], sig[new], size[new]
 
+    def joined(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     def shared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        tokens, sig, size = distinct(held)
+        tokens, sig, size = joined(held)
+        order = np.argsort(tokens)
+        tokens = tokens[order]
         same = tokens[1:] == tokens[:-1]
-        keep = np.zeros(len(tokens), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        at = np.flatnonzero(keep)
+        again = np.zeros(len(tokens), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        at = order[again]  # few of all, and only these need be told apart
+        tokens, sig, size = distinct(tokens[again], sig[at], size[at])
+        head = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] - 1))
+        count = np.diff(np.append(head, len(tokens)))
+        sets = np.repeat(count, count)
+        at = np.flatnonzero(sets > 1)
         for k in range(0, len(at), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at[k : k + (1 << 18)]]) for x in (tokens, sig, size)], ["token", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at[k : k + (1 << 18)]]) for x in (tokens, sig, size, sets)], ["token", "sig", "size", "sets"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, n, most = None, [], 0, TOKENS
         for batch in batches:
-            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and held:
+            # All rows of a batch lie end to end, and sorted by bucket.
+            row_bucket = batch.column(0).to_numpy()
+            tokens, at = buffers(batch.column(1))
+            sigs, sizes, counts = (buffers(batch.column(c))[0].view(kind) for c, kind in ((2, np.int64), (3, np.int32), (4, np.int32)))
+            tokens, sigs, sizes, at = tokens.view(np.int64), np.repeat(sigs, counts), np.repeat(sizes, counts), at // 8
+            first = np.flatnonzero(np.diff(row_bucket, prepend=row_bucket[:1] - 1))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(row_bucket)], strict=True):
+                if row_bucket[a] != bucket and held:
                     yield from shared(held)
                     held, n, most = [], 0, TOKENS
-                bucket = b
-                tokens, sigs, sizes, counts = (np.frombuffer(x, kind) for x, kind in zip(blobs, (np.int64, np.int64, np.int32, np.int32), strict=True))
-                held.append((tokens, np.repeat(sigs, counts), np.repeat(sizes, counts)))
-                n += len(tokens)
+                bucket = row_bucket[a]
+                own = slice(at[a], at[b])
+                held.append((tokens[own], sigs[own], sizes[own]))
+                n += len(tokens[own])
                 if n > most:
-                    held = [distinct(held)]
+                    held = [distinct(*joined(held))]
                     n = len(held[0][0])
                     most = max(TOKENS, 2 * n)
         if held:
             yield from shared(held)
 
     packed = arrow_map(docs.select(text), pack, "bucket int, tokens binary, sigs binary, sizes binary, counts binary")
-    return arrow_map(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), unpack, "token long, sig long, size int")
+    return arrow_map(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), unpack, "token long, sig long, size int, sets long")
+
+
+def _rare_tokens(shared: DataFrame) -> DataFrame:
+    """token, sig, size of the tokens that are left of each set without those that most sets have.
+
+    Whatever links with a set shares at least n of its tokens (_partners_share).  The n - 1 that most sets have may go:
+    the order is the same in all sets, so of the tokens that two share the last in it stays in both.
+    """
+    order = Window.partitionBy("sig").orderBy(F.desc("sets"), "token")
+    return shared.withColumn("n", F.row_number().over(order)).filter(_partners_share("n", "size")).select("token", "sig", "size")
+
+
+def _texts_by_filter(docs: DataFrame, key: str, text: str, first: DataFrame) -> DataFrame:
+    """text of the rows of docs whose id may be one of the column first, by a filter of fixed size; a few others pass too."""
+    place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(LEAST))), F.lit(IDS))
+    chunks = first.select(place(F.col("first")).alias("place")).groupBy(F.expr(f"place div {CHUNK}").alias("chunk")).agg(F.bitmap_construct_agg(F.col("place") % CHUNK).alias("bitmap"))
+    bitmap = np.zeros(IDS // 8, np.uint8)
+    for chunk, part in chunks.collect():  # IDS / CHUNK rows at most
+        bitmap[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(part, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)).select([1])
+
+    return arrow_map(docs.select(place(F.col(key).cast("long")).alias("place"), F.col(text).alias("text")), run, "text string")
 
 
 def _full_sets(texts: DataFrame) -> DataFrame:
@@ -463,29 +541,33 @@ def _blocked(groups: DataFrame, full: DataFrame, block: int, scratch: Scratch, c
     return placed.join(full.select("sig", *columns), "sig").repartition(F.col("p"), F.col("i"), F.col("j")).sortWithinPartitions("p", "i", "j")
 
 
+def _placed(tokens: DataFrame, comp: DataFrame) -> DataFrame:
+    """token, sig, size, comp; the sets of comp (id, comp) have that component, others one of their own."""
+    placed = tokens.select("token", "sig", "size").join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left")
+    return placed.select("token", "sig", "size", F.coalesce("comp", "sig").alias("comp"))
+
+
 def _open_rows(tokens: DataFrame, comp: DataFrame, into: Scratch) -> DataFrame:
-    """token, sig, size, comp of tokens that lie in two components or more, and sets with enough of these for a link.
+    """token, sig, size, comp of tokens that lie in two components or more.
 
     Components only grow together, so what is left out stays out: the rows of one round are the tokens of the next.
     """
-    tokens = tokens.select("token", "sig", "size")
     with Scratch(tokens.sparkSession) as scratch:
-        placed = tokens.join(comp.select(F.col("id").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        placed = scratch.stored(placed, "placed")
+        placed = scratch.stored(_placed(tokens, comp), "placed")
         apart = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-        rows = scratch.stored(placed.join(scratch.stored(apart, "open-tokens"), "token"), "open")
-        may = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("open"), F.max("size").alias("s")).filter(_partners_share("open", "s")).select("sig")
-        return into.stored(rows.join(scratch.stored(may, "open-sets"), "sig"), "open")
+        return into.stored(placed.join(scratch.stored(apart, "open-tokens"), "token"), "open")
 
 
 def _stars(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """For each set the one pair (a, b) with the pivot, in another component, that it shares most tokens with.
 
-    The pivot of a token is its set of smallest hash, another one for each seed.
+    The pivot of a token is its set of smallest hash, another one for each seed.  Sets of very different size do not link,
+    and those that share hardly any token of the sample seldom do: such pairs are left to the trees.
     """
-    rank = F.struct(F.xxhash64("sig", F.lit(seed)), F.col("sig"), F.col("comp"))
-    pivots = scratch.stored(rows.groupBy("token").agg(F.min(rank).alias("r")).select("token", F.col("r.sig").alias("p"), F.col("r.comp").alias("p_comp")), "pivots")
-    met = rows.join(pivots, "token").filter("comp <> p_comp").groupBy("sig", "p").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.xxhash64("sig", F.lit(seed)), F.col("sig"), F.col("comp"), F.col("size"))
+    pivots = scratch.stored(rows.groupBy("token").agg(F.min(rank).alias("r")).select("token", F.col("r.sig").alias("p"), F.col("r.comp").alias("p_comp"), F.col("r.size").alias("p_size")), "pivots")
+    may = rows.join(pivots, "token").filter("comp <> p_comp AND 4 * size >= 3 * p_size AND 4 * p_size >= 3 * size")
+    met = may.groupBy("sig", "p").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("s")).filter("10 * n >= least(s, 30)")
     return met.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("sig").alias("b"))
 
 
@@ -497,30 +579,39 @@ def _with_end(items):
 def _links(rows: DataFrame, held: Scratch, full: DataFrame, rounds: int, block: int) -> DataFrame:
     """All links that components need: rounds of stars, then signature trees over what is still apart.  held: has the rows.
 
-    A round that closes less than a tenth of the rows is the last: what other pivots would close, the trees close too.
+    A round that closes less than a tenth of the rows is the last, and one after which less than a quarter is left of
+    all: what other pivots would close, the trees close too.
     """
     spark = full.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    left = rows.count()
+    links, comp = spark.createDataFrame([], "a long, b long"), None
+    if rows.isEmpty():
+        return links
+    now = Scratch(spark)
+    sample = now.stored(rows.filter(f"pmod(token, 1024) * size < {1024 * SAMPLE}"), "sample") if rounds else rows
+    left = whole = sample.count() if rounds else 0
     for seed in range(rounds):
         if not left:
-            return links
+            break
         with Scratch(spark) as scratch:
-            new = _verified(_stars(rows, seed, scratch), full)
+            new = _verified(_stars(sample, seed, scratch), full)
         if new.isEmpty():
             break
         links = links.union(new)
         later = Scratch(spark)
         # One pass joins the stars of a round, another those of each round before; labels that fall short lose no link.
-        rows = _open_rows(rows, components(links, repeats=False, passes=seed + 1), later)
-        held.clear()
-        held = later
-        before, left = left, rows.count()
-        if 10 * left > 9 * before:
+        comp = components(links, repeats=False, passes=seed + 1)
+        sample = _open_rows(sample, comp, later)
+        now.clear()
+        now = later
+        before, left = left, sample.count()
+        if 10 * left > 9 * before or 4 * left < whole:
             break
+    now.clear()
     with held, Scratch(spark) as scratch:
-        pivots = scratch.stored(rows.groupBy("token").agg(F.min("sig").alias("p")), "pivots")
-        groups = scratch.stored(rows.join(pivots, "token").groupBy("p", "sig").agg(F.max("size").alias("size"), F.max("comp").alias("comp")), "groups")
+        placed = rows if comp is None else scratch.stored(_placed(rows, comp), "placed")
+        pivots = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("sig").alias("p")).filter("c0 <> c1").select("token", "p")
+        met = placed.join(scratch.stored(pivots, "pivots"), "token")
+        groups = scratch.stored(met.groupBy("p", "sig").agg(F.max("size").alias("size"), F.max("comp").alias("comp")), "groups")
         may = components(scratch.stored(_tree_joined(_blocked(groups, full, block, scratch, ["bits"]), exact=False), "candidates"))
         sets = groups.groupBy("sig").agg(F.max("size").alias("size"), F.max("comp").alias("comp"))
         candidates = scratch.stored(sets.join(may.select(F.col("id").alias("sig"), F.col("comp").alias("p")), "sig"), "candidate-sets")
@@ -534,18 +625,21 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
     sets = stored(_sets(docs, key, text), "sets")
     held = Scratch(spark)
     with Scratch(spark) as scratch:
-        prefix = "least(n_shingles, n_shingles - (3 * n_shingles + 3) div 4 + n_shingles div 20 + 1)"
+        prefix = f"least(n_shingles, n_shingles - (3 * n_shingles + 3) div 4 + {_least_shared('n_shingles')})"
         tokens = sets.agg(F.coalesce(F.sum(F.expr(prefix)), F.lit(0))).first()[0]
         shared = scratch.stored(_shared_tokens(docs, text, partitions, max(partitions, -(-tokens // TOKENS))), "shared-tokens")
-        enough = shared.groupBy("sig", "size").agg(F.count(F.lit(1)).alias("open")).filter(_partners_share("open", "size")).select("sig")
-        rows = held.stored(shared.join(enough, "sig").withColumn("comp", F.col("sig")), "tokens")
+        rows = held.stored(_rare_tokens(shared).withColumn("comp", F.col("sig")), "tokens")
 
     full = f"sets_{uuid.uuid4().hex}"
     with Scratch(spark) as scratch:
         row = F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("first"), "tid")
         chosen = sets.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(row).alias("row"))
-        whole = _full_sets(fetched(docs, key, text, scratch.stored(chosen.select("row.*"), "chosen"), broadcast_rows))
-        whole.repartition(partitions, "sig").write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
+        chosen = scratch.stored(chosen.select("row.*"), "chosen")
+        if chosen.count() <= broadcast_rows:
+            whole = _full_sets(fetched(docs, key, text, chosen, broadcast_rows)).repartition(partitions, "sig")
+        else:  # texts are not shuffled; a copy, or another text, may pass the filter too
+            whole = _full_sets(_texts_by_filter(docs, key, text, chosen)).repartition(partitions, "sig").dropDuplicates(["sig"])
+        whole.write.option("path", scratch.folder("full-sets")).bucketBy(partitions, "sig").sortBy("sig").saveAsTable(full)
         try:
             comp = components(_links(rows, held, spark.table(full), rounds, block), repeats=False)
         finally:
@@ -566,7 +660,7 @@ def _linked(docs: DataFrame, key: str, text: str, broadcast_rows: int, rounds: i
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000, rounds: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs.
 
-    broadcast_rows: most ids of candidate sets that are broadcast to fetch their texts; more go through a shuffled join.
+    broadcast_rows: most ids of candidate sets that are broadcast to fetch their texts; of more, a filter is broadcast.
     rounds: of stars, at most.  block: sets of a tree; a larger group is split into pairs of blocks.
     """
     return _linked(docs, key, text, broadcast_rows, rounds, block).select("doc_id", "n_shingles", "component_id")

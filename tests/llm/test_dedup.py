@@ -8,6 +8,7 @@ import pytest
 
 from stumpline.llm import exact_dedup, fingerprint_index, jaccard_join, suffix_dedup
 from stumpline.llm.components import components
+from stumpline.llm.shared import word_bounds
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -284,6 +285,47 @@ def test_trees_give_fewer_links_than_sets(spark, monkeypatch):
     assert counts == {20: 19, 60: 59}
 
 
+def test_sets_with_one_common_passage_do_not_meet(spark, monkeypatch):
+    """Documents that share a passage and nothing else leave no token for the stars and trees to compare; near copies do."""
+    passage = " ".join(f"p{k}" for k in range(34))
+    corpus = [(k, f"{passage} " + " ".join(f"w{k}x{j}" for j in range(60 + k))) for k in range(40)]
+    corpus += [(100 + k, t + " end") for k, t in corpus[:5]]
+    met = {}
+    monkeypatch.setattr(jaccard_join, "_links", lambda rows, *a, f=jaccard_join._links: met.update({r.sig: r.n for r in rows.groupBy("sig").count().withColumnRenamed("count", "n").collect()}) or f(rows, *a))
+    found = jaccard_join.similar_sets(spark.createDataFrame(corpus, "doc_id long, text string"))
+    assert got(found, "n_shingles", "component_id") == sets_brute(corpus)
+    assert len(met) == 10
+
+
+def test_the_rarest_shared_token_stays_in_both(spark):
+    """Each set leaves out common tokens, and two sets that link still meet, whatever the others have."""
+    rng = np.random.default_rng(6)
+    base = [rng.permutation(3000)[: rng.integers(2, 160)] for _ in range(12)]
+    sets = []
+    for k in range(150):
+        s = base[k % 12]
+        sets.append({int(x) for x in s[rng.random(len(s)) < 0.93]} | {int(x) for x in rng.integers(0, 3000, len(s) // 15)} | {0})
+    rows, have = [], {}
+    for k, s in enumerate(sets):
+        for x in sorted(s)[: int(jaccard_join.prefix_length(np.array(len(s))))]:
+            have.setdefault(x, []).append(k)
+    rows = [(x, k, len(sets[k]), len(own)) for x, own in have.items() if len(own) > 1 for k in own]
+    left = {}
+    for r in jaccard_join._rare_tokens(spark.createDataFrame(rows, "token long, sig long, size int, sets long")).collect():
+        left.setdefault(r.sig, set()).add(r.token)
+    linked = [(i, j) for i in range(150) for j in range(i) if 7 * len(sets[i] & sets[j]) >= 3 * (len(sets[i]) + len(sets[j]))]
+    assert len(linked) > 100 and all(left[i] & left[j] for i, j in linked)
+    assert sum(map(len, left.values())) < len(rows) / 2
+
+
+def test_words_of_any_length_have_their_own_hash():
+    words = [b"a", b"a\0", b"\0", b"ab", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"abcdefghabcdefgh", b"q" * 256, b"q" * 257, b"q" * 258, b"q" * 600]
+    data = b" ".join([*words, *words])
+    start, end, _ = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    hashes = jaccard_join.word_hashes(np.frombuffer(data, np.uint8), start, end).tolist()
+    assert hashes[: len(words)] == hashes[len(words) :] and len(set(hashes)) == len(words)
+
+
 def test_joined_components_are_dropped_from_the_walk():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(3)]
